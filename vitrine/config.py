@@ -69,8 +69,9 @@ TOPK_QUANTILE = 0.80
 DAYS_DEFAULT = 365
 
 # FIXED VALUES: source-quality scoring.
-QUALITY_CRITICAL = ["name", "price", "category", "brand"]
-QUALITY_ENRICHABLE = ["description", "rating", "review_count", "stock_qty", "days_since_publish"]
+QUALITY_CRITICAL = ["price", "category", "brand", "name"]
+QUALITY_ENRICHABLE = ["rating", "review_count", "stock_qty", "description", "days_since_publish"]
+QUALITY_RECOMMENDATIONS = ["KEEP ✓", "KEEP + ENRICH ⚠", "PARTIAL USE ⚠⚠", "CONSIDER DROP ✗"]
 QUALITY_KEEP_SCORE = 30.0
 QUALITY_CUTS = (75.0, 50.0, 30.0)
 MIN_ROWS_FOR_ML = 2000

@@ -54,11 +54,14 @@ def log1p_(col) -> Column:
     return F.log(F.lit(1.0) + c)
 
 
-# FIXED VALUES: date formats tried in order for "days since published".
+# FIXED VALUES: date formats tried in order for "days since published": ISO with zone offset,
+# "date time", ISO with fraction and a literal Z, plain date. A zoneless ISO "T" time matches none.
 DATE_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ssX",
+    "yyyy-MM-dd'T'HH:mm:ssXX",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
     "yyyy-MM-dd",
 ]
 

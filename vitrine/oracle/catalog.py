@@ -152,6 +152,15 @@ def with_raw(select_sql: str) -> str:
     return f"WITH raw_products AS ({RAW_PRODUCTS_SQL})\n" + select_sql
 
 
+def with_raw_ctes(ctes_and_select: str) -> str:
+    """``WITH raw_products AS (...), <more ctes> SELECT ...``."""
+    return f"WITH raw_products AS ({RAW_PRODUCTS_SQL}),\n" + ctes_and_select
+
+
+def with_products_ctes(ctes_and_select: str, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> str:
+    return "WITH " + processed_ctes(profile) + ",\n" + ctes_and_select
+
+
 def with_variants(select_sql: str) -> str:
     return f"WITH raw_variants AS ({RAW_VARIANTS_SQL})\n" + select_sql
 

@@ -16,6 +16,7 @@ from ..functions import rand as R
 from ..functions import text as T
 from ..operators.dedup import dedup_keep_first
 from ..operators.ranking import rank_min, top_n_per_group
+from ..session import materialize
 from ..sources.adapters import SEQ_COLS, raw_products
 
 FINAL_COLS = [
@@ -150,8 +151,13 @@ def enforce_types(df: DataFrame) -> DataFrame:
     )
 
 
-def scored_products(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
-    """Everything before the cap: cleaned, repaired, enriched and scored (the ~12k-row stage)."""
+def scored_products(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE,
+                    checkpoint: bool = True) -> DataFrame:
+    """Everything before the cap: cleaned, repaired, enriched and scored (the ~12k-row stage).
+
+    With ``checkpoint`` the repaired rows and the scored rows are written to the shared checkpoint
+    folder: the rank and the label threshold each run a second action over them.
+    """
     spark = raw.sparkSession
     df = filter_valid_price(raw)
     df = dedup_products(df)
@@ -159,8 +165,12 @@ def scored_products(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE)
     df = normalize_fields(df, profile)
     df = fix_prices(df)
     df = enrich(df, segment_params(spark))
+    if checkpoint:
+        # the per-store median and the review-count rank each take a second pass over these rows
+        df = materialize(df, "catalog_repaired")
     df = median_fill_days(df)
-    return score(df)
+    df = score(df)
+    return materialize(df, "catalog_scored") if checkpoint else df
 
 
 def preprocess(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
