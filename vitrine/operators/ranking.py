@@ -15,16 +15,23 @@ DEFAULT_BUCKETS = 64
 
 
 def prefix_sums(vals: DataFrame, value_col: str, weight_cols: list[str], descending: bool = False,
-                n_buckets: int = DEFAULT_BUCKETS, inclusive: bool = False) -> DataFrame:
+                n_buckets: int = DEFAULT_BUCKETS, inclusive: bool = False, sketch: bool = True) -> DataFrame:
     """For a table with one row per distinct ``value_col``, add ``_before_<w>`` = sum of ``w`` over
-    all values strictly earlier in the order (or up to and including the row when ``inclusive``)."""
+    all values strictly earlier in the order (or up to and including the row when ``inclusive``).
+
+    Numeric values are bucketed by approximate quantiles (``sketch``); other values (strings) by
+    their two-character prefix, which preserves the order as well.
+    """
     v = F.col(value_col)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = vals.select(F.percentile_approx(v, probs, 10000).alias("_b")).scalar()
-    # Subqueries may not sit inside a lambda: bind the bounds to a column first.
-    with_b = (vals.withColumn("_bounds", bounds)
-                  .withColumn("_bkt", F.size(F.filter(F.col("_bounds"), lambda b: b < v)))
-                  .drop("_bounds"))
+    if sketch:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        bounds = vals.select(F.percentile_approx(v, probs, 10000).alias("_b")).scalar()
+        # Subqueries may not sit inside a lambda: bind the bounds to a column first.
+        with_b = (vals.withColumn("_bounds", bounds)
+                      .withColumn("_bkt", F.size(F.filter(F.col("_bounds"), lambda b: b < v)))
+                      .drop("_bounds"))
+    else:
+        with_b = vals.withColumn("_bkt", F.substring(v, 1, 2))
     totals = with_b.groupBy("_bkt").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
     b_order = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
     wb = Window.orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,8 +41,8 @@ def prefix_sums(vals: DataFrame, value_col: str, weight_cols: list[str], descend
     upto = Window.currentRow if inclusive else -1
     wi = Window.partitionBy("_bkt").orderBy(v_order).rowsBetween(Window.unboundedPreceding, upto)
     local = with_b.select("*", *[F.coalesce(F.sum(w).over(wi), F.lit(0)).alias(f"_in_{w}") for w in weight_cols])
-    # ``offsets`` has at most n_buckets rows: a bounded broadcast.
-    joined = local.join(F.broadcast(offsets), "_bkt")
+    # quantile buckets: at most n_buckets rows, a bounded broadcast; prefix buckets: left to AQE.
+    joined = local.join(F.broadcast(offsets) if sketch else offsets, "_bkt")
     return joined.select(*vals.columns,
                          *[(F.col(f"_off_{w}") + F.col(f"_in_{w}")).alias(f"_before_{w}") for w in weight_cols])
 

@@ -178,7 +178,8 @@ def preprocess(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> D
     df = scored_products(raw, profile)
     df = cap_per_source(df, store_caps(spark, profile), profile.max_cap)
     df = topk_label(df)
-    return enforce_types(df)
+    # the processed layer: every report, feature and model job starts from these files
+    return materialize(enforce_types(df), "catalog_processed")
 
 
 def processed_products(spark: SparkSession, sf_dir: str,
