@@ -70,5 +70,5 @@ def days_since(col, as_of: str = C.AS_OF) -> Column:
     """Whole days from the parsed timestamp to ``as_of``; null when no format parses."""
     c = F.col(col) if isinstance(col, str) else col
     parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
-    secs = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(parsed)
-    return F.floor(secs / F.lit(86400)).cast("int")
+    micros = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(parsed)
+    return F.floor(micros / F.lit(86400 * 1000000)).cast("int")

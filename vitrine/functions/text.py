@@ -6,6 +6,9 @@ Python's full HTML entity decoder through an Arrow-batched pandas UDF, only for
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,21 +63,17 @@ def clean_html_exact(col, max_chars: int = DESCRIPTION_MAX_CHARS) -> Column:
     return F.coalesce(strip_tags_and_space(decoded, max_chars), F.lit(""))
 
 
+def _unescape_batch(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else html.unescape(v))
+
+
 _UNESCAPE = None
 
 
 def _html_unescape_udf():
     global _UNESCAPE
     if _UNESCAPE is None:
-        import html
-
-        import pandas as pd
-
-        @F.pandas_udf("string")
-        def _unescape(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: None if v is None else html.unescape(v))
-
-        _UNESCAPE = _unescape
+        _UNESCAPE = F.pandas_udf(_unescape_batch, "string")
     return _UNESCAPE
 
 

@@ -18,9 +18,14 @@ from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_products_ctes
 from ..registry import query
-from ..session import materialize
+from ..session import cached_layer, materialize
+from ..sources.tables import table_path
 from .features import ALL_FEATURES, SCALE_DIGITS, feature_matrix, standard_scale
-from .preprocess import processed_products
+from .preprocess import RAW_INPUTS, processed_products
+
+
+def _inputs(sf: str) -> list[str]:
+    return [table_path(sf, t) for t in RAW_INPUTS]
 
 R = round_half_up
 KEY = ["product_id", "source_store"]
@@ -80,12 +85,17 @@ def dbscan_noise(points: DataFrame, x: str = "x", y: str = "y", eps: float = C.D
 
 
 def anomaly_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Products with scaled (price, discount) and the DBSCAN noise flag."""
+    """Products with scaled (price, discount) and the DBSCAN noise flag (an output layer)."""
+    return cached_layer(spark, "anomalies", _inputs(sf), (C.DBSCAN_EPS, C.DBSCAN_MIN_SAMPLES),
+                        lambda: _anomaly_points(spark, sf))
+
+
+def _anomaly_points(spark: SparkSession, sf: str) -> DataFrame:
     p = processed_products(spark, sf)
     sc = standard_scale(p.select(*KEY, "price", "discount_pct"), ["price", "discount_pct"])
     sc = materialize(sc.select(*KEY, F.col("price").alias("x"), F.col("discount_pct").alias("y")), "dbscan_points")
     flags = dbscan_noise(sc).select("x", "y", "is_core", "is_noise")
-    return sc.join(flags, ["x", "y"]).select(*KEY, "x", "y", "is_core", "is_noise")
+    return materialize(sc.join(flags, ["x", "y"]).select(*KEY, "x", "y", "is_core", "is_noise"), "anomaly_points")
 
 
 def _scaled(c):
@@ -195,6 +205,10 @@ SEGMENT_NAMES = ["budget", "mid_range", "premium"]
 
 
 def clustering_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return cached_layer(spark, "clustering_frame", _inputs(sf), ALL_FEATURES, lambda: _clustering_frame(spark, sf))
+
+
+def _clustering_frame(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     fm = feature_matrix(processed_products(spark, sf))
@@ -217,6 +231,10 @@ def kmeans_best(frame: DataFrame, k: int = K, n_init: int = N_INIT, seed: int =
 
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """(product key, cluster_id, segment): segments named by rank of the cluster's mean price."""
+    return cached_layer(spark, "clusters", _inputs(sf), (K, N_INIT, SEED), lambda: _kmeans_clusters(spark, sf))
+
+
+def _kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     frame = clustering_frame(spark, sf)
     model = kmeans_best(frame)
     assigned = model.transform(frame).select(*KEY, "cluster_id")

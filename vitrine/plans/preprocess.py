@@ -16,8 +16,9 @@ from ..functions import rand as R
 from ..functions import text as T
 from ..operators.dedup import dedup_keep_first
 from ..operators.ranking import rank_min, top_n_per_group
-from ..session import materialize
+from ..session import cached_layer, materialize
 from ..sources.adapters import SEQ_COLS, raw_products
+from ..sources.tables import table_path
 
 FINAL_COLS = [
     "product_id", "source_platform", "source_store", "name", "description",
@@ -173,15 +174,32 @@ def scored_products(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE,
     return materialize(df, "catalog_scored") if checkpoint else df
 
 
-def preprocess(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
-    spark = raw.sparkSession
-    df = scored_products(raw, profile)
-    df = cap_per_source(df, store_caps(spark, profile), profile.max_cap)
+def finish(scored: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
+    """Scored rows -> processed layer: per-store cap, top-k label, final columns and types."""
+    spark = scored.sparkSession
+    df = cap_per_source(scored, store_caps(spark, profile), profile.max_cap)
     df = topk_label(df)
     # the processed layer: every report, feature and model job starts from these files
     return materialize(enforce_types(df), "catalog_processed")
 
 
+def preprocess(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
+    return finish(scored_products(raw, profile), profile)
+
+
+RAW_INPUTS = ["lineitem", "part", "supplier", "nation"]
+
+
 def processed_products(spark: SparkSession, sf_dir: str,
                        profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
-    return preprocess(raw_products(spark, sf_dir), profile)
+    """The processed layer for the tables under ``sf_dir`` (built once per session and input version)."""
+    inputs = [table_path(sf_dir, t) for t in RAW_INPUTS]
+    return cached_layer(spark, "processed", inputs, profile,
+                        lambda: finish(scored_layer(spark, sf_dir, profile), profile))
+
+
+def scored_layer(spark: SparkSession, sf_dir: str, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
+    """The scored (pre-cap) layer for the tables under ``sf_dir``."""
+    inputs = [table_path(sf_dir, t) for t in RAW_INPUTS]
+    return cached_layer(spark, "scored", inputs, profile,
+                        lambda: scored_products(raw_products(spark, sf_dir), profile))

@@ -95,7 +95,7 @@ def q_normalize_brand(spark: SparkSession, sf: str) -> DataFrame:
 @query("description_fallback", with_scored(f"SELECT product_id, source_store, description FROM scored"))
 def q_description_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Clean description, else 'name — category | brand' over the repaired catalog."""
-    return P.scored_products(raw_products(spark, sf)).select("product_id", "source_store", "description")
+    return P.scored_layer(spark, sf).select("product_id", "source_store", "description")
 
 
 def _tag_rule_sql(tags: str) -> str:
@@ -179,13 +179,13 @@ def q_price_segment(spark: SparkSession, sf: str) -> DataFrame:
   CAST(rank() OVER (ORDER BY review_count DESC) AS BIGINT) AS review_rank FROM scored"""))
 def q_rank_min_desc(spark: SparkSession, sf: str) -> DataFrame:
     """Rank (method min, descending) of review_count over all scored rows, without a one-task window."""
-    df = P.scored_products(raw_products(spark, sf)).select("product_id", "source_store", "review_count")
+    df = P.scored_layer(spark, sf).select("product_id", "source_store", "review_count")
     return rank_min(df, "review_count", "review_rank", descending=True)
 
 
 @query("popularity_score", with_scored("SELECT product_id, source_store, rating, review_count, popularity_score FROM scored"))
 def q_popularity_score(spark: SparkSession, sf: str) -> DataFrame:
-    return P.scored_products(raw_products(spark, sf)).select(
+    return P.scored_layer(spark, sf).select(
         "product_id", "source_store", "rating", "review_count", "popularity_score")
 
 
@@ -203,7 +203,7 @@ def q_cap_per_source(spark: SparkSession, sf: str) -> DataFrame:
 FROM scored s JOIN {caps_sql()} k ON s.source_store = k.source_store GROUP BY s.source_store, k.cap"""))
 def q_lookup_cap_join(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates per store joined to the cap table (stores without a cap drop out)."""
-    scored = P.scored_products(raw_products(spark, sf))
+    scored = P.scored_layer(spark, sf)
     caps = P.store_caps(spark, C.DEFAULT_PROFILE)
     return scored.join(F.broadcast(caps), "source_store", "inner") \
                  .groupBy("source_store", "cap").agg(F.count(F.lit(1)).alias("n_candidates"))
@@ -221,7 +221,7 @@ def q_topk_label(spark: SparkSession, sf: str) -> DataFrame:
 @query("median_fill", with_scored("""SELECT source_store, count(*) AS n, min(days_since_publish) AS min_days,
   max(days_since_publish) AS max_days, sum(days_since_publish) AS sum_days FROM scored GROUP BY source_store"""))
 def q_median_fill(spark: SparkSession, sf: str) -> DataFrame:
-    df = P.scored_products(raw_products(spark, sf))
+    df = P.scored_layer(spark, sf)
     return df.groupBy("source_store").agg(F.count(F.lit(1)).alias("n"), F.min("days_since_publish").alias("min_days"),
                                           F.max("days_since_publish").alias("max_days"),
                                           F.sum("days_since_publish").alias("sum_days"))
@@ -232,7 +232,7 @@ def q_median_fill(spark: SparkSession, sf: str) -> DataFrame:
   {rnd('avg(stock_qty)', 4)} AS avg_stock FROM scored GROUP BY price_segment"""))
 def q_segment_params_join(spark: SparkSession, sf: str) -> DataFrame:
     """Per-segment moments after the segment-parameter join drove the synthetic draws."""
-    df = P.scored_products(raw_products(spark, sf))
+    df = P.scored_layer(spark, sf)
     return df.groupBy("price_segment").agg(
         F.count(F.lit(1)).alias("n"), N.round_half_up(F.avg("rating"), 4).alias("avg_rating"),
         N.round_half_up(F.avg(N.log1p_("review_count")), 4).alias("avg_log_reviews"),
@@ -251,9 +251,10 @@ DATE_LAYOUT_SQL_SPARK = """CASE o_orderkey % 6
 
 @query("days_since", f"""SELECT o_orderkey,
   CASE WHEN o_orderkey % 6 = 4 THEN NULL
-       ELSE CAST(floor(date_diff('second',
-            CASE WHEN o_orderkey % 6 = 5 THEN o_orderdate - INTERVAL 2 HOUR ELSE o_orderdate END,
-            TIMESTAMP '{C.AS_OF}') / 86400.0) AS INT) END AS days_since_publish
+       ELSE CAST(floor(date_diff('microsecond',
+            CASE WHEN o_orderkey % 6 = 5 THEN o_orderdate - INTERVAL 2 HOUR
+                 WHEN o_orderkey % 6 = 2 THEN o_orderdate + INTERVAL 123456 MICROSECOND ELSE o_orderdate END,
+            TIMESTAMP '{C.AS_OF}') / 86400000000.0) AS INT) END AS days_since_publish
 FROM orders""")
 def q_days_since(spark: SparkSession, sf: str) -> DataFrame:
     """Whole days to ``as_of`` from date strings in the accepted layouts (a zoneless 'T' time is null)."""
