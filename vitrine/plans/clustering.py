@@ -234,9 +234,15 @@ def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return cached_layer(spark, "clusters", _inputs(sf), (K, N_INIT, SEED), lambda: _kmeans_clusters(spark, sf))
 
 
+def kmeans_model(spark: SparkSession, sf: str):
+    """The K=3 model (best of 10 seeds), fitted once per session and input version."""
+    return cached_layer(spark, "kmeans_model", _inputs(sf), (K, N_INIT, SEED),
+                        lambda: kmeans_best(clustering_frame(spark, sf)))
+
+
 def _kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     frame = clustering_frame(spark, sf)
-    model = kmeans_best(frame)
+    model = kmeans_model(spark, sf)
     assigned = model.transform(frame).select(*KEY, "cluster_id")
     p = processed_products(spark, sf)
     prof = p.join(assigned, KEY).groupBy("cluster_id").agg(F.avg("price").alias("mean_price"))
@@ -327,8 +333,7 @@ def silhouette(frame_with_pred: DataFrame, pred: str = "cluster_id") -> float:
 @query("silhouette")
 def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
     frame = clustering_frame(spark, sf)
-    model = kmeans_best(frame)
-    s = silhouette(model.transform(frame))
+    s = silhouette(kmeans_model(spark, sf).transform(frame))
     return spark.createDataFrame([(K, round(s, 4))], "k int, silhouette double")
 
 

@@ -15,8 +15,8 @@ from ..functions.numeric import round_half_up
 from ..operators.ranking import prefix_sums
 from ..oracle.catalog import rnd, with_products
 from ..registry import query
-from ..session import materialize
-from ..sources.tables import read_table
+from ..session import cached_layer, materialize
+from ..sources.tables import read_table, table_path
 from .features import ALL_FEATURES, TARGET, class_weight, feature_matrix, stratified_split
 from .preprocess import processed_products
 
@@ -158,7 +158,23 @@ GBT_PARAMS = dict(maxIter=300, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, f
 GBT_REG_PARAMS = dict(maxIter=100, maxDepth=6, stepSize=0.1, seed=42)
 
 
+def _inputs(sf: str) -> list[str]:
+    from .preprocess import RAW_INPUTS
+
+    return [table_path(sf, t) for t in RAW_INPUTS]
+
+
 def training_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return cached_layer(spark, "training_frame", _inputs(sf), ALL_FEATURES, lambda: _training_frame(spark, sf))
+
+
+def topk_model(spark: SparkSession, sf: str):
+    """The boosted-tree model of the training split (fitted once per session and input version)."""
+    return cached_layer(spark, "gbt_model", _inputs(sf), GBT_PARAMS,
+                        lambda: train_topk_classifier(training_frame(spark, sf).filter(F.col("split") == "train")))
+
+
+def _training_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Unscaled feature matrix with the stratified split and the class weight column, on files."""
     from pyspark.ml.feature import VectorAssembler
 
@@ -183,7 +199,7 @@ def q_train_topk_classifier(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     fm = training_frame(spark, sf)
-    model = train_topk_classifier(fm.filter(F.col("split") == "train"))
+    model = topk_model(spark, sf)
     test = model.transform(fm.filter(F.col("split") == "test"))
     scored = test.select(F.col(TARGET).alias("label"), vector_to_array("probability")[1].alias("score"))
     scored = materialize(scored, "classifier_scores")
@@ -193,8 +209,7 @@ def q_train_topk_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query("feature_importance")
 def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Per-feature importance of the boosted trees, sorted."""
-    fm = training_frame(spark, sf)
-    model = train_topk_classifier(fm.filter(F.col("split") == "train"))
+    model = topk_model(spark, sf)
     imp = model.featureImportances.toArray().tolist()
     rows = sorted(zip(ALL_FEATURES, imp), key=lambda t: -t[1])
     return spark.createDataFrame(rows, "feature string, importance double")

@@ -87,7 +87,7 @@ def _exists(spark, path: str) -> bool:
 
 
 def cached_layer(spark, name: str, inputs: list[str], params, build):
-    """A written layer computed once per session and input version.
+    """A written layer (or a fitted model) computed once per session and input version.
 
     ``build()`` returns the layer DataFrame (already materialised under the checkpoint folder); it
     is reused while the input files keep their length and modification time and the layer files
@@ -95,7 +95,7 @@ def cached_layer(spark, name: str, inputs: list[str], params, build):
     """
     key = (spark.sparkContext.applicationId, name, _fs_version(spark, inputs), repr(params))
     hit = _LAYERS.get(key)
-    if hit is not None and all(_exists(spark, p) for p in hit.inputFiles()[:1]):
+    if hit is not None and (not hasattr(hit, "inputFiles") or all(_exists(spark, p) for p in hit.inputFiles()[:1])):
         return hit
     df = build()
     _LAYERS[key] = df
