@@ -121,23 +121,35 @@ def q_read_layer(spark: SparkSession, sf: str) -> DataFrame:
     return read_layer(spark, base, "processed", "products", schema=p.schema)
 
 
-def _register_json_result():
-    from ..plans.bi import KPIS_SQL, kpis
-
+def _register_json_results():
     from .. import registry
+    from ..plans.bi import KPIS_SELECT, KPIS_SQL, kpis
+    from ..oracle.catalog import with_products as wp
 
-    def q_json_result(spark: SparkSession, sf: str) -> DataFrame:
+    def q_write_json_result(spark: SparkSession, sf: str) -> DataFrame:
         """KPI document written as JSON text and read back with its schema."""
         k = kpis(_processed(spark, sf))
         base = layer_base(spark)
         write_json_result(k, base, "kpis")
         return read_json_result(spark, base, "kpis", k.schema)
 
-    registry.QUERIES["json_result"] = q_json_result
-    registry.ORACLES["json_result"] = KPIS_SQL
+    def q_read_json_result(spark: SparkSession, sf: str) -> DataFrame:
+        """A nested result document (KPIs under a 'kpis' object) read with a nested schema and flattened."""
+        k = kpis(_processed(spark, sf))
+        doc = k.select(F.struct(*k.columns).alias("kpis"), F.lit("catalog").alias("report"))
+        base = layer_base(spark)
+        write_json_result(doc, base, "report")
+        back = read_json_result(spark, base, "report", doc.schema)
+        return back.select("report", "kpis.total_products", "kpis.topk_count", "kpis.avg_price")
+
+    registry.QUERIES["write_json_result"] = q_write_json_result
+    registry.ORACLES["write_json_result"] = KPIS_SQL
+    registry.QUERIES["read_json_result"] = q_read_json_result
+    registry.ORACLES["read_json_result"] = wp(
+        "SELECT 'catalog' AS report, total_products, topk_count, avg_price FROM (" + KPIS_SELECT + ") k")
 
 
-_register_json_result()
+_register_json_results()
 
 
 def _register_model_io():
