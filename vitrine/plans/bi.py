@@ -7,7 +7,7 @@ window over the *grouped* result, never over raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -116,8 +116,8 @@ def q_stock_status(spark: SparkSession, sf: str) -> DataFrame:
 def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
     """Count per value, descending, with its share in %, optionally the first ``n`` (ties by value)."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    # the share window runs over the grouped result (one row per distinct value)
-    g = g.withColumn("share_pct", R(F.col("count") / F.sum("count").over(Window.partitionBy()) * F.lit(100.0), 1))
+    total = df.select(F.count(F.lit(1))).scalar()
+    g = g.withColumn("share_pct", R(F.col("count") / total * F.lit(100.0), 1))
     if n is not None:
         g = g.orderBy(F.col("count").desc(), F.col(col).asc()).limit(n)
     return g
@@ -245,8 +245,8 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     q = df.groupBy(by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"))
     q = q.select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    # one row per group: AQE broadcasts it at run time
-    j = df.select(by, value).join(q, by)
+    # one row per group (three price segments): a bounded broadcast, so no group is a hot join key
+    j = df.select(by, value).join(F.broadcast(q), by)
     lo_f = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi_f = F.col("q3") + F.lit(1.5) * F.col("iqr")
     inside = (F.col(value) >= lo_f) & (F.col(value) <= hi_f)

@@ -155,11 +155,11 @@ def q_anomaly_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(samples)
 
 
-def dense_regions(points: DataFrame, eps: float = C.DBSCAN_EPS, min_samples: int = C.DBSCAN_MIN_SAMPLES,
-                  max_rounds: int = 50) -> DataFrame:
+def dense_regions(points: DataFrame, eps: float = C.DBSCAN_EPS, min_samples: int = C.DBSCAN_MIN_SAMPLES) -> DataFrame:
     """Connected components of core points (DBSCAN clusters without borders), by min-label propagation
     over the cell graph: cells holding core points are nodes (a cell's points are mutual neighbours),
-    cells are linked when two of their core points are within eps. Each round is checkpointed."""
+    cells are linked when two of their core points are within eps. Each round is checkpointed to the
+    shared folder; the loop ends when no label changes."""
     core = dbscan_core(points, "x", "y", eps, min_samples).filter("is_core")
     core = materialize(core.select("x", "y", "_cx", "_cy"), "region_core")
     cell = F.concat_ws(":", F.col("_cx").cast("string"), F.col("_cy").cast("string"))
@@ -173,7 +173,7 @@ def dense_regions(points: DataFrame, eps: float = C.DBSCAN_EPS, min_samples: int
     ddx, ddy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     edges = materialize(j.filter(ddx * ddx + ddy * ddy <= F.lit(eps * eps)).select("src", "dst").distinct(), "region_edges")
     labels = nodes.select("node", F.col("node").alias("label"))
-    for _ in range(max_rounds):
+    while True:  # at most (graph diameter + 1) rounds
         prop = edges.join(labels.withColumnRenamed("node", "src"), "src") \
                     .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("cand"))
         new = labels.join(prop, "node", "left") \

@@ -291,12 +291,15 @@ def isolation_forest_scores(df: DataFrame, key: str, cols: list[str], n_trees: i
     import math
 
     n = df.count()
-    keep = min(1.0, 4.0 * sample / max(n, 1))
+    keep = min(1.0, 4.0 * sample / max(n, 1))          # per-tree candidate share (about 4 x sample rows)
+    pre = min(1.0, keep * n_trees)                      # one cheap pass keeps the union of all candidates
+    def h(salt):
+        return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("#"), salt)), 1, 8),
+                      16, 10).cast("double") / F.lit(4294967296.0)
+    base = df.select(key, *cols).filter(h(F.lit("pre")) < pre)
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")
-    cand = df.select(key, *cols, trees)
-    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("#"), F.col("tree_id").cast("string"))), 1, 8),
-               16, 10).cast("double") / F.lit(4294967296.0)
-    cand = cand.withColumn("_h", h).filter(F.col("_h") < keep)
+    cand = base.select(key, *cols, trees)
+    cand = cand.withColumn("_h", h(F.col("tree_id").cast("string"))).filter(F.col("_h") < keep / pre)
     from pyspark.sql import Window
 
     w = Window.partitionBy("tree_id").orderBy("_h", key)

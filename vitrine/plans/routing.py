@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import block_window, blocked
 from ..registry import query
 from ..sources.tables import read_table
 
@@ -119,11 +120,12 @@ def refusal_text(agent: F.Column) -> F.Column:
 
 def audit_rows(conversations: DataFrame) -> DataFrame:
     """One audit row per user question: routed agent, first 200 characters, scope, response length
-    (the next assistant turn, or the refusal text), refused flag."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = conversations.select("conv_id", "turn", "role", "text",
-                               F.lead("role").over(w).alias("_next_role"), F.lead("text").over(w).alias("_next_text"))
-    qs = nxt.filter(F.col("role") == "user")
+    (the next assistant turn, or the refusal text), refused flag. ``turn`` is the message position."""
+    b = blocked(conversations.select("conv_id", "turn", "role", "text"), "turn", before=0, after=1)
+    w = block_window("conv_id", "turn")
+    nxt = b.select("conv_id", "turn", "role", "text", "_home",
+                   F.lead("role").over(w).alias("_next_role"), F.lead("text").over(w).alias("_next_text"))
+    qs = nxt.filter(F.col("_home") & (F.col("role") == "user"))
     routed = agent_for(F.lower(F.col("text")))
     agent = F.coalesce(routed, F.lit(DEFAULT_AGENT))
     in_scope = routed.isNotNull()
@@ -166,13 +168,14 @@ def q_refusal_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 def chat_history_window(conversations: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
     """For each user turn: the up to ``n`` messages before it as 'ROLE: text' lines, only once the
-    chat holds more than two messages (the current one included)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    chat holds more than two messages (the current one included). ``turn`` is the message position,
+    so a long conversation is windowed block by block, not in one task."""
     line = F.concat(F.upper("role"), F.lit(": "), F.col("text"))
-    hist = F.array_join(F.collect_list(line).over(w.rowsBetween(-n, -1)), "\n")
-    pos = F.row_number().over(w)
-    out = conversations.select("conv_id", "turn", "role", F.when(pos > 2, hist).otherwise(F.lit("")).alias("history"))
-    return out.filter(F.col("role") == "user").drop("role")
+    b = blocked(conversations.select("conv_id", "turn", "role", line.alias("_line")), "turn", before=n, after=0)
+    w = block_window("conv_id", "turn")
+    hist = F.array_join(F.collect_list("_line").over(w.rowsBetween(-n, -1)), "\n")
+    out = b.select("conv_id", "turn", "role", "_home", F.when(F.col("turn") >= 2, hist).otherwise(F.lit("")).alias("history"))
+    return out.filter(F.col("_home") & (F.col("role") == "user")).drop("role", "_home")
 
 
 @query("chat_history_window", f"""SELECT conv_id, turn, history FROM (SELECT conv_id, turn, role,
