@@ -19,14 +19,19 @@ def _brute(points, eps, min_samples):
     return core, noise
 
 
-def test_grid_dbscan_equals_brute_force(spark):
-    random.seed(7)
+import pytest
+
+
+@pytest.mark.parametrize("eps,min_samples,seed", [(0.8, 5, 7), (0.3, 4, 11), (1.5, 8, 3)])
+def test_grid_dbscan_equals_brute_force(spark, eps, min_samples, seed):
+    random.seed(seed)
     pts = [(round(random.gauss(0, 1), 3), round(random.gauss(0, 1), 3)) for _ in range(150)]
+    pts += [(round(random.gauss(3, 0.05), 3), round(random.gauss(3, 0.05), 3)) for _ in range(60)]  # a tight blob
     pts += [(round(random.uniform(-6, 6), 3), round(random.uniform(-6, 6), 3)) for _ in range(40)]
     pts += [(0.5, 0.5)] * 6  # equal points
     df = spark.createDataFrame(pts, "x double, y double")
-    got = {(r.x, r.y): (r.is_core, r.is_noise) for r in dbscan_noise(df, eps=0.8, min_samples=5).collect()}
-    core, noise = _brute(pts, 0.8, 5)
+    got = {(r.x, r.y): (r.is_core, r.is_noise) for r in dbscan_noise(df, eps=eps, min_samples=min_samples).collect()}
+    core, noise = _brute(pts, eps, min_samples)
     for p, c, nz in zip(pts, core, noise):
         assert got[p] == (c, nz), p
 

@@ -3,8 +3,9 @@ silhouette, and the joins and profiles built on them (sections 2.4, 2.5, 2.6).
 
 DBSCAN is exact without an all-pairs join: points are cut into square cells of side eps / sqrt(2), so any
 two points of one cell are neighbours. A cell holding ``min_samples`` points makes all of them core
-with no distance test; only points of sparse cells are compared, against the points of the 5 x 5
-surrounding cells.
+with no distance test; only points of sparse cells are tested, against the 5 x 5 surrounding cells:
+a cell wholly inside the point's eps-circle is counted from its cell total, a cell wholly outside is
+skipped, and only cells crossing the circle are compared point by point.
 """
 
 from __future__ import annotations
@@ -38,27 +39,57 @@ def _cells(df: DataFrame, x: str, y: str, side: float) -> DataFrame:
     return df.withColumn("_cx", F.floor(F.col(x) / side)).withColumn("_cy", F.floor(F.col(y) / side))
 
 
+OFFSETS_5X5 = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+# Box tests use a margin so that rounding at a cell edge never decides a distance: a cell counts
+# wholesale only when it is inside the circle by more than the margin, and is skipped only when it is
+# outside by more than the margin; everything in between is compared point by point.
+BOX_MARGIN = 1e-9
+
+
+def _probe_cells(points: DataFrame, px: str, py: str, side: float) -> DataFrame:
+    """Every (point, neighbouring cell) pair of the 5 x 5 block, with the squared nearest and farthest
+    distance from the point to the cell's box."""
+    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in OFFSETS_5X5]))
+    pr = points.select("*", off.alias("_o"))
+    pr = pr.withColumn("_ncx", F.col("_pcx") + F.col("_o.dx")).withColumn("_ncy", F.col("_pcy") + F.col("_o.dy")).drop("_o")
+    x0, x1 = F.col("_ncx") * side, (F.col("_ncx") + 1) * side
+    y0, y1 = F.col("_ncy") * side, (F.col("_ncy") + 1) * side
+    X, Y = F.col(px), F.col(py)
+    zero = F.lit(0.0)
+    nx = F.greatest(x0 - X, X - x1, zero)
+    ny = F.greatest(y0 - Y, Y - y1, zero)
+    fx = F.greatest(F.abs(X - x0), F.abs(X - x1))
+    fy = F.greatest(F.abs(Y - y0), F.abs(Y - y1))
+    return pr.withColumn("_near2", nx * nx + ny * ny).withColumn("_far2", fx * fx + fy * fy)
+
+
 def dbscan_core(points: DataFrame, x: str = "x", y: str = "y", eps: float = C.DBSCAN_EPS,
                 min_samples: int = C.DBSCAN_MIN_SAMPLES) -> DataFrame:
     """Distinct points (x, y, n = multiplicity) with ``is_core`` (neighbours within eps, self included)."""
     side = eps / math.sqrt(2.0)
+    e2 = eps * eps
     pts = _cells(points.groupBy(x, y).agg(F.count(F.lit(1)).alias("n")), x, y, side)
     cell_n = pts.groupBy("_cx", "_cy").agg(F.sum("n").alias("_cell_n"))
     pts = pts.join(cell_n, ["_cx", "_cy"])
     dense = pts.filter(F.col("_cell_n") >= min_samples).select(x, y, "n", "_cx", "_cy", F.lit(True).alias("is_core"))
-    sparse = pts.filter(F.col("_cell_n") < min_samples)
-    # each sparse point visits the 5 x 5 cells around it (reach of eps is two cells of side eps/sqrt 2)
-    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                              for dx in range(-2, 3) for dy in range(-2, 3)])).alias("_o")
-    probe = sparse.select(x, y, "n", "_cx", "_cy", off) \
-        .select(F.col(x).alias("_px"), F.col(y).alias("_py"), F.col("n").alias("_pn"), F.col("_cx").alias("_pcx"),
-                F.col("_cy").alias("_pcy"), (F.col("_cx") + F.col("_o.dx")).alias("_cx"),
-                (F.col("_cy") + F.col("_o.dy")).alias("_cy"))
-    cand = probe.join(pts.select(x, y, "n", "_cx", "_cy"), ["_cx", "_cy"])
-    dx = F.col("_px") - F.col(x)
-    dy = F.col("_py") - F.col(y)
-    near = cand.filter(dx * dx + dy * dy <= F.lit(eps * eps))
-    cnt = near.groupBy("_px", "_py", "_pn", "_pcx", "_pcy").agg(F.sum("n").alias("_nb"))
+    sparse = pts.filter(F.col("_cell_n") < min_samples).select(
+        F.col(x).alias("_px"), F.col(y).alias("_py"), F.col("n").alias("_pn"), F.col("_cx").alias("_pcx"),
+        F.col("_cy").alias("_pcy"))
+    pc = _probe_cells(sparse, "_px", "_py", side)
+    pc = pc.filter(F.col("_near2") <= F.lit(e2 + BOX_MARGIN))
+    pc = pc.join(cell_n.select(F.col("_cx").alias("_ncx"), F.col("_cy").alias("_ncy"), "_cell_n"), ["_ncx", "_ncy"])
+    inside = F.col("_far2") <= F.lit(e2 - BOX_MARGIN)
+    keys = ["_px", "_py", "_pn", "_pcx", "_pcy"]
+    # cells wholly inside the circle count without looking at their points
+    whole = pc.filter(inside).groupBy(*keys).agg(F.sum("_cell_n").alias("_nb"))
+    # cells crossing the circle: point-by-point distances
+    part = pc.filter(~inside).select(*keys, "_ncx", "_ncy") \
+        .join(pts.select(F.col(x).alias("_qx"), F.col(y).alias("_qy"), F.col("n").alias("_qn"),
+                         F.col("_cx").alias("_ncx"), F.col("_cy").alias("_ncy")), ["_ncx", "_ncy"])
+    dx = F.col("_px") - F.col("_qx")
+    dy = F.col("_py") - F.col("_qy")
+    part = part.filter(dx * dx + dy * dy <= F.lit(e2)).groupBy(*keys).agg(F.sum("_qn").alias("_nb"))
+    cnt = whole.unionByName(part).groupBy(*keys).agg(F.sum("_nb").alias("_nb"))
     sparse_core = cnt.select(F.col("_px").alias(x), F.col("_py").alias(y), F.col("_pn").alias("n"),
                              F.col("_pcx").alias("_cx"), F.col("_pcy").alias("_cy"),
                              (F.col("_nb") >= min_samples).alias("is_core"))
@@ -68,18 +99,28 @@ def dbscan_core(points: DataFrame, x: str = "x", y: str = "y", eps: float = C.DB
 def dbscan_noise(points: DataFrame, x: str = "x", y: str = "y", eps: float = C.DBSCAN_EPS,
                  min_samples: int = C.DBSCAN_MIN_SAMPLES) -> DataFrame:
     """Distinct points with ``is_core`` and ``is_noise`` (not core and no core point within eps)."""
+    side = eps / math.sqrt(2.0)
+    e2 = eps * eps
     core = materialize(dbscan_core(points, x, y, eps, min_samples), "dbscan_core")
-    non_core = core.filter(~F.col("is_core"))
-    cores = core.filter(F.col("is_core")).select(F.col(x).alias("_qx"), F.col(y).alias("_qy"), "_cx", "_cy")
-    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                              for dx in range(-2, 3) for dy in range(-2, 3)])).alias("_o")
-    probe = non_core.select(x, y, off, F.col("_cx").alias("_pcx"), F.col("_cy").alias("_pcy")) \
-        .select(x, y, (F.col("_pcx") + F.col("_o.dx")).alias("_cx"), (F.col("_pcy") + F.col("_o.dy")).alias("_cy"))
-    cand = probe.join(cores, ["_cx", "_cy"])
-    dx = F.col(x) - F.col("_qx")
-    dy = F.col(y) - F.col("_qy")
-    border = cand.filter(dx * dx + dy * dy <= F.lit(eps * eps)).select(x, y).distinct() \
-        .withColumn("_border", F.lit(True))
+    # per cell: number of core points and whether every point of the cell is core (dense cells)
+    core_cells = core.groupBy("_cx", "_cy").agg(F.count_if("is_core").alias("_ncore"),
+                                                 F.bool_and("is_core").alias("_allcore"))
+    non_core = core.filter(~F.col("is_core")).select(F.col(x).alias("_px"), F.col(y).alias("_py"),
+                                                      F.col("_cx").alias("_pcx"), F.col("_cy").alias("_pcy"))
+    pc = _probe_cells(non_core, "_px", "_py", side).filter(F.col("_near2") <= F.lit(e2 + BOX_MARGIN))
+    pc = pc.join(core_cells.select(F.col("_cx").alias("_ncx"), F.col("_cy").alias("_ncy"), "_ncore", "_allcore")
+                 .filter(F.col("_ncore") > 0), ["_ncx", "_ncy"])
+    inside = (F.col("_far2") <= F.lit(e2 - BOX_MARGIN)) & F.col("_allcore")
+    keys = ["_px", "_py"]
+    hit_whole = pc.filter(inside).select(*keys)
+    cores = core.filter("is_core").select(F.col(x).alias("_qx"), F.col(y).alias("_qy"), F.col("_cx").alias("_ncx"),
+                                          F.col("_cy").alias("_ncy"))
+    part = pc.filter(~inside).select(*keys, "_ncx", "_ncy").join(cores, ["_ncx", "_ncy"])
+    dx = F.col("_px") - F.col("_qx")
+    dy = F.col("_py") - F.col("_qy")
+    hit_part = part.filter(dx * dx + dy * dy <= F.lit(e2)).select(*keys)
+    border = hit_whole.unionByName(hit_part).distinct() \
+        .select(F.col("_px").alias(x), F.col("_py").alias(y), F.lit(True).alias("_border"))
     out = core.join(border, [x, y], "left")
     return out.withColumn("is_noise", ~F.col("is_core") & F.col("_border").isNull()).drop("_border")
 
