@@ -284,7 +284,19 @@ STORE_MIN_CONFIDENCE = 0.5
 STORE_MIN_BASKETS = 10
 
 
-@query("store_basket_rules")
+def _store_basket_sql() -> str:
+    its = _itemsets_sql(STORE_MIN_SUPPORT, "sb_tx")
+    return with_products_ctes(f"""sb AS (SELECT source_platform, source_store, list_sort(list(DISTINCT category)) AS items
+      FROM products GROUP BY source_platform, source_store),
+sb_tx AS (SELECT list_slice(list_sort(items), 1, {MAX_ITEMS}) AS items FROM sb
+      ORDER BY md5(source_platform || '|' || source_store || '#{CAP_SEED}') LIMIT {MAX_TRANSACTIONS}),
+{its},
+{_rules_sql()}
+SELECT {_rounded()} FROM rules WHERE confidence >= {STORE_MIN_CONFIDENCE}
+  AND (SELECT count(*) FROM sb_tx) >= {STORE_MIN_BASKETS}""")
+
+
+@query("store_basket_rules", _store_basket_sql())
 def q_store_basket_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Variant: baskets = categories per store; support .1, confidence .5; nothing under 10 baskets."""
     p = processed_products(spark, sf)
