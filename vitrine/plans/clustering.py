@@ -227,7 +227,25 @@ def dense_regions(points: DataFrame, eps: float = C.DBSCAN_EPS, min_samples: int
     return labels
 
 
-@query("dbscan_regions")
+def _regions_sql() -> str:
+    from ..oracle.catalog import processed_ctes
+
+    side = repr(C.DBSCAN_EPS / math.sqrt(2.0))
+    e2 = C.DBSCAN_EPS * C.DBSCAN_EPS
+    # brute force: every pair of core points within eps links their cells; closure by recursion
+    return "WITH RECURSIVE " + processed_ctes() + ",\n" + DBSCAN_CTES + f""",
+cp AS (SELECT x, y, CAST(floor(x / {side}::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / {side}::DOUBLE) AS BIGINT) AS cy
+       FROM core WHERE is_core),
+cell AS (SELECT DISTINCT cx, cy FROM cp),
+cedge AS (SELECT DISTINCT a.cx AS acx, a.cy AS acy, b.cx AS bcx, b.cy AS bcy FROM cp a JOIN cp b
+          ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {e2}::DOUBLE),
+reach(cx, cy, rx, ry) AS (SELECT cx, cy, cx, cy FROM cell
+          UNION SELECT r.cx, r.cy, e.bcx, e.bcy FROM reach r JOIN cedge e ON r.rx = e.acx AND r.ry = e.acy),
+lab AS (SELECT cx, cy, min(rx * 4294967296 + ry) AS label FROM reach GROUP BY cx, cy)
+SELECT count(DISTINCT label) AS n_regions, CAST(count(*) AS BIGINT) AS n_core_cells FROM lab"""
+
+
+@query("dbscan_regions", _regions_sql())
 def q_dbscan_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Number of dense regions (DBSCAN clusters) and the core points in each."""
     pts = anomaly_points(spark, sf).select("x", "y")
