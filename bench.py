@@ -37,7 +37,7 @@ def main() -> None:
     os.environ.setdefault("VITRINE_MASTER", f"local[{cpus}]")
     os.environ.setdefault("VITRINE_SHUFFLE_PARTITIONS", str(max(8, int(cpus) * 2)))
     from vitrine import registry
-    from vitrine.session import get_session
+    from vitrine.session import drop_tables, get_session
 
     spark = get_session(app_name="vitrine-bench")
     registry.load_all()
@@ -50,6 +50,7 @@ def main() -> None:
         df = registry.QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+    drop_tables(spark)
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus)}))

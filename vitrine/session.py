@@ -58,12 +58,28 @@ def materialize(df, name: str):
     import uuid
 
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/vitrine-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def tables_root(spark) -> str:
+    """Folder of this application's materialised tables (one per Spark application)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/vitrine-tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark) -> bool:
+    """Delete this application's materialised tables (call at the end of a run); clears layer reuse."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(tables_root(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _LAYERS if k[0] == app]:
+        del _LAYERS[key]
+    return bool(fs.delete(root, True)) if fs.exists(root) else False
+
+
 _LAYERS: dict = {}
 
 
