@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is built from the raw parquet tables and executed completely (``noop`` sink: every row is
-produced, nothing is collected to the driver).
+produced, nothing is collected to the driver). Queries run in one session in the order below, so the
+first one builds the processed layer that later ones read (as the pipeline's later steps do).
 """
 
 from __future__ import annotations
@@ -42,7 +43,13 @@ def main() -> None:
     spark = get_session(app_name="vitrine-bench")
     registry.load_all()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in registry.QUERIES]
-    # warm-up: JVM start, code generation caches (not timed)
+    # warm-up (not timed): JVM start and JIT, Python workers, code generation, run on the smallest
+    # table set next to $BENCH_SF_DIR when there is one. Layers are keyed by their input files, so
+    # nothing computed here is reused by the timed runs.
+    warm_dir = os.path.join(os.path.dirname(os.path.normpath(sf_dir)), "sf0.001")
+    if os.path.isdir(warm_dir) and os.path.normpath(warm_dir) != os.path.normpath(sf_dir):
+        for name in ("topk_products", "route_agents"):
+            registry.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     registry.QUERIES["clean_html"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
