@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.rand import hash_order_key
-from ..operators.ranking import top_k
-from ..oracle.catalog import rnd, with_products, with_products_ctes, with_raw_ctes, with_variants
+from ..oracle.catalog import rnd, with_products, with_products_ctes, with_raw_ctes
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import landed_cte, landed_products

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..oracle.catalog import rnd, u, with_products, with_scored, z
+from ..oracle.catalog import rnd, with_products, with_scored, z
 from ..registry import query
 from ..sources.adapters import raw_products
 from . import preprocess as P

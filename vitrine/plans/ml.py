@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config as C
 from ..functions.numeric import round_half_up
 from ..operators.ranking import prefix_sums
 from ..oracle.catalog import rnd, with_products

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 PLAN_MODULES = [
     "vitrine.plans.preprocess_queries", "vitrine.plans.quality", "vitrine.plans.bi", "vitrine.plans.landing_queries",
     "vitrine.plans.enrichment", "vitrine.plans.features", "vitrine.plans.rules", "vitrine.plans.clustering",
-    "vitrine.plans.ml", "vitrine.plans.evaluation", "vitrine.plans.routing", "vitrine.sources.layers", "vitrine.streaming.jobs",
+    "vitrine.plans.ml", "vitrine.plans.evaluation", "vitrine.plans.routing", "vitrine.plans.io_queries", "vitrine.streaming.jobs",
 ]
 
 

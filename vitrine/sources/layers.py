@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..oracle.catalog import with_products, with_raw_ctes
-from ..registry import query
 from ..session import ensure_checkpoint_dir
 
 LAYERS = ("raw", "processed", "output")
@@ -93,158 +91,3 @@ def audit_log_scan(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
     """Read the JSON-lines log, skipping malformed lines, and keep the last ``n`` entries."""
     log = spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     return log.orderBy(F.col("conv_id").desc(), F.col("turn").desc()).limit(n)
-
-
-# ---------------------------------------------------------------------------------------------
-# Registered round trips (each writes under the session's shared folder and reads back)
-# ---------------------------------------------------------------------------------------------
-def _processed(spark, sf):
-    from ..plans.preprocess import processed_products
-
-    return processed_products(spark, sf)
-
-
-@query("write_layer", with_products("SELECT * FROM products"))
-def q_write_layer(spark: SparkSession, sf: str) -> DataFrame:
-    """Processed table written as CSV with header, read back with the explicit schema."""
-    p = _processed(spark, sf)
-    base = layer_base(spark)
-    write_layer(p, base, "processed", "products", fmt="csv")
-    return read_layer(spark, base, "processed", "products", schema=p.schema, fmt="csv")
-
-
-@query("read_layer", with_products("SELECT * FROM products"))
-def q_read_layer(spark: SparkSession, sf: str) -> DataFrame:
-    p = _processed(spark, sf)
-    base = layer_base(spark)
-    write_layer(p, base, "processed", "products")
-    return read_layer(spark, base, "processed", "products", schema=p.schema)
-
-
-def _register_json_results():
-    from .. import registry
-    from ..plans.bi import KPIS_SELECT, KPIS_SQL, kpis
-    from ..oracle.catalog import with_products as wp
-
-    def q_write_json_result(spark: SparkSession, sf: str) -> DataFrame:
-        """KPI document written as JSON text and read back with its schema."""
-        k = kpis(_processed(spark, sf))
-        base = layer_base(spark)
-        write_json_result(k, base, "kpis")
-        return read_json_result(spark, base, "kpis", k.schema)
-
-    def q_read_json_result(spark: SparkSession, sf: str) -> DataFrame:
-        """A nested result document (KPIs under a 'kpis' object) read with a nested schema and flattened."""
-        k = kpis(_processed(spark, sf))
-        doc = k.select(F.struct(*k.columns).alias("kpis"), F.lit("catalog").alias("report"))
-        base = layer_base(spark)
-        write_json_result(doc, base, "report")
-        back = read_json_result(spark, base, "report", doc.schema)
-        return back.select("report", "kpis.total_products", "kpis.topk_count", "kpis.avg_price")
-
-    registry.QUERIES["write_json_result"] = q_write_json_result
-    registry.ORACLES["write_json_result"] = KPIS_SQL
-    registry.QUERIES["read_json_result"] = q_read_json_result
-    registry.ORACLES["read_json_result"] = wp(
-        "SELECT 'catalog' AS report, total_products, topk_count, avg_price FROM (" + KPIS_SELECT + ") k")
-
-
-_register_json_results()
-
-
-def _register_model_io():
-    from .. import registry
-    from ..plans.features import CAT_FEATURES, ENC_FEATURES
-    from ..oracle.catalog import with_products as wp
-
-    def q_model_io(spark: SparkSession, sf: str) -> DataFrame:
-        """Encoder model saved with the ML writer, loaded back and applied."""
-        from pyspark.ml.feature import StringIndexer, StringIndexerModel
-
-        p = _processed(spark, sf)
-        outs = [f"{c}_d" for c in CAT_FEATURES]
-        m = StringIndexer(inputCols=CAT_FEATURES, outputCols=outs, stringOrderType="alphabetAsc").fit(p)
-        path = layer_path(layer_base(spark), "output", "encoders")
-        m.write().overwrite().save(path)
-        loaded = StringIndexerModel.load(path)
-        out = loaded.transform(p)
-        return out.select("product_id", "source_store",
-                          *[F.col(o).cast("int").alias(e) for o, e in zip(outs, ENC_FEATURES)])
-
-    registry.QUERIES["model_io"] = q_model_io
-    registry.ORACLES["model_io"] = wp("SELECT product_id, source_store, " + ", ".join(
-        f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INT) AS {c}_enc" for c in CAT_FEATURES) + " FROM products")
-
-
-_register_model_io()
-
-
-def _register_csv_export():
-    from .. import registry
-    from ..plans.preprocess_queries import TOPK_SQL, topk_products
-
-    def q_csv_export(spark: SparkSession, sf: str) -> DataFrame:
-        """The filtered top-k table exported as CSV with header (read back to check)."""
-        t = topk_products(_processed(spark, sf))
-        path = layer_path(layer_base(spark), "output", "topk_export")
-        csv_export(t, path)
-        return spark.read.schema(t.schema).option("header", True).csv(path)
-
-    registry.QUERIES["csv_export"] = q_csv_export
-    registry.ORACLES["csv_export"] = with_products(TOPK_SQL)
-
-
-_register_csv_export()
-
-
-def _landed_sql_counts() -> str:
-    from ..plans.landing import landed_cte
-
-    return with_raw_ctes(landed_cte() + "\nSELECT source_store, count(*) AS n, sum(price) IS NOT NULL AS has_price FROM landed GROUP BY source_store")
-
-
-@query("append_ingest", _landed_sql_counts())
-def q_append_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ingest runs append their stores' rows (partitioned by store); the table is read back."""
-    from ..plans.landing import landed_products
-
-    landed = landed_products(spark, sf)
-    base = layer_base(spark)
-    first = ["store_0", "store_1", "store_2", "store_3", "store_4"]
-    append_ingest(landed.filter(F.col("source_store").isin(first)), base)
-    append_ingest(landed.filter(~F.col("source_store").isin(first)), base)
-    back = read_layer(spark, base, "raw", "products")
-    return back.groupBy("source_store").agg(F.count(F.lit(1)).alias("n"),
-                                            F.sum("price").isNotNull().alias("has_price"))
-
-
-def _audit_sql():
-    from ..plans.routing import AUDIT_SQL
-
-    return AUDIT_SQL
-
-
-@query("audit_log_sink", _audit_sql())
-def q_audit_log_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit rows appended as JSON lines (one append per half of the conversations), read back."""
-    from ..plans.routing import audit_rows
-    from .tables import read_table
-
-    a = audit_rows(read_table(spark, sf, "conversations"))
-    path = layer_path(layer_base(spark), "output", "agent_audit_log")
-    audit_log_sink(a.filter(F.col("conv_id") % 2 == 0), path)
-    audit_log_sink(a.filter(F.col("conv_id") % 2 == 1), path)
-    return spark.read.schema(AUDIT_SCHEMA).json(path)
-
-
-@query("audit_log_scan", "WITH a AS (" + _audit_sql() + ") SELECT * FROM a ORDER BY conv_id DESC, turn DESC LIMIT 20")
-def q_audit_log_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The log with a malformed line mixed in: malformed lines are skipped, the last 20 entries kept."""
-    from ..plans.routing import audit_rows
-    from .tables import read_table
-
-    a = audit_rows(read_table(spark, sf, "conversations"))
-    path = layer_path(layer_base(spark), "output", "agent_audit_log")
-    audit_log_sink(a, path)
-    spark.createDataFrame([("{not json",), ("",)], "value string").write.mode("append").text(path)
-    return audit_log_scan(spark, path)
