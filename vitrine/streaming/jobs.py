@@ -27,9 +27,11 @@ def land_in_batches(df: DataFrame, path: str, split_col: F.Column, n_batches: in
         df.filter(split_col == b).write.mode("append").parquet(f"{path}/drop={b:04d}")
 
 
-def stream_append_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema) -> None:
-    """New landed files -> append to the products table, each micro-batch in its own folder."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{landing}/*")
+def stream_append_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema,
+                         max_files: int = 256) -> None:
+    """New landed files -> append to the products table, each micro-batch in its own folder
+    (``max_files`` bounds the size of one micro-batch; order between files does not matter here)."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{landing}/*")
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={epoch:06d}")
@@ -55,7 +57,8 @@ EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 def stream_dedup(spark: SparkSession, landing: str, table: str, checkpoint: str, schema, keys: list[str],
                  event_time: str = "ts", delay: str = "1 day") -> None:
-    """Keep the first row per key across increments; state is dropped once the watermark passes."""
+    """Keep the first row per key across increments; state is dropped once the watermark passes.
+    One landed drop (one file here) per micro-batch keeps the arrival order of the drops."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{landing}/*")
     # the watermark needs a zoned timestamp; the session time zone makes the cast stable
     src = src.withColumn("_event_time", F.col(event_time).cast("timestamp"))
