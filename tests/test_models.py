@@ -50,3 +50,25 @@ def test_rules_consistent_with_supports(spark):
         assert abs(r.confidence - sup[tuple(sorted(a + c))] / sup[a]) < 1e-12
         assert abs(r.lift - r.confidence / sup[c]) < 1e-12
         assert set(a).isdisjoint(c)
+
+
+def test_region_edges_equal_brute_force(spark):
+    import math
+
+    from vitrine.plans.clustering import region_edges
+
+    random.seed(5)
+    eps = 0.8
+    side = eps / math.sqrt(2.0)
+    pts = [(round(random.gauss(0, 1.2), 3), round(random.gauss(0, 1.2), 3)) for _ in range(300)]
+    pts = sorted(set(pts))
+    cells = [(math.floor(x / side), math.floor(y / side)) for x, y in pts]
+    df = spark.createDataFrame([(x, y, cx, cy) for (x, y), (cx, cy) in zip(pts, cells)],
+                               "x double, y double, _cx long, _cy long")
+    got = {(r.src, r.dst) for r in region_edges(df, eps).collect()}
+    exp = set()
+    for (p, cp) in zip(pts, cells):
+        for (q, cq) in zip(pts, cells):
+            if cp != cq and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= eps * eps:
+                exp.add((f"{cp[0]}:{cp[1]}", f"{cq[0]}:{cq[1]}"))
+    assert got == exp

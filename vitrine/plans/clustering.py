@@ -196,23 +196,66 @@ def q_anomaly_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(samples)
 
 
+REGION_SUBCELLS = 2
+
+
+def region_edges(core: DataFrame, eps: float = C.DBSCAN_EPS, sub: int = REGION_SUBCELLS) -> DataFrame:
+    """Links between cells holding core points: (src, dst) when some core point of one is within eps of
+    some core point of the other.
+
+    Points are grouped into sub-cells (``sub`` x ``sub`` per cell) summarised by the bounding box of
+    their points. A pair of sub-cells whose boxes are within eps at their farthest links the two cells
+    with no point comparison; a pair farther than eps at their nearest is dropped; points are compared
+    only for the remaining sub-cell pairs of cell pairs that no box test has linked yet.
+    """
+    side = eps / math.sqrt(2.0)
+    t = side / sub
+    e2 = eps * eps
+    reach = int(math.ceil(eps / t)) + 1
+    node = F.concat_ws(":", F.col("_cx").cast("string"), F.col("_cy").cast("string"))
+    pts = core.select("x", "y", node.alias("node"), F.floor(F.col("x") / t).alias("_ux"),
+                      F.floor(F.col("y") / t).alias("_uy"))
+    subs = pts.groupBy("node", "_ux", "_uy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
+                                                 F.min("y").alias("y0"), F.max("y").alias("y1"))
+    subs = materialize(subs, "region_subcells")
+    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                              for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]))
+    a = subs.select(F.col("node").alias("src"), F.col("_ux").alias("_aux"), F.col("_uy").alias("_auy"),
+                    F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("y0").alias("ay0"),
+                    F.col("y1").alias("ay1"), off.alias("_o"))
+    a = a.select("*", (F.col("_aux") + F.col("_o.dx")).alias("_ux"), (F.col("_auy") + F.col("_o.dy")).alias("_uy")).drop("_o")
+    b = subs.select(F.col("node").alias("dst"), "_ux", "_uy", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"),
+                    F.col("y0").alias("by0"), F.col("y1").alias("by1"))
+    cand = a.join(b, ["_ux", "_uy"]).filter(F.col("src") != F.col("dst"))
+    zero = F.lit(0.0)
+    far_x = F.greatest(F.abs(F.col("ax1") - F.col("bx0")), F.abs(F.col("bx1") - F.col("ax0")))
+    far_y = F.greatest(F.abs(F.col("ay1") - F.col("by0")), F.abs(F.col("by1") - F.col("ay0")))
+    near_x = F.greatest(F.col("bx0") - F.col("ax1"), F.col("ax0") - F.col("bx1"), zero)
+    near_y = F.greatest(F.col("by0") - F.col("ay1"), F.col("ay0") - F.col("by1"), zero)
+    cand = cand.withColumn("_far2", far_x * far_x + far_y * far_y).withColumn("_near2", near_x * near_x + near_y * near_y)
+    cand = materialize(cand.filter(F.col("_near2") <= F.lit(e2)), "region_candidates")
+    whole = cand.filter(F.col("_far2") <= F.lit(e2)).select("src", "dst").distinct()
+    open_ = cand.filter(F.col("_far2") > F.lit(e2)).join(whole, ["src", "dst"], "left_anti") \
+        .select("src", "_aux", "_auy", "dst", "_ux", "_uy")
+    pa = pts.select(F.col("node").alias("src"), F.col("_ux").alias("_aux"), F.col("_uy").alias("_auy"),
+                    F.col("x").alias("ax"), F.col("y").alias("ay"))
+    pb = pts.select(F.col("node").alias("dst"), "_ux", "_uy", F.col("x").alias("bx"), F.col("y").alias("by"))
+    pairs = open_.join(pa, ["src", "_aux", "_auy"]).join(pb, ["dst", "_ux", "_uy"])
+    ddx, ddy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    by_points = pairs.filter(ddx * ddx + ddy * ddy <= F.lit(e2)).select("src", "dst").distinct()
+    return whole.unionByName(by_points).distinct()
+
+
 def dense_regions(points: DataFrame, eps: float = C.DBSCAN_EPS, min_samples: int = C.DBSCAN_MIN_SAMPLES) -> DataFrame:
     """Connected components of core points (DBSCAN clusters without borders), by min-label propagation
     over the cell graph: cells holding core points are nodes (a cell's points are mutual neighbours),
-    cells are linked when two of their core points are within eps. Each round is checkpointed to the
-    shared folder; the loop ends when no label changes."""
+    edges come from ``region_edges``. Each round is checkpointed to the shared folder; the loop ends
+    when no label changes."""
     core = dbscan_core(points, "x", "y", eps, min_samples).filter("is_core")
     core = materialize(core.select("x", "y", "_cx", "_cy"), "region_core")
     cell = F.concat_ws(":", F.col("_cx").cast("string"), F.col("_cy").cast("string"))
     nodes = core.select(cell.alias("node")).distinct()
-    off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                              for dx in range(-2, 3) for dy in range(-2, 3) if (dx, dy) != (0, 0)])).alias("_o")
-    a = core.select(F.col("x").alias("ax"), F.col("y").alias("ay"), cell.alias("src"), "_cx", "_cy", off) \
-        .select("ax", "ay", "src", (F.col("_cx") + F.col("_o.dx")).alias("_cx"), (F.col("_cy") + F.col("_o.dy")).alias("_cy"))
-    b = core.select(F.col("x").alias("bx"), F.col("y").alias("by"), cell.alias("dst"), "_cx", "_cy")
-    j = a.join(b, ["_cx", "_cy"])
-    ddx, ddy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    edges = materialize(j.filter(ddx * ddx + ddy * ddy <= F.lit(eps * eps)).select("src", "dst").distinct(), "region_edges")
+    edges = materialize(region_edges(core, eps), "region_edges")
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:  # at most (graph diameter + 1) rounds
         prop = edges.join(labels.withColumnRenamed("node", "src"), "src") \
