@@ -92,3 +92,19 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
 def q_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     """Classifier, clustering, anomaly and rule metrics with their grades, in one table (run last)."""
     return evaluation_report(spark, sf)
+
+
+@query("kpis_dashboard")
+def q_kpis_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Dashboard KPIs with the four model metrics passed through: classifier ROC-AUC and accuracy
+    (test split), KMeans silhouette and the DBSCAN anomaly count."""
+    from .clustering import clustering_frame, kmeans_model, silhouette
+    from .ml import q_train_topk_classifier
+
+    frame = clustering_frame(spark, sf)
+    sil = round(silhouette(kmeans_model(spark, sf).transform(frame)), 4)
+    an = anomaly_stats(anomaly_points(spark, sf))
+    metrics = q_train_topk_classifier(spark, sf).select(
+        F.col("roc_auc").alias("xgb_roc_auc"), F.col("accuracy").alias("xgb_accuracy"),
+        F.lit(sil).alias("silhouette"), an.select("n_anomalies").scalar().alias("n_anomalies"))
+    return kpis(processed_products(spark, sf), metrics)
