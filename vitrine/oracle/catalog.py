@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 from .. import config as C
-from ..sources.adapters import RAW_PRODUCTS_SQL, RAW_VARIANTS_SQL, ORDER_BASKETS_SQL
+from ..sources.adapters import ORDER_BASKETS_SQL, RAW_PRODUCTS_SQL
 
 TWO_PI = repr(2.0 * math.pi)
 
@@ -161,9 +161,5 @@ def with_products_ctes(ctes_and_select: str, profile: C.StoreProfile = C.DEFAULT
     return "WITH " + processed_ctes(profile) + ",\n" + ctes_and_select
 
 
-def with_variants(select_sql: str) -> str:
-    return f"WITH raw_variants AS ({RAW_VARIANTS_SQL})\n" + select_sql
-
-
 def with_baskets(select_sql: str) -> str:
     return f"WITH order_baskets AS ({ORDER_BASKETS_SQL})\n" + select_sql

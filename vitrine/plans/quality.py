@@ -13,7 +13,7 @@ from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_raw_ctes
 from ..registry import query
-from ..sources.adapters import raw_variants
+from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import PRODUCT_CONTRACT, VARIANT_CONTRACT, landed_cte, landed_products
 
 QUALITY_COLS = C.QUALITY_CRITICAL + C.QUALITY_ENRICHABLE
@@ -172,7 +172,7 @@ def basic_counts(products: DataFrame, variants: DataFrame) -> DataFrame:
     return p.withColumn("total_variants", variants.select(F.count(F.lit(1))).scalar())
 
 
-@query("basic_counts", with_raw_ctes(f"""raw_variants AS ({__import__('vitrine.sources.adapters', fromlist=['x']).RAW_VARIANTS_SQL})
+@query("basic_counts", with_raw_ctes(f"""raw_variants AS ({RAW_VARIANTS_SQL})
 SELECT count(*) AS total_products, count(DISTINCT source_store) AS n_sources,
        count(DISTINCT category) AS n_categories, count(DISTINCT brand) AS n_brands,
        (SELECT count(*) FROM raw_variants) AS total_variants FROM raw_products"""))
@@ -397,7 +397,7 @@ def _validate_sql(contract, ranges, table, src) -> str:
 
 @query("validate_schema", with_raw_ctes(
     landed_cte() + f""",
-raw_variants AS ({__import__('vitrine.sources.adapters', fromlist=['x']).RAW_VARIANTS_SQL})
+raw_variants AS ({RAW_VARIANTS_SQL})
 """ + _validate_sql(PRODUCT_CONTRACT, PRODUCT_RANGES, "products", "landed") + " UNION ALL "
     + _validate_sql(VARIANT_CONTRACT, VARIANT_RANGES, "variants", "raw_variants")))
 def q_validate_schema(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,6 @@ are plentiful; ``_s1.._s5`` is the ingest (keep-first) order and is unique.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .tables import read_table
 
@@ -98,6 +97,3 @@ def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with_views(spark, sf_dir, ["lineitem", "part"])
     return spark.sql(ORDER_BASKETS_SQL)
 
-
-def seq_order(desc: bool = False):
-    return [F.col(c).desc() if desc else F.col(c).asc() for c in SEQ_COLS]
