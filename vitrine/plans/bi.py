@@ -27,8 +27,10 @@ def pct(col) -> F.Column:
     return R(F.avg(F.col(col).cast("double")) * F.lit(100.0), 1)
 
 
-def kpis(products: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """Headline numbers; optional one-row model-metric table is attached as extra columns."""
+def kpis(products: DataFrame, metrics: DataFrame | None = None, approx_distinct: bool = False) -> DataFrame:
+    """Headline numbers; optional one-row model-metric table is attached as extra columns.
+    ``approx_distinct`` counts categories / brands / sources with HyperLogLog++ sketches instead."""
+    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     out = products.agg(
         F.count(F.lit(1)).alias("total_products"),
         F.sum("topk_label").cast("long").alias("topk_count"),
@@ -37,9 +39,9 @@ def kpis(products: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
         R(F.avg("price"), 2).alias("avg_price"),
         pct("in_stock").alias("in_stock_pct"),
         pct("is_on_promo").alias("on_promo_pct"),
-        F.count_distinct("category").alias("n_categories"),
-        F.count_distinct("brand").alias("n_brands"),
-        F.count_distinct("source_store").alias("n_sources"),
+        distinct("category").alias("n_categories"),
+        distinct("brand").alias("n_brands"),
+        distinct("source_store").alias("n_sources"),
     )
     if metrics is not None:
         for c in metrics.columns:
@@ -201,8 +203,9 @@ def q_product_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width bins between the column's min and max (one scalar pass, then one grouped pass)."""
-    lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.max(col)).scalar()
+    # one scalar subquery (one pass) for both ends
+    mm = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    lo, hi = mm.getField("lo"), mm.getField("hi")
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1))).cast("int")
