@@ -54,3 +54,25 @@ def test_stratified_split_exact_sizes(spark):
     c = {(r.topk_label, r.split): r["count"] for r in out.groupBy("topk_label", "split").count().collect()}
     assert c[(1, "test")] == 40 and c[(0, "test")] == 160
     assert c[(1, "train")] == 160 and c[(0, "train")] == 640
+
+
+def test_histogram_bins_and_constant_column(spark):
+    from vitrine.plans.bi import histogram
+
+    df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 3, 4, 10]], "x double")
+    got = {r.bin: r["count"] for r in histogram(df, "x", 5).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 4: 1}  # width 2; the maximum falls in the last bin
+    const = spark.createDataFrame([(7.0,)] * 4, "x double")
+    assert [(r.bin, r["count"]) for r in histogram(const, "x", 5).collect()] == [(0, 4)]
+
+
+def test_kpis_approx_distinct_matches_exact_on_small_input(spark):
+    from vitrine.plans.bi import kpis
+
+    rows = [(f"c{i % 7}", f"b{i % 11}", f"s{i % 3}", 10.0 + i, 4.0, i % 2, True, i % 3 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "category string, brand string, source_store string, price double, rating double, "
+                                     "topk_label int, in_stock boolean, is_on_promo boolean")
+    exact = kpis(df).first()
+    approx = kpis(df, approx_distinct=True).first()
+    assert (exact.n_categories, exact.n_brands, exact.n_sources) == (7, 11, 3)
+    assert (approx.n_categories, approx.n_brands, approx.n_sources) == (7, 11, 3)
