@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.llm import quality_rules
+from vitrine.llm import ngram_join, quality_rules, substring_dedup
 from vitrine.llm.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,16 @@ def query(name: str, sql: str | None = None):
 def _op1(table):
     """Base counts, ratio and verdict of every document."""
     return quality_rules.score(table("documents"), quality_rules.trusted(table("labels")))
+
+
+@query("op8_ngram_jaccard")
+def _op8(table):
+    """Shingle-set size and component of every document."""
+    return ngram_join.near_duplicates(table("documents"))
+
+
+@query("op5_substring_dedup")
+def _op5(table):
+    """Word counts and hash of what is kept of every document."""
+    found = substring_dedup.dedup(table("documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -35,8 +35,9 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the input as the optimizer estimates them (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Bytes of the inputs of a plan (file sizes for scans) as the optimizer knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -85,6 +85,24 @@ class Words:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+def joined(w: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's words that ``keep`` marks, joined by one space."""
+    n = len(w.data)
+    out = np.zeros(n + 1, dtype=bool)
+    data = np.append(w.data, np.uint8(0x20))
+    start, end = w.start[keep], w.end[keep]
+    edge = np.zeros(n + 2, dtype=np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    out |= np.cumsum(edge[: n + 1]) > 0
+    doc = np.searchsorted(w.first, np.flatnonzero(keep), side="right") - 1
+    inner = end[:-1][doc[1:] == doc[:-1]] if len(doc) else end[:0]
+    out[inner] = True  # the separator after a word that another kept word follows
+    data[inner] = 0x20
+    sizes = np.concatenate([[0], np.cumsum(out)])[w.offsets]
+    return pa.Array.from_buffers(pa.string(), len(w), [None, pa.py_buffer(sizes.astype(np.int32).tobytes()), pa.py_buffer(data[out].tobytes())])
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit polynomial hashes of byte spans, from prefix sums modulo 2**64."""
     power, inverse = _powers(len(data))
