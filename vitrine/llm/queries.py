@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import ngram_join, quality_rules, substring_dedup
+from vitrine.llm import line_dedup, ngram_join, packing, quality_rules, substring_dedup
 from vitrine.llm.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +41,51 @@ def _op8(table):
     return ngram_join.near_duplicates(table("documents"))
 
 
+LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+  FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), r AS (
+  SELECT doc_id, p, line AS l1, lead(line) OVER d AS l2, lead(line, 2) OVER d AS l3
+  FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+), f AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, p) AS place
+  FROM r WHERE l3 IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM f, (VALUES (0), (1), (2)) AS v(k) WHERE place > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+  FROM l LEFT JOIN w USING (doc_id, i) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p
+  WHERE g.p IS NULL GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY 1) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1) g USING (doc_id)
+LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query("op4_line_dedup", LINES_SQL)
+def _op4(table):
+    """Lines, deleted lines and hash of what is kept of every document."""
+    found = line_dedup.dedup(table("documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_substring_dedup")
 def _op5(table):
     """Word counts and hash of what is kept of every document."""
     found = substring_dedup.dedup(table("documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_best_fit_packing")
+def _op7(table):
+    """Place of every piece of every document."""
+    return packing.pack_documents(table("documents"))

@@ -8,6 +8,7 @@ equal in every worker.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,22 +59,48 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        n = len(data)
-        inside = ~_SEP[data]
+        self._hash: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    @cached_property
+    def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.data)
+        inside = ~_SEP[self.data]
         edge = np.zeros(n + 1, dtype=bool)
-        edge[offsets] = True
+        edge[self.offsets] = True
         left = np.ones(n, dtype=bool)
         left[1:] = ~inside[:-1]
         right = np.ones(n, dtype=bool)
         right[:-1] = ~inside[1:]
-        self.start = np.flatnonzero(inside & (left | edge[:-1]))
-        self.end = np.flatnonzero(inside & (right | edge[1:])) + 1
-        self.first = np.searchsorted(self.start, offsets)
-        self.counts = np.diff(self.first)
-        self._hash: np.ndarray | None = None
-
-    def __len__(self) -> int:
-        return len(self.counts)
+        return np.flatnonzero(inside & (left | edge[:-1])), np.flatnonzero(inside & (right | edge[1:])) + 1
+
+    @property
+    def start(self) -> np.ndarray:
+        return self._bounds[0]
+
+    @property
+    def end(self) -> np.ndarray:
+        return self._bounds[1]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return np.searchsorted(self.start, self.offsets)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text number) of every line of every text; an empty text is one empty line."""
+        at = np.flatnonzero(self.data == 0x0A)
+        start = np.sort(np.concatenate([self.offsets[:-1], at + 1]), kind="stable")
+        end = np.sort(np.concatenate([at, self.offsets[1:]]), kind="stable")
+        # a text's own start comes before the starts behind its line feeds, also when they are equal to
+        # the next text's: count the line feeds of each text instead of searching
+        n = np.diff(np.searchsorted(at, self.offsets)) + 1
+        return start, end, np.repeat(np.arange(len(self)), n)
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash per word."""
