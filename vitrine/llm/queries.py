@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import line_dedup, ngram_join, packing, quality_rules, substring_dedup
+from vitrine.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, substring_dedup
 from vitrine.llm.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def _op5(table):
 def _op7(table):
     """Place of every piece of every document."""
     return packing.pack_documents(table("documents"))
+
+
+@query("op10_decontamination")
+def _op10(table):
+    """Benchmark items found in every document."""
+    return decontamination.report(table("documents"), table("benchmark"))
