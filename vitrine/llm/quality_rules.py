@@ -90,9 +90,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n): n-grams of all texts, summed map-side before the shuffle."""
-    grams_of = texts.select(words(F.col("text")).alias("w")).select(F.explode(let(F.col("w"), lambda w: _buckets(w, buckets))).alias("bucket"))
-    return grams_of.groupBy("bucket").agg(F.count("*").alias("n"))
+    """(bucket, t, r): n-grams of the trusted and of all texts, summed map-side before the shuffle."""
+    grams_of = texts.select("t", words(F.col("text")).alias("w")).select("t", F.explode(let(F.col("w"), lambda w: _buckets(w, buckets))).alias("bucket"))
+    return grams_of.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
 
 
 def weights(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
@@ -101,12 +101,11 @@ def weights(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
     ``trusted_ids`` has one column of ids. Both multinomials are counted over whole corpora.
     """
     texts = _texts(docs, id_col, text_col)
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("doc_id")).where("doc_id is not null").distinct()
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("doc_id")).where("doc_id is not null").distinct().withColumn("t", F.lit(1).cast("long"))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    raw = _counts(texts, buckets).select("bucket", F.lit(0).cast("long").alias("t"), F.col("n").alias("r"))
-    target = _counts(texts.join(ids, "doc_id", "left_semi"), buckets).select("bucket", F.col("n").alias("t"), F.lit(0).cast("long").alias("r"))
-    both = materialize(raw.unionByName(target).groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r")), "ngram-counts")
+    marked = texts.join(ids, "doc_id", "left").select("text", F.coalesce("t", F.lit(0).cast("long")).alias("t"))
+    both = materialize(_counts(marked, buckets), "ngram-counts")
     sums = both.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"))
     n_t, n_r = sums.select("t").scalar(), sums.select("r").scalar()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, substring_dedup
+from vitrine.llm import decontamination, licence_scan, line_dedup, ngram_join, packing, quality_rules, substring_dedup
 from vitrine.llm.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,13 @@ def _op7(table):
     return packing.pack_documents(table("documents"))
 
 
+@query("op9_licence_scan", licence_scan.oracle())
+def _op9(table):
+    """Licence sentences and licences of every document, as comma lists."""
+    found = licence_scan.scan(table("documents"))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
 @query("op10_decontamination")
 def _op10(table):
     """Benchmark items found in every document."""
