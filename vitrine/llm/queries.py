@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, licence_scan, line_dedup, ngram_join, packing, quality_rules, substring_dedup
+from vitrine.llm import decontamination, licence_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup
 from vitrine.llm.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def _op8(table):
     return ngram_join.near_duplicates(table("documents"))
 
 
+@query("op2_quality_classifier")
+def _op2(table):
+    """Quality score of every document."""
+    return quality_classifier.classify(table("documents"), table("labels"))
+
+
 LINES_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
