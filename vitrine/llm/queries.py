@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontamination, licence_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup
-from vitrine.llm.runtime import prepare
+from vitrine.llm import chat_format, decontamination, licence_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, url_filters
+from vitrine.llm.runtime import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,14 @@ def _op2(table):
     return quality_classifier.classify(table("documents"), table("labels"))
 
 
+@query("op3_url_filters", url_filters.SQL)
+def _op3(table):
+    """Verdict of every page capture by the lists valid on its fetch day."""
+    pages = table("pages")
+    found = url_filters.evaluate(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
+    return found.select("page_id", "fetch_day", "blocked", F.array_join("lists", ",").alias("lists"), F.array_join("patterns", ",").alias("patterns"))
+
+
 LINES_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -91,6 +99,14 @@ def _op5(table):
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op6_chat_format")
+def _op6(table):
+    """Role and canonical message of every turn found in every transcript."""
+    lines = materialize(chat_format.derived_transcripts(table("conversations")), "transcripts")
+    scores = chat_format.fit(chat_format.labelled(lines.where(~chat_format.held_out(F.col("conv_id")))))
+    return chat_format.render(chat_format.decode(lines, scores))
+
+
 @query("op7_best_fit_packing")
 def _op7(table):
     """Place of every piece of every document."""
