@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vitrine.llm.runtime import materialize
@@ -15,20 +15,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     neighbour by a map-side-combined minimum, so a node with very many neighbours is no single group.
     Nodes without an edge are not listed. Self loops are ignored.
     """
-    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    def stored(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The written edges, and a count and sum of hashes that tell two edge sets apart."""
+        seen = Observation()
+        mark = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+        return materialize(e.observe(seen, *mark), name), tuple(seen.get.values())
+
+    links, now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
-        # large star: every larger neighbour of a node hangs on the node's smallest neighbour
+    while now[0] and now != before:
+        # large star: every larger neighbour of a node hangs on the least of the node and its neighbours
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: a node and its smaller neighbours hang on the smallest of them
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a node and its smaller neighbours hang on the least of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(lowest.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small, name)
-        # equal (count, sum of hashes) of the edge set in two rounds: no edge changed
-        now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == before or now[0] == 0:
-            break
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
         before = now
-    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        links, now = stored(small)
+    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(links.select("v", "v").distinct())

@@ -13,10 +13,11 @@ words is one shingle. Two texts link when 100 * |x & y| >= 75 * |x | y|; links a
    ``m = g + 1``: either one of the common tokens there is rare, and rare tokens are indexed singly, or
    ``g + 1`` frequent ones fall in ``g`` hash groups, so two share a group, and 2-token combinations
    within a group are indexed. ``g`` grows with the set's size, so the index stays linear.
-4. Candidates are verified on whole sets. Members of an index key are compared with the key's smallest
-   class first; links found so fold most of a group. What is left in a key over different components is
-   compared pair by pair, each pair verified once. No pair inside a component needs a test, no other pair
-   of a key goes untested.
+4. Candidates are verified on whole sets. Members of an index key are compared with the key's least
+   edited class first; links found so fold most of a family. What is left in a key over different
+   components is compared pair by pair, each pair verified once, except pairs that can't reach the
+   threshold: by their sizes, and by how many shared tokens (for a combination: frequent ones, as a pair
+   with a rare token in common meets there too) either has at all. No pair inside a component needs a test.
 
 Defined cases: null, empty and white-space-only texts have size 0 and are their own component; equal
 rows (same id) come out once; an empty table gives an empty result; extra columns are ignored by
@@ -80,21 +81,22 @@ def _classes(size: int, percent: int) -> list[int]:
     return sorted({int(size).bit_length(), int(size * 100 // percent).bit_length()})
 
 
-def index_keys(tokens: np.ndarray, size: int, frequency: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> np.ndarray:
-    """Index keys of one set: ``tokens`` are its shared ones, ``frequency`` their sketched counts."""
+def index_keys(tokens: np.ndarray, size: int, frequency: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(single keys, combination keys) of one set: ``tokens`` are its shared ones, ``frequency`` their
+    sketched counts. A linked pair that shares no single key has frequent tokens only in common."""
     order = np.lexsort((tokens, frequency))
     tokens, often = tokens[order], frequency[order] > rare
     ahead = size - len(tokens)
-    keys = []
+    single, combined = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
     for c in _classes(size, percent):
         g = max(1, (1 << c) // 32)
         m = max(0, min(len(tokens), size - _needed(size, percent) + g + 1 - ahead))
-        keys.append(mix(tokens[:m][~often[:m]]))
+        single.append(mix(tokens[:m][~often[:m]]))
         t = tokens[:m][often[:m]]
-        if len(t) < 2:
-            continue
         if _needed(size, percent) < g + 1:
-            keys.append(mix(t))
+            combined.append(mix(t))
+            continue
+        if len(t) < 2:
             continue
         cell = mix(t ^ np.uint64(c)) % np.uint64(g)
         by, start, n = groups(cell)
@@ -104,8 +106,8 @@ def index_keys(tokens: np.ndarray, size: int, frequency: np.ndarray, percent: in
         first = np.repeat(np.arange(len(t)), later)
         second = first + 1 + np.arange(len(first)) - np.repeat(np.concatenate([[0], np.cumsum(later)[:-1]]), later)
         x, y = np.minimum(t[first], t[second]), np.maximum(t[first], t[second])
-        keys.append(mix(mix(x) + y * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
+        combined.append(mix(mix(x) + y * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
+    return np.unique(np.concatenate(single)), np.unique(np.concatenate(combined))
 
 
 def _token_sketch(shared: DataFrame) -> np.ndarray:
@@ -133,11 +135,15 @@ def _index(shared: DataFrame, sketch, buckets: int, percent: int) -> DataFrame:
     """Packed (key, class) postings of the classes in ``shared``."""
 
     def emit(batch_iter):
-        packer, counts = Packer(buckets, salt_hot=False), sketch.value
+        packer, counts = Packer(buckets, salt_hot=False, copies=False), sketch.value
         for b in batch_iter:
             for own, size, comp, t in zip(*(b.column(c).to_pylist() for c in ("owner", "size", "component")), b.column("tokens")):
                 tokens = np.frombuffer(t.as_buffer(), dtype=np.uint64)
-                yield from packer.add(own, size, index_keys(tokens, size, counts[(mix(tokens) % np.uint64(SKETCH)).astype(np.int64)], percent), comp)
+                often = counts[(mix(tokens) % np.uint64(SKETCH)).astype(np.int64)]
+                single, combined = index_keys(tokens, size, often, percent)
+                # with each key: how many tokens a pair that only meets there can have in common
+                yield from packer.add(own, size | len(tokens) << 32, single, comp)
+                yield from packer.add(own, size | int((often > RARE).sum()) << 32, combined, comp)
         yield from packer.flush()
 
     return shared.select("owner", "size", "component", "tokens").mapInArrow(emit, SCHEMA)
@@ -161,60 +167,60 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y", "m", "n").mapInArrow(test, "a long, b long")
 
 
-def _pair_rows(x: np.ndarray, y: np.ndarray, votes: bool) -> pa.Table:
-    """Distinct unordered pairs (a < b), with the number of times that each came up."""
-    both = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
-    both, n = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, dtype=np.int64))
-    columns = {"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())}
-    return pa.table(columns | ({"votes": pa.array(n, pa.int64())} if votes else {}))
+def _unpacked(table: pa.Table):
+    """(class, size, shared tokens, component, key) of a bucket's postings."""
+    own, both, comp, key = unpack(table)
+    return own, both & 0xFFFFFFFF, both >> 32, comp, key
 
 
-def _star(postings: DataFrame) -> DataFrame:
-    """One pair for each class that shares a key with another component: with the smallest class of a key
-    over all its keys that comes up in most of them."""
+def _star(postings: DataFrame, percent: int) -> DataFrame:
+    """One pair for each class that shares a key with another component: with the head of a key (the class
+    whose tokens are shared most, so the least edited one of a family) that comes up in most of its keys."""
 
     def find(table: pa.Table) -> pa.Table:
-        own, _, comp, key = unpack(table)
-        order, start, n = groups(key)
+        own, size, shared, comp, key = _unpacked(table)
         if not len(own):
             return _pair_rows(own, own, True)
-        o, c = own[order], comp[order]
-        least = np.repeat(np.minimum.reduceat(o, start), n)
-        head = np.repeat(c[_first_least(o, start, n)], n)
-        other = c != head
-        return _pair_rows(o[other], least[other], True)
+        order = np.lexsort((own, -shared / size, key))
+        o, c, k, s, m = own[order], comp[order], key[order], size[order], shared[order]
+        start = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        n = np.diff(np.concatenate([start, [len(k)]]))
+        head, its = np.repeat(o[start], n), np.repeat(c[start], n)
+        most, wide = np.repeat(m[start], n), np.repeat(s[start], n)
+        other = (c != its) & ((100 + percent) * np.minimum(m, most) >= percent * (s + wide))
+        # (head, member), as heads are what a member has to choose from
+        both, votes = np.unique(np.stack([head[other], o[other]], axis=1), axis=0, return_counts=True)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "votes": pa.array(votes, pa.int64())})
 
     seen = postings.groupBy("bucket").applyInArrow(find, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     return seen.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
-def _first_least(o: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Position of the least value of each run."""
-    return np.lexsort((o, np.repeat(np.arange(len(n)), n)))[start]
-
-
 def _rest(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that share a key and fit in size."""
+    """All pairs (a < b) of classes of different components that share a key and could be similar enough
+    by their sizes and by how many of their tokens are shared with anyone."""
 
     def find(table: pa.Table) -> pa.Table:
-        own, size, comp, key = unpack(table)
+        own, size, shared, comp, key = _unpacked(table)
         order, start, n = groups(key)
-        o, c, s = own[order], comp[order], size[order].astype(np.int64)
+        o, c, s, m = own[order], comp[order], size[order], shared[order]
         mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start) if len(c) else np.zeros(0, dtype=bool)
         out, held = [np.zeros((0, 2), dtype=np.int64)], 0
         for a, k in zip(start[mixed], n[mixed]):
             by = a + np.argsort(s[a : a + k], kind="stable")
-            po, pc, ps = o[by], c[by], s[by]
+            po, pc, ps, pm = o[by], c[by], s[by], m[by]
             end = np.searchsorted(ps, ps * 100 // percent, side="right")
             for i in range(k - 1):
-                j = i + 1 + np.flatnonzero(pc[i + 1 : end[i]] != pc[i])
+                j = slice(i + 1, end[i])
+                # |x & y| is at most the shared tokens of either
+                j = i + 1 + np.flatnonzero((pc[j] != pc[i]) & ((100 + percent) * np.minimum(pm[j], pm[i]) >= percent * (ps[j] + ps[i])))
                 if len(j):
                     out.append(np.stack([np.minimum(po[i], po[j]), np.maximum(po[i], po[j])], axis=1))
                     held += len(j)
             if held > 2_000_000:
                 out, held = [np.unique(np.concatenate(out), axis=0)], 0
-        both = np.concatenate(out)
-        return _pair_rows(both[:, 0], both[:, 1], False)
+        both = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return postings.groupBy("bucket").applyInArrow(find, "a long, b long").distinct()
 
@@ -247,10 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # every class is its own component at first; stars fold most groups, then the rest is tested pair by pair
     links = shared.select(F.col("owner").alias("a"), F.col("owner").alias("b")).limit(0)
-    for step in ("star", "star", "rest"):
+    for step in ("star", "rest"):
         labelled = _labelled(shared, links)
         index = _index(labelled, sketch, buckets, percent)
-        tested = materialize(_star(index) if step == "star" else _rest(index, percent), f"pairs-{step}")
+        tested = materialize(_star(index, percent) if step == "star" else _rest(index, percent), f"pairs-{step}")
         links = materialize(links.union(_verify(tested, shared, percent)), f"links-{step}")
     return _answer(members, links)
 

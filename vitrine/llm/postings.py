@@ -45,10 +45,10 @@ def _rows(bucket: np.ndarray, owner: np.ndarray, size: np.ndarray, extra: np.nda
     bucket, owner, size, extra, token = bucket[order], owner[order], size[order], extra[order], token[order]
     cut = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])):
-        new = np.concatenate([[0], np.flatnonzero(np.diff(owner[a:b])) + 1])
+        new = np.concatenate([[0], np.flatnonzero(np.diff(owner[a:b]) | np.diff(size[a:b])) + 1])
         counts = np.diff(np.concatenate([new, [b - a]])).astype(np.uint32)
         t = token[a:b]
-        columns = [owner[a:b][new], size[a:b][new].astype(np.uint32), extra[a:b][new], counts, (t & _LOW32).astype(np.uint32), (t >> np.uint64(32)).astype(np.uint32) if wide else ((t >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)]
+        columns = [owner[a:b][new], size[a:b][new], extra[a:b][new], counts, (t & _LOW32).astype(np.uint32), (t >> np.uint64(32)).astype(np.uint32) if wide else ((t >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)]
         yield pa.record_batch([pa.array([int(bucket[a])], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], schema=_ARROW)
 
 
@@ -56,13 +56,14 @@ class Packer:
     """Collects (owner, size, tokens) and writes rows of ``SCHEMA``. ``wide`` keeps all 64 bits of a token,
     else its bucket and low 48."""
 
-    def __init__(self, buckets: int, salt_hot: bool = True, wide: bool = False):
-        self.buckets, self.salt_hot, self.wide, self.held, self.seen = buckets, salt_hot, wide, 0, set()
+    def __init__(self, buckets: int, salt_hot: bool = True, wide: bool = False, copies: bool = True):
+        self.buckets, self.salt_hot, self.wide, self.copies, self.held, self.seen = buckets, salt_hot, wide, copies, 0, set()
         self.parts: list[tuple[int, int, int, np.ndarray]] = []
 
     def add(self, owner: int, size: int, tokens: np.ndarray, extra: int = 0) -> Iterator[pa.RecordBatch]:
-        """``tokens``: distinct; ``size`` and ``extra`` travel with the owner. An owner seen before in this flush is skipped (an equal copy)."""
-        if not len(tokens) or owner in self.seen:
+        """``tokens``: distinct; ``size`` and ``extra`` travel with the owner. With ``copies`` an owner seen
+        before in this flush is an equal copy and skipped, else it brings further tokens."""
+        if not len(tokens) or self.copies and owner in self.seen:
             return
         self.seen.add(owner)
         self.parts.append((owner, size, extra, tokens))
@@ -101,7 +102,7 @@ def unpack(table: pa.Table, wide: bool = False) -> tuple[np.ndarray, np.ndarray,
 
     token = joined("lo", np.uint32).astype(np.uint64) | (joined("hi", np.uint32 if wide else np.uint16).astype(np.uint64) << np.uint64(32))
     counts = joined("counts", np.uint32)
-    return *(np.repeat(joined(c, k), counts) for c, k in (("owners", np.int64), ("sizes", np.uint32), ("extras", np.int64))), token
+    return *(np.repeat(joined(c, k), counts) for c, k in (("owners", np.int64), ("sizes", np.int64), ("extras", np.int64))), token
 
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,15 +150,15 @@ def shared_by_owner(postings: DataFrame, buckets: int, name: str, wide: bool = F
         def joined(c: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind)
 
-        own, sizes, counts, token = joined("owners", np.int64), joined("sizes", np.uint32), joined("counts", np.uint32), joined("tokens", np.uint64)
+        own, sizes, counts, token = joined("owners", np.int64), joined("sizes", np.int64), joined("counts", np.uint32), joined("tokens", np.uint64)
         own, sizes = np.repeat(own, counts), np.repeat(sizes, counts)
         order, start, n = groups(own)
         token = token[order]
         return pa.table([
-            pa.array(own[order][start], pa.int64()), pa.array(sizes[order][start].astype(np.int64), pa.int64()),
+            pa.array(own[order][start], pa.int64()), pa.array(sizes[order][start], pa.int64()),
             pa.array([np.unique(token[a : a + c]).tobytes() for a, c in zip(start, n)], pa.binary()),
         ], names=["owner", "size", "tokens"])
 
     _OUT = pa.schema([("bucket", pa.int64()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
     found = postings.groupBy("bucket").applyInArrow(find, "bucket long, owners binary, sizes binary, counts binary, tokens binary")
-    return materialize(found.groupBy("bucket").applyInArrow(gather, "owner long, size long, tokens binary").where(F.length("tokens") > 0), name, codec="none")
+    return materialize(found.groupBy("bucket").applyInArrow(gather, "owner long, size long, tokens binary").where(F.length("tokens") > 0), name, codec="none", release=True)

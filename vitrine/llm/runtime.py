@@ -21,16 +21,17 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", release: bool = False) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: the lineage ends here, so a
-    lost executor costs a re-read. The shuffle files behind it are released at once."""
+    lost executor costs a re-read. ``release`` has the shuffle files behind it removed at once."""
     spark = df.sparkSession
     path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", codec).parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
