@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,18 +20,22 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd", release: bool = False) -> DataFrame:
+#: Spark's setting that removes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: the lineage ends here, so a
-    lost executor costs a re-read. ``release`` has the shuffle files behind it removed at once."""
+    lost executor costs a re-read. The shuffle files of the write are removed when it ends."""
     spark = df.sparkSession
     path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    schema = df.schema
-    del df
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:
