@@ -17,11 +17,12 @@ def test_clean_html_entities_tags_space(spark):
     assert _one(spark, T.clean_html("x"), "&lt;i&gt;hi&lt;/i&gt;") == "hi"
     assert _one(spark, T.clean_html("x"), "a  b\n\tc") == "a b c"
     assert _one(spark, T.clean_html("x"), None) == ""
-    assert len(_one(spark, T.clean_html("x"), "y" * 1500)) == 1000
+    assert len(_one(spark, T.clean_html("x", 1000), "y" * 1500)) == 1000
+    assert len(_one(spark, T.clean_html("x"), "y" * 1500)) == 1500
 
 
-def test_clean_html_exact_uses_full_entity_table(spark):
-    assert _one(spark, T.clean_html_exact("x"), "caf&eacute; &euro;5") == "café €5"
+def test_clean_html_uses_full_entity_table(spark):
+    assert _one(spark, T.clean_html("x"), "caf&eacute; &euro;5") == "café €5"
 
 
 def test_normalize_category(spark):

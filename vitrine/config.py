@@ -103,7 +103,8 @@ AS_OF = "2026-01-01 00:00:00"
 class StoreProfile:
     """Per-store parameters of the preprocessing job (a handful of rows: a fixed-size table)."""
 
-    caps: dict = field(default_factory=lambda: dict(ADAPTER_CAPS))
+    #: Rows kept per store; None keeps all rows of all stores.
+    caps: dict | None = None
     brand_defaults: dict = field(default_factory=lambda: dict(ADAPTER_BRAND_DEFAULTS))
     tag_category_store: str | None = ADAPTER_TAG_CATEGORY_STORE
 
@@ -113,3 +114,5 @@ class StoreProfile:
 
 
 DEFAULT_PROFILE = StoreProfile()
+#: The original's per-store caps, for the jobs whose feature they are.
+CAPPED_PROFILE = StoreProfile(caps=dict(ADAPTER_CAPS))

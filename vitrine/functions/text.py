@@ -1,13 +1,11 @@
 """String column helpers: HTML cleaning, category / brand normalisation, description fallback, search.
 
-All are native Catalyst expressions (codegen, no Python worker), except ``clean_html_exact`` which calls
-Python's full HTML entity decoder through an Arrow-batched pandas UDF, only for rows holding a '&'.
+All are native Catalyst expressions, except that ``clean_html`` hands texts with an HTML reference outside the
+native ones to Python's full decoder, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import html
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +22,6 @@ NATIVE_ENTITIES = [
     ("&nbsp;", " "),
     ("&amp;", "&"),
 ]
-DESCRIPTION_MAX_CHARS = 1000
 # FIXED VALUES: words that do not count as a description part.
 FALLBACK_SKIP = ["unknown", "uncategorized", "nan"]
 FALLBACK_SEPARATOR = " — "   # space, em dash, space
@@ -43,37 +40,40 @@ def decode_entities(col) -> Column:
     return c
 
 
-def strip_tags_and_space(col, max_chars: int = DESCRIPTION_MAX_CHARS) -> Column:
+def strip_tags_and_space(col, max_chars: int | None = None) -> Column:
     c = F.regexp_replace(_c(col), r"<[^>]+>", " ")
     # Unicode-aware whitespace (nbsp included), as in Python's re.
     c = F.regexp_replace(c, r"(?U)\s+", " ")
     c = F.regexp_replace(c, r"^ | $", "")
-    return F.substring(c, 1, max_chars)
-
+    return c if max_chars is None else F.substring(c, 1, max_chars)
 
-def clean_html(col, max_chars: int = DESCRIPTION_MAX_CHARS) -> Column:
-    """null/'' -> ''; decode entities; tags -> space; collapse whitespace; trim; first n characters."""
-    return F.coalesce(strip_tags_and_space(decode_entities(col), max_chars), F.lit(""))
 
+def clean_html(col, max_chars: int | None = None) -> Column:
+    """null/'' -> ''; decode all entities; tags -> space; collapse whitespace; trim. ``max_chars`` cuts the
+    result only where the caller asks for it.
 
-def clean_html_exact(col, max_chars: int = DESCRIPTION_MAX_CHARS) -> Column:
-    """Same as ``clean_html`` with the complete HTML5 entity table (pandas UDF on rows with '&')."""
+    Texts whose every '&' begins one of the native entities are decoded by native replacements; only the
+    others reach the Python decoder (it gets null for the rest)."""
     c = _c(col)
-    decoded = F.when(F.instr(c, "&") > 0, _html_unescape_udf()(c)).otherwise(c)
+    pattern = "&(" + "|".join(e[1:-1] for e, _ in NATIVE_ENTITIES) + ");"
+    other = F.contains(F.regexp_replace(c, pattern, ""), F.lit("&"))
+    decoded = F.when(other, _html_unescape_udf()(F.when(other, c))).otherwise(decode_entities(c))
     return F.coalesce(strip_tags_and_space(decoded, max_chars), F.lit(""))
 
 
-def _unescape_batch(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else html.unescape(v))
-
-
 _UNESCAPE = None
 
 
 def _html_unescape_udf():
+    """The decoder as a closure that needs nothing of this package on the workers."""
     global _UNESCAPE
     if _UNESCAPE is None:
-        _UNESCAPE = F.pandas_udf(_unescape_batch, "string")
+        def unescape(s: pd.Series) -> pd.Series:
+            import html
+
+            return s.map(lambda v: None if v is None else html.unescape(v))
+
+        _UNESCAPE = F.pandas_udf(unescape, "string")
     return _UNESCAPE
 
 

@@ -8,6 +8,7 @@ md5-seeded, double literals carry an explicit ``::DOUBLE``.
 from __future__ import annotations
 
 import math
+from html.entities import html5
 
 from .. import config as C
 from ..sources.adapters import ORDER_BASKETS_SQL, RAW_PRODUCTS_SQL
@@ -38,16 +39,38 @@ def gamma(key: str, i: int) -> str:
             f"WHEN g_shape = 1.5 THEN {e1} + {half} END)")
 
 
-def clean_html_sql(x: str, max_chars: int = 1000) -> str:
+def clean_html_sql(x: str) -> str:
+    """With the seven common entities only; ``clean_pages_sql`` decodes all."""
     s = x
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                     ("&nbsp;", " "), ("&amp;", "&")]:
         s = f"replace({s}, '{ent}', '{ch}')"
+    return _strip_sql(s)
+
+
+def _strip_sql(s: str) -> str:
     s = f"regexp_replace({s}, '<[^>]+>', ' ', 'g')"
     s = f"replace({s}, chr(160), ' ')"
     s = f"regexp_replace({s}, '\\s+', ' ', 'g')"
     s = f"regexp_replace({s}, '^ | $', '', 'g')"
-    return f"coalesce(substring({s}, 1, {max_chars}), '')"
+    return f"coalesce({s}, '')"
+
+
+def clean_pages_sql() -> str:
+    """Cleaned ``html`` of ``pages`` with every HTML entity: the text is cut at its references, each is looked
+    up in the entity table or read as a number, and the parts are put together again."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({quote('&' + k)}, {quote(v)})" for k, v in sorted(html5.items()) if k.endswith(";"))
+    number = ("CASE WHEN regexp_matches(ref, '^&#[0-9]+;$') THEN chr(CAST(regexp_extract(ref, '[0-9]+') AS INTEGER)) "
+              "WHEN regexp_matches(ref, '^&#[xX][0-9a-fA-F]+;$') THEN chr(CAST('0x' || regexp_extract(ref, '[xX]([0-9a-fA-F]+)', 1) AS INTEGER)) END")
+    return f"""WITH entity(ref, chars) AS (VALUES {values}),
+cut AS (SELECT page_id, string_split_regex(coalesce(html, ''), '&[#0-9a-zA-Z]+;') AS parts,
+               regexp_extract_all(coalesce(html, ''), '&[#0-9a-zA-Z]+;') AS refs FROM pages),
+piece AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part,
+                 unnest(list_concat(refs, [''])) AS ref FROM cut),
+decoded AS (SELECT page_id, string_agg(part || coalesce(e.chars, {number}, p.ref), '' ORDER BY i) AS html
+            FROM piece p LEFT JOIN entity e USING (ref) GROUP BY page_id)
+SELECT page_id, {_strip_sql('html')} AS text FROM decoded"""
 
 
 def seg_sql(p: str = "price") -> str:
@@ -61,7 +84,7 @@ def _values(rows, cols) -> str:
     return f"(SELECT * FROM (VALUES {body}) t({', '.join(cols)}))"
 
 
-def caps_sql(profile: C.StoreProfile = C.DEFAULT_PROFILE) -> str:
+def caps_sql(profile: C.StoreProfile = C.CAPPED_PROFILE) -> str:
     return _values(sorted(profile.caps.items()), ["source_store", "cap"])
 
 
@@ -125,10 +148,13 @@ scored AS (SELECT * EXCLUDE (_ps, r_mean, r_std, rv_mean, rv_std, g_shape, g_sca
 
 def processed_ctes(profile: C.StoreProfile = C.DEFAULT_PROFILE) -> str:
     """CTEs up to ``products`` (the processed 20-column table)."""
-    return scored_ctes(profile) + f""",
-capped AS (SELECT * EXCLUDE (rn, cap) FROM (SELECT s.*, k.cap, row_number() OVER (PARTITION BY s.source_store
+    capped = "SELECT * FROM scored"
+    if profile.caps is not None:
+        capped = f"""SELECT * EXCLUDE (rn, cap) FROM (SELECT s.*, k.cap, row_number() OVER (PARTITION BY s.source_store
         ORDER BY s.popularity_score DESC, s.product_id) AS rn
-        FROM scored s JOIN {caps_sql(profile)} k ON s.source_store = k.source_store) WHERE rn <= cap),
+        FROM scored s JOIN {caps_sql(profile)} k ON s.source_store = k.source_store) WHERE rn <= cap"""
+    return scored_ctes(profile) + f""",
+capped AS ({capped}),
 thr AS (SELECT quantile_cont(popularity_score, {C.TOPK_QUANTILE}) AS t FROM capped),
 products AS (SELECT product_id, source_platform, source_store, name, description, category, brand,
         {rnd('price', 2)} AS price, {rnd('price_original', 2)} AS price_original,

@@ -17,6 +17,7 @@ from ..oracle.catalog import rnd, with_products, with_products_ctes, with_raw_ct
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import landed_cte, landed_products
+from ..sources.tables import read_table
 from .preprocess import processed_products
 from .preprocess_queries import TOPK_SQL, topk_products
 
@@ -374,17 +375,16 @@ def q_dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENRICH_MAX_LEN = 50
-ENRICH_N = 50
 
 
-def enrichment_candidates(products: DataFrame, max_len: int = ENRICH_MAX_LEN, n: int = ENRICH_N) -> DataFrame:
-    """Products whose description is shorter than ``max_len``: the first ``n`` by key."""
+def enrichment_candidates(products: DataFrame, max_len: int = ENRICH_MAX_LEN, n: int | None = None) -> DataFrame:
+    """Products whose description is shorter than ``max_len``: all, or the first ``n`` by key."""
     c = products.filter(F.length("description") < max_len)
-    return c.orderBy("product_id", "source_store").limit(n)
+    return c if n is None else c.orderBy("product_id", "source_store").limit(n)
 
 
 @query("enrichment_candidates", with_products(f"""SELECT product_id, source_store, description FROM products
-WHERE length(description) < {ENRICH_MAX_LEN} ORDER BY product_id, source_store LIMIT {ENRICH_N}"""))
+WHERE length(description) < {ENRICH_MAX_LEN}"""))
 def q_enrichment_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return enrichment_candidates(processed_products(spark, sf)).select("product_id", "source_store", "description")
 
@@ -397,21 +397,28 @@ def apply_enrichment(products: DataFrame, generated: DataFrame) -> DataFrame:
             .withColumn("is_enriched", F.col("_new").isNotNull()).drop("_new")
 
 
-def generated_texts(candidates: DataFrame) -> DataFrame:
-    """Stand-in for the external text generator: a sentence built from the product's own fields."""
-    text = F.concat(F.col("name"), F.lit(" by "), F.col("brand"), F.lit(", a "), F.col("category"),
-                    F.lit(" product at "), F.format_number("price", 2), F.lit("."))
-    return candidates.select("product_id", "source_store", text.alias("text"))
+def given_texts(candidates: DataFrame, texts: DataFrame, modulus: int) -> DataFrame:
+    """New texts of the candidates from a table of ready ones (doc_id, text): the number of a product is the
+    MD5 of its key modulo ``modulus``; a product without a text of that number keeps its own."""
+    key = F.md5(F.concat_ws("|", "product_id", "source_store"))
+    number = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(modulus))
+    numbered = candidates.select("product_id", "source_store", number.alias("doc_id"))
+    return numbered.join(texts.select("doc_id", "text"), "doc_id").select("product_id", "source_store", "text")
 
 
-@query("apply_enrichment", with_products_ctes(f"""cand AS (SELECT * FROM products WHERE length(description) < {ENRICH_MAX_LEN}
-  ORDER BY product_id, source_store LIMIT {ENRICH_N}),
-gen AS (SELECT product_id, source_store, name || ' by ' || brand || ', a ' || category || ' product at ' || format('{{:,.2f}}', price) || '.' AS text FROM cand)
+GIVEN_MODULUS = 1_000
+
+
+@query("apply_enrichment", with_products_ctes(f"""gen AS (
+  SELECT p.product_id, p.source_store, d.text FROM products p JOIN documents d
+    ON d.doc_id = CAST('0x' || substr(md5(p.product_id || '|' || p.source_store), 1, 8) AS BIGINT) % {GIVEN_MODULUS}
+  WHERE length(p.description) < {ENRICH_MAX_LEN})
 SELECT p.product_id, p.source_store, coalesce(g.text, p.description) AS description_enriched, g.text IS NOT NULL AS is_enriched
 FROM products p LEFT JOIN gen g ON p.product_id = g.product_id AND p.source_store = g.source_store"""))
 def q_apply_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of ``documents`` written back to every product with a short description."""
     p = processed_products(spark, sf)
-    gen = generated_texts(enrichment_candidates(p))
+    gen = given_texts(enrichment_candidates(p), read_table(spark, sf, "documents"), GIVEN_MODULUS)
     return apply_enrichment(p, gen).select("product_id", "source_store", "description_enriched", "is_enriched")
 
 

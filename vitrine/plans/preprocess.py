@@ -1,4 +1,4 @@
-"""Raw products -> processed products: filter, dedup, repair, enrich, score, cap, label.
+"""Raw products -> processed products: filter, dedup, repair, enrich, score, label (and cap on request).
 
 One lazy logical plan. Shuffles happen only where the semantics need them: the two keep-first
 dedups (map-side combined), the per-store median, the distinct-value rank, the per-store cap
@@ -29,6 +29,10 @@ FINAL_COLS = [
 ]
 
 
+# Store medians are broadcast up to this many stores (some 50 bytes each), beyond it joined by a shuffle.
+MEDIAN_BROADCAST_ROWS = 1_000_000
+
+
 def product_key() -> F.Column:
     return F.concat_ws("|", F.col("product_id"), F.col("source_store"))
 
@@ -104,10 +108,13 @@ def enrich(df: DataFrame, params: DataFrame, review_cap: int = C.REVIEW_CAP) ->
 def median_fill_days(df: DataFrame, default: int = C.DAYS_DEFAULT) -> DataFrame:
     """Missing days := median of the store (interpolated), else ``default``; truncated to int."""
     med = df.groupBy("source_store").agg(F.percentile("days_since_publish", 0.5).alias("_med_days"))
-    # one row per store: AQE broadcasts it at run time when small.
-    df = df.join(med, "source_store", "left")
+    # a row per store: broadcast behind a count, so the catalog itself is not shuffled on a few values
+    med = materialize(med.withColumnRenamed("source_store", "_med_store"), "store_medians")
+    if med.count() <= MEDIAN_BROADCAST_ROWS:
+        med = F.broadcast(med)
+    df = df.join(med, F.col("source_store") == F.col("_med_store"), "left")
     filled = F.coalesce(F.col("days_since_publish").cast("double"), F.col("_med_days"), F.lit(float(default)))
-    return df.withColumn("days_since_publish", filled.cast("int")).drop("_med_days")
+    return df.withColumn("days_since_publish", filled.cast("int")).drop("_med_days", "_med_store")
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -133,7 +140,8 @@ def cap_per_source(df: DataFrame, caps: DataFrame, max_cap: int) -> DataFrame:
 
 
 def topk_label(df: DataFrame, q: float = C.TOPK_QUANTILE) -> DataFrame:
-    """1 when the score reaches the interpolated ``q`` quantile of the (capped) set."""
+    """1 when the score reaches the interpolated ``q`` quantile of the set (scores have three decimals, so
+    the exact percentile holds a bounded number of distinct values)."""
     thr = df.select(F.percentile("popularity_score", q).alias("thr")).scalar()
     return df.withColumn("topk_label", (F.col("popularity_score") >= thr).cast("int"))
 
@@ -175,9 +183,11 @@ def scored_products(raw: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE,
 
 
 def finish(scored: DataFrame, profile: C.StoreProfile = C.DEFAULT_PROFILE) -> DataFrame:
-    """Scored rows -> processed layer: per-store cap, top-k label, final columns and types."""
-    spark = scored.sparkSession
-    df = cap_per_source(scored, store_caps(spark, profile), profile.max_cap)
+    """Scored rows -> processed layer: per-store cap where the profile has one, top-k label, final columns
+    and types."""
+    df = scored
+    if profile.caps is not None:
+        df = cap_per_source(df, store_caps(scored.sparkSession, profile), profile.max_cap)
     df = topk_label(df)
     # the processed layer: every report, feature and model job starts from these files
     return materialize(enforce_types(df), "catalog_processed")

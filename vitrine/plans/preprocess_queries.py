@@ -10,7 +10,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators.dedup import dedup_keep_first
 from ..operators.ranking import rank_min, top_k
-from ..oracle.catalog import (caps_sql, clean_html_sql, rnd, seg_sql, with_products, with_raw, with_scored)
+from ..oracle.catalog import (caps_sql, clean_pages_sql, rnd, seg_sql, with_products, with_raw, with_scored)
 from ..registry import query
 from ..sources.adapters import SEQ_COLS, raw_products
 from ..sources.tables import read_table
@@ -65,9 +65,9 @@ def q_dedup_simple(spark: SparkSession, sf: str) -> DataFrame:
     return P.filter_valid_price(df).select("product_id", "source_store", "price", *SEQ_COLS)
 
 
-@query("clean_html", f"SELECT page_id, {clean_html_sql('html')} AS text FROM pages")
+@query("clean_html", clean_pages_sql())
 def q_clean_html(spark: SparkSession, sf: str) -> DataFrame:
-    """Entity decode, tag strip, whitespace collapse, first 1000 characters, over whole pages."""
+    """All entities decoded, tags stripped, whitespace collapsed, over whole pages."""
     return read_table(spark, sf, "pages").select("page_id", T.clean_html("html").alias("text"))
 
 
@@ -190,10 +190,10 @@ def q_popularity_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("cap_per_source", with_products("""SELECT source_store, count(*) AS n_rows, max(popularity_score) AS best,
-  min(popularity_score) AS worst FROM products GROUP BY source_store"""))
+  min(popularity_score) AS worst FROM products GROUP BY source_store""", C.CAPPED_PROFILE))
 def q_cap_per_source(spark: SparkSession, sf: str) -> DataFrame:
     """Rows kept per store after the cap, with the best and worst kept score."""
-    df = P.processed_products(spark, sf)
+    df = P.processed_products(spark, sf, C.CAPPED_PROFILE)
     return df.groupBy("source_store").agg(F.count(F.lit(1)).alias("n_rows"),
                                           F.max("popularity_score").alias("best"),
                                           F.min("popularity_score").alias("worst"))
@@ -204,16 +204,16 @@ FROM scored s JOIN {caps_sql()} k ON s.source_store = k.source_store GROUP BY s.
 def q_lookup_cap_join(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates per store joined to the cap table (stores without a cap drop out)."""
     scored = P.scored_layer(spark, sf)
-    caps = P.store_caps(spark, C.DEFAULT_PROFILE)
+    caps = P.store_caps(spark, C.CAPPED_PROFILE)
     return scored.join(F.broadcast(caps), "source_store", "inner") \
                  .groupBy("source_store", "cap").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
 @query("topk_label", with_products("""SELECT topk_label, count(*) AS n, min(popularity_score) AS min_score,
-  max(popularity_score) AS max_score FROM products GROUP BY topk_label"""))
+  max(popularity_score) AS max_score FROM products GROUP BY topk_label""", C.CAPPED_PROFILE))
 def q_topk_label(spark: SparkSession, sf: str) -> DataFrame:
     """Label balance against the interpolated 80 % quantile of the capped set."""
-    df = P.processed_products(spark, sf)
+    df = P.processed_products(spark, sf, C.CAPPED_PROFILE)
     return df.groupBy("topk_label").agg(F.count(F.lit(1)).alias("n"), F.min("popularity_score").alias("min_score"),
                                         F.max("popularity_score").alias("max_score"))
 

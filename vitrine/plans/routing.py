@@ -119,7 +119,7 @@ def refusal_text(agent: F.Column) -> F.Column:
 
 
 def audit_rows(conversations: DataFrame) -> DataFrame:
-    """One audit row per user question: routed agent, first 200 characters, scope, response length
+    """One audit row per user question: routed agent, question whole and its head for display, scope, response length
     (the next assistant turn, or the refusal text), refused flag. ``turn`` is the message position."""
     b = blocked(conversations.select("conv_id", "turn", "role", "text"), "turn", before=0, after=1)
     w = block_window("conv_id", "turn")
@@ -131,7 +131,8 @@ def audit_rows(conversations: DataFrame) -> DataFrame:
     in_scope = routed.isNotNull()
     answer = F.when(F.col("_next_role") == "assistant", F.col("_next_text")).otherwise(F.lit(""))
     resp = F.when(in_scope, F.length(answer)).otherwise(F.length(refusal_text(agent)))
-    return qs.select("conv_id", "turn", agent.alias("agent"), F.substring("text", 1, QUESTION_CHARS).alias("question"),
+    return qs.select("conv_id", "turn", agent.alias("agent"), F.col("text").alias("question"),
+                     F.substring("text", 1, QUESTION_CHARS).alias("question_head"),
                      in_scope.alias("in_scope"), resp.alias("response_len"), (~in_scope).alias("refused"))
 
 
@@ -143,7 +144,7 @@ def _refusal_sql(agent_expr: str) -> str:
 AUDIT_SQL = f"""WITH nx AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
   lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations),
 q AS (SELECT *, {ROUTE_AGENT_SQL} AS routed FROM nx WHERE role = 'user')
-SELECT conv_id, turn, coalesce(routed, '{DEFAULT_AGENT}') AS agent, substring(text, 1, {QUESTION_CHARS}) AS question,
+SELECT conv_id, turn, coalesce(routed, '{DEFAULT_AGENT}') AS agent, text AS question, substring(text, 1, {QUESTION_CHARS}) AS question_head,
   routed IS NOT NULL AS in_scope,
   CASE WHEN routed IS NOT NULL THEN length(CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END)
        ELSE length({_refusal_sql("coalesce(routed, '" + DEFAULT_AGENT + "')")}) END AS response_len,

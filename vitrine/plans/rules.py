@@ -281,29 +281,23 @@ def q_cap_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 STORE_MIN_SUPPORT = 0.1
 STORE_MIN_CONFIDENCE = 0.5
-STORE_MIN_BASKETS = 10
 
 
 def _store_basket_sql() -> str:
     its = _itemsets_sql(STORE_MIN_SUPPORT, "sb_tx")
     return with_products_ctes(f"""sb AS (SELECT source_platform, source_store, list_sort(list(DISTINCT category)) AS items
       FROM products GROUP BY source_platform, source_store),
-sb_tx AS (SELECT list_slice(list_sort(items), 1, {MAX_ITEMS}) AS items FROM sb
-      ORDER BY md5(source_platform || '|' || source_store || '#{CAP_SEED}') LIMIT {MAX_TRANSACTIONS}),
+sb_tx AS (SELECT list_sort(items) AS items FROM sb),
 {its},
 {_rules_sql()}
-SELECT {_rounded()} FROM rules WHERE confidence >= {STORE_MIN_CONFIDENCE}
-  AND (SELECT count(*) FROM sb_tx) >= {STORE_MIN_BASKETS}""")
+SELECT {_rounded()} FROM rules WHERE confidence >= {STORE_MIN_CONFIDENCE}""")
 
 
 @query("store_basket_rules", _store_basket_sql())
 def q_store_basket_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Variant: baskets = categories per store; support .1, confidence .5; nothing under 10 baskets."""
+    """Variant: baskets = all categories of each store; support .1, confidence .5."""
     p = processed_products(spark, sf)
     tx = p.groupBy("source_platform", "source_store").agg(F.array_sort(F.collect_set("category")).alias("items"))
-    tx = cap_transactions(tx, F.concat_ws("|", "source_platform", "source_store"))
     tx = materialize(tx, "store_baskets")
-    if tx.count() < STORE_MIN_BASKETS:
-        return _rounded_spark(association_rules(spark.createDataFrame([], "items array<string>, freq long, support double")))
     rules = association_rules(frequent_itemsets(tx, STORE_MIN_SUPPORT))
     return _rounded_spark(rules.filter(F.col("confidence") >= STORE_MIN_CONFIDENCE))

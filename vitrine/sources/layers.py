@@ -84,7 +84,7 @@ def audit_log_sink(df: DataFrame, path: str) -> str:
     return path
 
 
-AUDIT_SCHEMA = "conv_id long, turn long, agent string, question string, in_scope boolean, response_len int, refused boolean"
+AUDIT_SCHEMA = "conv_id long, turn long, agent string, question string, question_head string, in_scope boolean, response_len int, refused boolean"
 
 
 def audit_log_scan(spark: SparkSession, path: str, n: int = 20) -> DataFrame:

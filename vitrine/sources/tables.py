@@ -20,33 +20,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Inputs below this size are left as read (they are broadcast or tiny).
-SPREAD_MIN_BYTES = 2 * 1024 * 1024
-
-
-def _size_bytes(path: str) -> int:
-    if os.path.isfile(path):
-        return os.path.getsize(path)
-    total = 0
-    for root, _, files in os.walk(path):
-        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
-    return total
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan. A large input that arrives as fewer splits than task slots (one file with
-    one row group) is spread round-robin once, so the per-row work after the scan runs on all
-    slots; a real multi-file input already has enough splits and is left untouched."""
-    path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    if os.path.exists(path) and _size_bytes(path) >= SPREAD_MIN_BYTES:
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots)
-    return df
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the shared tables as temp views (used by the SQL adapters)."""
-    for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+    """Lazy parquet scan; its splits follow ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(table_path(sf_dir, name))
