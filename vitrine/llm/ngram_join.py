@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
 from vitrine.llm.postings import SCHEMA, Packer, groups, shared_by_owner, unpack
-from vitrine.llm.runtime import bucket_count, materialize, with_text
+from vitrine.llm.runtime import bucket_count, input_bytes, materialize, with_text
 from vitrine.llm.textarrays import batches, mix, windows
 
 SHINGLE = 5
@@ -46,6 +46,8 @@ PERCENT = 75
 RARE = 32
 #: Counters of the sketch: fixed, 4 bytes each.
 SKETCH = 1 << 20
+#: Bytes of joinable sets for each bucket of the index.
+INDEX_BUCKET = 16 << 20
 _PARTS = 16
 
 
@@ -142,8 +144,9 @@ def _index(shared: DataFrame, sketch, buckets: int, percent: int) -> DataFrame:
                 often = counts[(mix(tokens) % np.uint64(SKETCH)).astype(np.int64)]
                 single, combined = index_keys(tokens, size, often, percent)
                 # with each key: how many tokens a pair that only meets there can have in common
-                yield from packer.add(own, size | len(tokens) << 32, single, comp)
-                yield from packer.add(own, size | int((often > RARE).sum()) << 32, combined, comp)
+                frequent = int((often > RARE).sum())
+                yield from packer.add(own, _pack(size, frequent, len(tokens) - frequent), single, comp)
+                yield from packer.add(own, _pack(size, frequent, 0), combined, comp)
         yield from packer.flush()
 
     return shared.select("owner", "size", "component", "tokens").mapInArrow(emit, SCHEMA)
@@ -167,10 +170,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y", "m", "n").mapInArrow(test, "a long, b long")
 
 
+_SHARE = (1 << 15) - 1
+
+
+def _pack(size: int, frequent: int, rare: int) -> int:
+    """A set's size, and how many frequent and rare shared tokens it has, as shares rounded up."""
+    return size | -(-frequent * _SHARE // size) << 32 | -(-rare * _SHARE // size) << 47
+
+
 def _unpacked(table: pa.Table):
-    """(class, size, shared tokens, component, key) of a bucket's postings."""
-    own, both, comp, key = unpack(table)
-    return own, both & 0xFFFFFFFF, both >> 32, comp, key
+    """(class, size, frequent tokens, rare tokens, component, key) of a bucket's postings; the two counts
+    are upper bounds of what a pair that meets at the key can have in common of either sort."""
+    own, packed, comp, key = unpack(table)
+    size = packed & 0xFFFFFFFF
+    return own, size, (packed >> 32 & _SHARE) * size / _SHARE, (packed >> 47 & _SHARE) * size / _SHARE, comp, key
+
+
+def _possible(percent: int, size_x, size_y, frequent_x, frequent_y, rare_x, rare_y):
+    """Whether two sets could reach the threshold: |x & y| >= percent / (100 + percent) * (|x| + |y|)."""
+    return (100 + percent) * (np.minimum(frequent_x, frequent_y) + np.minimum(rare_x, rare_y) + 1e-6) >= percent * (size_x + size_y)
 
 
 def _star(postings: DataFrame, percent: int) -> DataFrame:
@@ -178,16 +196,13 @@ def _star(postings: DataFrame, percent: int) -> DataFrame:
     whose tokens are shared most, so the least edited one of a family) that comes up in most of its keys."""
 
     def find(table: pa.Table) -> pa.Table:
-        own, size, shared, comp, key = _unpacked(table)
-        if not len(own):
-            return _pair_rows(own, own, True)
-        order = np.lexsort((own, -shared / size, key))
-        o, c, k, s, m = own[order], comp[order], key[order], size[order], shared[order]
+        own, size, often, rare, comp, key = _unpacked(table)
+        order = np.lexsort((own, -(often + rare) / size, key))
+        o, c, k, s, f, r = own[order], comp[order], key[order], size[order], often[order], rare[order]
         start = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
         n = np.diff(np.concatenate([start, [len(k)]]))
-        head, its = np.repeat(o[start], n), np.repeat(c[start], n)
-        most, wide = np.repeat(m[start], n), np.repeat(s[start], n)
-        other = (c != its) & ((100 + percent) * np.minimum(m, most) >= percent * (s + wide))
+        head, at = np.repeat(o[start], n), np.repeat(start, n)
+        other = (c != c[at]) & _possible(percent, s, s[at], f, f[at], r, r[at])
         # (head, member), as heads are what a member has to choose from
         both, votes = np.unique(np.stack([head[other], o[other]], axis=1), axis=0, return_counts=True)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "votes": pa.array(votes, pa.int64())})
@@ -201,19 +216,18 @@ def _rest(postings: DataFrame, percent: int) -> DataFrame:
     by their sizes and by how many of their tokens are shared with anyone."""
 
     def find(table: pa.Table) -> pa.Table:
-        own, size, shared, comp, key = _unpacked(table)
+        own, size, often, rare, comp, key = _unpacked(table)
         order, start, n = groups(key)
-        o, c, s, m = own[order], comp[order], size[order], shared[order]
+        o, c, s, f, r = own[order], comp[order], size[order], often[order], rare[order]
         mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start) if len(c) else np.zeros(0, dtype=bool)
         out, held = [np.zeros((0, 2), dtype=np.int64)], 0
         for a, k in zip(start[mixed], n[mixed]):
             by = a + np.argsort(s[a : a + k], kind="stable")
-            po, pc, ps, pm = o[by], c[by], s[by], m[by]
+            po, pc, ps, pf, pr = o[by], c[by], s[by], f[by], r[by]
             end = np.searchsorted(ps, ps * 100 // percent, side="right")
             for i in range(k - 1):
                 j = slice(i + 1, end[i])
-                # |x & y| is at most the shared tokens of either
-                j = i + 1 + np.flatnonzero((pc[j] != pc[i]) & ((100 + percent) * np.minimum(pm[j], pm[i]) >= percent * (ps[j] + ps[i])))
+                j = i + 1 + np.flatnonzero((pc[j] != pc[i]) & _possible(percent, ps[j], ps[i], pf[j], pf[i], pr[j], pr[i]))
                 if len(j):
                     out.append(np.stack([np.minimum(po[i], po[j]), np.maximum(po[i], po[j])], axis=1))
                     held += len(j)
@@ -251,11 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(shared.where((F.length("tokens") / 8 * 100 >= F.col("size") * percent) & (F.col("size") > 2)), "joinable", codec="none")
     sketch = spark.sparkContext.broadcast(_token_sketch(shared))
 
+    # as few buckets as their bounded size allows: a pair that shares keys in many comes up in each
+    index_buckets = max(8, -(-input_bytes(shared) // INDEX_BUCKET))
     # every class is its own component at first; stars fold most groups, then the rest is tested pair by pair
     links = shared.select(F.col("owner").alias("a"), F.col("owner").alias("b")).limit(0)
     for step in ("star", "rest"):
         labelled = _labelled(shared, links)
-        index = _index(labelled, sketch, buckets, percent)
+        index = _index(labelled, sketch, index_buckets, percent)
         tested = materialize(_star(index, percent) if step == "star" else _rest(index, percent), f"pairs-{step}")
         links = materialize(links.union(_verify(tested, shared, percent)), f"links-{step}")
     return _answer(members, links)
