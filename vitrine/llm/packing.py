@@ -33,6 +33,8 @@ END = 0
 BLOCK = 20_000
 #: Segments whose ids a worker remembers.
 REMEMBERED = 1_000_000
+#: Segments encoded at once.
+ENCODED = 4096
 #: Weights of the three residuals, each as a share of its capacity.
 WEIGHTS = (1.0, 0.001, 0.001)
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,11 +47,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of whole texts by a ``tokenizers`` file. A byte-level tokenizer of this family never joins what
-    stands before a space with a space and the visible character after it, so texts are cut there and
-    equal segments are encoded once."""
+    """Ids of whole texts by a ``tokenizers`` file. A byte-level tokenizer of this family splits a text into
+    pieces by a pattern before it merges bytes; where a piece ends for certain the text is cut, and equal
+    segments are encoded once. Such places are: before a space and the visible character after it;
+    between an ASCII letter and one of ``STOPS``; between a single line feed and an ASCII letter."""
+
+    #: Punctuation that begins a piece after a letter, and that no special token holds.
+    STOPS = ".,;:!?*$%&#()\""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,6 +67,12 @@ class Encoder:
         self.unsafe = np.zeros(256, dtype=bool)
         self.unsafe[:0x21] = True
         self.unsafe[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+        self.letter = np.zeros(256, dtype=bool)
+        self.letter[65:91] = self.letter[97:123] = True
+        self.stop = np.zeros(256, dtype=bool)
+        self.stop[[ord(c) for c in self.STOPS]] = True
+        self.visible = np.zeros(256, dtype=bool)
+        self.visible[0x21:0x7F] = True
 
     def _clear(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
@@ -68,9 +83,11 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, segments: list[str]) -> None:
         if len(self.hashes) + len(hashes) > REMEMBERED and len(self.hashes):
             self._clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        ids = []
+        for a in range(0, len(segments), ENCODED):
+            ids += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(segments[a : a + ENCODED], add_special_tokens=False)]
         length = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.array([i for x in ids for i in x], dtype=np.uint32)
+        flat = np.concatenate(ids)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -85,6 +102,8 @@ class Encoder:
         cut = np.zeros(n + 1, dtype=bool)
         if n > 1:
             cut[: n - 1] = (data[:-1] == 0x20) & ~self.unsafe[data[1:]]
+            cut[1:n] |= self.letter[data[:-1]] & self.stop[data[1:]]
+            cut[2:n] |= self.visible[data[:-2]] & (data[1:-1] == 0x0A) & self.letter[data[2:]]
         cut[offsets] = True
         edge = np.flatnonzero(cut)
         if n not in (edge[-1:].tolist() or [0]):
@@ -106,13 +125,23 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, offsets)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker process: tasks that share it share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ``ids``, unsigned 32-bit little-endian) of every piece."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def cut(batch_iter):
-        encoder = Encoder(path or tokenizer_path())
+        encoder = _encoder(path or tokenizer_path())
         for b in batch_iter:
             docs_ids = b.column("doc_id").to_pylist()
             for i, _, w in batches(b.column("text"), chunk=CHUNK // 2):
