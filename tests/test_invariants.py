@@ -34,7 +34,7 @@ def test_pca_and_silhouette_ranges(spark):
 
     _, ratios = pca_2d(clustering_frame(spark, SF_SMALL))
     assert 0.0 <= ratios[1] <= ratios[0] <= 1.0 and ratios[0] + ratios[1] <= 1.0 + 1e-9
-    sil = Q["silhouette"](spark, SF_SMALL).first().silhouette
+    sil = Q["silhouette"](spark, SF_SMALL).first().silhouette_squared_euclidean
     assert -1.0 <= sil <= 1.0
 
 

@@ -376,15 +376,29 @@ def q_kmeans_segments(spark: SparkSession, sf: str) -> DataFrame:
     return kmeans_clusters(spark, sf)
 
 
-@query("cluster_profiles")
-def q_cluster_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    c = kmeans_clusters(spark, sf)
-    return cluster_profiles(processed_products(spark, sf), c).join(c.select("cluster_id", "segment").distinct(), "cluster_id")
+# The join and profile jobs work on any cluster table. Their queries take a deterministic one, the nearest
+# of three fixed price centroids, so that SQL can follow them; KMeans has its own query.
+FIXED_CENTROIDS = (100.0, 400.0, 900.0)
 
 
-@query("price_rank_segments")
-def q_price_rank_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return kmeans_clusters(spark, sf).select("cluster_id", "segment").distinct()
+def nearest_centroid(products: DataFrame, centroids=FIXED_CENTROIDS) -> DataFrame:
+    """(product key, cluster_id, segment): the nearest centroid by price, the first of equally near ones."""
+    far = [F.abs(F.col("price") - F.lit(c)) for c in centroids]
+    least = F.least(*far)
+    nearest = F.coalesce(*[F.when(d == least, F.lit(i)) for i, d in enumerate(far)])
+    assigned = products.select(*KEY, "price", nearest.alias("cluster_id"))
+    # a row per centroid
+    named = price_rank_segments(assigned.groupBy("cluster_id").agg(F.avg("price").alias("mean_price")))
+    return assigned.select(*KEY, "cluster_id").join(F.broadcast(named), "cluster_id").select(*KEY, "cluster_id", "segment")
+
+
+def _fixed_ctes() -> str:
+    d = [f"abs(price - {c}::DOUBLE)" for c in FIXED_CENTROIDS]
+    names = "[" + ", ".join(f"'{n}'" for n in SEGMENT_NAMES) + "]"
+    return f"""fc AS (SELECT product_id, source_store, price, CASE WHEN {d[0]} <= least({d[1]}, {d[2]}) THEN 0
+  WHEN {d[1]} <= {d[2]} THEN 1 ELSE 2 END AS cluster_id FROM products),
+seg AS (SELECT cluster_id, {names}[CAST(row_number() OVER (ORDER BY avg(price), cluster_id) AS INT)] AS segment FROM fc GROUP BY cluster_id),
+cl AS (SELECT fc.product_id, fc.source_store, fc.cluster_id, seg.segment FROM fc JOIN seg ON fc.cluster_id = seg.cluster_id)"""
 
 
 def join_clusters(products: DataFrame, clusters: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -394,18 +408,51 @@ def join_clusters(products: DataFrame, clusters: DataFrame, anomalies: DataFrame
     return products.join(c, KEY, "left")
 
 
-@query("join_clusters")
+def _means(cols) -> str:
+    return ", ".join(f"{rnd(f'avg({e})', n)} AS {name}" for e, n, name in cols)
+
+
+PROFILE_MEANS = _means([("price", 2, "mean_price"), ("rating", 2, "mean_rating"), ("review_count", 2, "mean_reviews"),
+                        ("discount_pct", 2, "mean_discount")])
+J = "p.product_id = c.product_id AND p.source_store = c.source_store"
+
+
+@query("cluster_profiles", with_products_ctes(_fixed_ctes() + f"""
+SELECT c.cluster_id, c.segment, {PROFILE_MEANS.replace('avg(price)', 'avg(p.price)')}, count(*) AS count,
+  {rnd('avg(topk_label::DOUBLE)', 2)} AS topk_rate FROM products p JOIN cl c ON {J} GROUP BY c.cluster_id, c.segment"""))
+def q_cluster_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    p = processed_products(spark, sf)
+    c = nearest_centroid(p)
+    return cluster_profiles(p, c).join(F.broadcast(c.select("cluster_id", "segment").distinct()), "cluster_id")
+
+
+@query("price_rank_segments", with_products_ctes(_fixed_ctes() + "\nSELECT cluster_id, segment FROM seg"))
+def q_price_rank_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_centroid(processed_products(spark, sf)).select("cluster_id", "segment").distinct()
+
+
+@query("join_clusters", with_products_ctes(DBSCAN_CTES + ",\n" + _fixed_ctes() + f"""
+SELECT p.product_id, p.source_store, p.popularity_score, c.segment, CAST(a.is_noise AS INT) AS is_anomaly
+FROM products p LEFT JOIN cl c ON {J}
+LEFT JOIN anom a ON p.product_id = a.product_id AND p.source_store = a.source_store"""))
 def q_join_clusters(spark: SparkSession, sf: str) -> DataFrame:
     p = processed_products(spark, sf)
-    return join_clusters(p, kmeans_clusters(spark, sf), anomaly_points(spark, sf)).select(
+    return join_clusters(p, nearest_centroid(p), anomaly_points(spark, sf)).select(
         *KEY, "popularity_score", "segment", "is_anomaly")
 
 
-@query("join_cluster_profile")
+def _rate(x: str) -> str:
+    return rnd(f"{rnd(f'avg({x}::DOUBLE)', 2)} * 100.0::DOUBLE", 1)
+
+
+@query("join_cluster_profile", with_products_ctes(_fixed_ctes() + f"""
+SELECT c.segment, count(p.product_id) AS count, {_means([('p.price', 2, 'avg_price'), ('rating', 2, 'avg_rating'), ('review_count', 2, 'avg_reviews')])},
+  {_rate('topk_label')} AS topk_rate_pct, {_rate('CAST(is_on_promo AS INT)')} AS on_promo_rate_pct
+FROM products p LEFT JOIN cl c ON {J} GROUP BY c.segment"""))
 def q_join_cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Segment summary: products left-joined to their segment, then grouped (rates in %)."""
     p = processed_products(spark, sf)
-    j = p.join(kmeans_clusters(spark, sf).select(*KEY, "segment"), KEY, "left")
+    j = p.join(nearest_centroid(p).select(*KEY, "segment"), KEY, "left")
     return j.groupBy("segment").agg(
         F.count("product_id").alias("count"), R(F.avg("price"), 2).alias("avg_price"), R(F.avg("rating"), 2).alias("avg_rating"),
         R(F.avg("review_count"), 2).alias("avg_reviews"),
@@ -413,12 +460,23 @@ def q_join_cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
         R(R(F.avg(F.col("is_on_promo").cast("double")), 2) * F.lit(100.0), 1).alias("on_promo_rate_pct"))
 
 
-@query("segment_summary")
+def _segment_summary_sql() -> str:
+    from .preprocess_queries import TOPK_SQL
+
+    return with_products_ctes(_fixed_ctes() + f""",
+t AS ({TOPK_SQL})
+SELECT c.segment, count(*) AS count, {_means([('p.price', 2, 'avg_price'), ('p.rating', 2, 'avg_rating')])},
+  {rnd('avg(CAST(p.is_on_promo AS INT)::DOUBLE) * 100.0::DOUBLE', 1)} AS on_promo_pct
+FROM t p LEFT JOIN cl c ON {J} GROUP BY c.segment""")
+
+
+@query("segment_summary", _segment_summary_sql())
 def q_segment_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Per segment of the top-k table: count, averages, top-k and promo rates in %."""
     from .preprocess_queries import topk_products
 
-    t = topk_products(processed_products(spark, sf)).join(kmeans_clusters(spark, sf).select(*KEY, "segment"), KEY, "left")
+    p = processed_products(spark, sf)
+    t = topk_products(p).join(nearest_centroid(p).select(*KEY, "segment"), KEY, "left")
     return t.groupBy("segment").agg(F.count(F.lit(1)).alias("count"), R(F.avg("price"), 2).alias("avg_price"),
                                     R(F.avg("rating"), 2).alias("avg_rating"),
                                     R(F.avg(F.col("is_on_promo").cast("double")) * F.lit(100.0), 1).alias("on_promo_pct"))
@@ -436,19 +494,19 @@ def silhouette(frame_with_pred: DataFrame, pred: str = "cluster_id") -> float:
 def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
     frame = clustering_frame(spark, sf)
     s = silhouette(kmeans_model(spark, sf).transform(frame))
-    return spark.createDataFrame([(K, round(s, 4))], "k int, silhouette double")
+    return spark.createDataFrame([(K, round(s, 4))], "k int, silhouette_squared_euclidean double")
 
 
 @query("k_selection")
 def q_k_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Silhouette for K = 2..6 and the best K (K = 3 is used regardless)."""
+    """Squared-Euclidean silhouette for K = 2..6 and the best K by it (K = 3 is used regardless)."""
     frame = clustering_frame(spark, sf)
     rows = []
     for k in range(2, 7):
         m = kmeans_best(frame, k=k)
         rows.append((k, round(silhouette(m.transform(frame)), 4)))
     best = max(rows, key=lambda r: r[1])[0]
-    return spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, is_best boolean")
+    return spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette_squared_euclidean double, is_best boolean")
 
 
 def pca_2d(frame: DataFrame) -> tuple[DataFrame, list[float]]:
@@ -474,17 +532,22 @@ def pca_2d(frame: DataFrame) -> tuple[DataFrame, list[float]]:
 
 @query("pca_2d")
 def q_pca_2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates on the first two components, with the share of variance that each explains."""
     frame = clustering_frame(spark, sf)
-    out, _ = pca_2d(frame)
-    return out.select(*KEY, "PC1", "PC2")
+    out, ratios = pca_2d(frame)
+    return out.select(*KEY, "PC1", "PC2", F.lit(ratios[0]).alias("explained_1"), F.lit(ratios[1]).alias("explained_2"))
 
 
-@query("align_predictions")
+@query("align_predictions", with_products_ctes(DBSCAN_CTES + ",\n" + _fixed_ctes() + f"""
+SELECT p.product_id, p.source_store, TRUE AS has_coordinates, c.cluster_id, c.segment, CAST(a.is_noise AS INT) AS is_anomaly,
+  p.name, p.price, p.rating, p.topk_label, p.category
+FROM products p JOIN cl c ON {J} JOIN anom a ON p.product_id = a.product_id AND p.source_store = a.source_store"""))
 def q_align_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """PCA coordinates, cluster, segment, anomaly flag and product attributes joined on the product key."""
+    """Whether PCA placed it, cluster, segment, anomaly flag and product attributes, joined on the product key."""
     frame = clustering_frame(spark, sf)
     out, _ = pca_2d(frame)
-    c = kmeans_clusters(spark, sf)
+    c = nearest_centroid(processed_products(spark, sf))
     a = anomaly_points(spark, sf).select(*KEY, F.col("is_noise").cast("int").alias("is_anomaly"))
     p = processed_products(spark, sf).select(*KEY, "name", "price", "rating", "topk_label", "category")
-    return out.select(*KEY, "PC1", "PC2").join(c, KEY).join(a, KEY).join(p, KEY)
+    out = out.select(*KEY, (F.col("PC1").isNotNull() & F.col("PC2").isNotNull()).alias("has_coordinates"))
+    return out.join(c, KEY).join(a, KEY).join(p, KEY)

@@ -25,22 +25,34 @@ SCALE_DIGITS = 6
 
 
 def label_encode(df: DataFrame, cols=CAT_FEATURES) -> DataFrame:
-    """Index of each value in the sorted distinct values (alphabetical label encoding).
-
-    Spark ML's multi-column StringIndexer fits all dictionaries in one pass over the data; only
-    the dictionaries (distinct values) reach the driver.
-    """
-    from pyspark.ml.feature import StringIndexer
-
-    out_cols = [f"{c}_enc_d" for c in cols]
-    idx = StringIndexer(inputCols=list(cols), outputCols=out_cols, stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df)
-    df = idx.transform(df)
+    """Index of each value in the sorted distinct values (alphabetical label encoding; null comes last).
+    The dictionaries are tables: no value passes through the driver."""
     for c in cols:
-        df = df.withColumn(f"{c}_enc", F.col(f"{c}_enc_d").cast("int")).drop(f"{c}_enc_d")
+        codes = dictionary(df, c)
+        n = codes.agg(F.count(F.lit(1))).scalar()
+        side = F.broadcast(codes) if codes.count() <= DICTIONARY_BROADCAST_ROWS else codes
+        df = df.join(side, F.col(c) == F.col("_value"), "left") \
+               .withColumn(f"{c}_enc", F.coalesce(F.col("_code"), n).cast("int")).drop("_value", "_code")
     return df
 
 
+#: Dictionaries are broadcast up to this many values, beyond it joined by a shuffle.
+DICTIONARY_BROADCAST_ROWS = 200_000
+
+
+def dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(_value, _code): codes 0, 1, ... of the distinct non-null values in order. The values are sorted in
+    ranges; a value's code is its place in its range plus the sizes of the ranges before."""
+    values = df.select(F.col(col).alias("_value")).where("_value is not null").distinct().orderBy("_value")
+    placed = materialize(values.withColumn("_id", F.monotonically_increasing_id()), "dictionary")
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    coded = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return coded.select("_value", (F.col("_offset") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("_code"))
+
+
 def standard_scale(df: DataFrame, cols=NUM_FEATURES, digits: int = SCALE_DIGITS, fill_zero: bool = False) -> DataFrame:
     """(x - mean) / population std per column (Spark ML's StandardScaler uses the sample std)."""
     src = df

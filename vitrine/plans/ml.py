@@ -202,7 +202,12 @@ def q_train_topk_classifier(spark: SparkSession, sf: str) -> DataFrame:
     test = model.transform(fm.filter(F.col("split") == "test"))
     scored = test.select(F.col(TARGET).alias("label"), vector_to_array("probability")[1].alias("score"))
     scored = materialize(scored, "classifier_scores")
-    return binary_metrics(scored).withColumn("n_train", F.lit(fm.filter(F.col("split") == "train").count()))
+    best = materialize(best_threshold(pr_curve(scored)), "best_threshold")
+    sizes = fm.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    out = binary_metrics(scored)
+    for c, source, name in (("n_train", sizes, "n_train"), ("n_test", sizes, "n_test"), ("threshold", best, "best_threshold"), ("f1", best, "best_f1")):
+        out = out.withColumn(name, source.select(c).scalar())
+    return out
 
 
 @query("feature_importance")
@@ -214,19 +219,32 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+VARIANT_NUM = ["price", "rating", "review_count"]
+VARIANT_CAT = ["category", "brand", "source_platform"]
+VARIANT_FEATURES = [f"{c}_enc" for c in VARIANT_CAT] + VARIANT_NUM
+
+
+def variant_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Key, the variant pipeline's encoded columns and its scaled numbers (nulls as 0, 'unknown')."""
+    from .features import label_encode, standard_scale
+
+    p = processed_products(spark, sf).select("product_id", "source_store", *VARIANT_NUM, *VARIANT_CAT)
+    p = materialize(label_encode(p.fillna("unknown", subset=VARIANT_CAT), VARIANT_CAT), "variant_encoded")
+    return standard_scale(p, VARIANT_NUM, fill_zero=True).select("product_id", "source_store", *VARIANT_FEATURES)
+
+
 @query("train_price_regressor")
 def q_train_price_regressor(spark: SparkSession, sf: str) -> DataFrame:
-    """Variant: boosted-tree price regression (100 trees, depth 6, rate .1); MSE and R2 on a random split."""
+    """Variant: boosted-tree price regression (100 trees, depth 6, rate .1) on the scaled numbers and the
+    encoded category, brand and platform; MSE and R2 on a random split."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    from .features import random_split, standard_scale
+    from .features import random_split
 
-    cols = ["price", "rating", "review_count"]
-    p = processed_products(spark, sf).select("product_id", "source_store", *cols)
-    p = standard_scale(p, cols, fill_zero=True).withColumn("target", F.col("price"))
+    p = variant_features(spark, sf).withColumn("target", F.col("price"))
     p = random_split(p, F.concat_ws("|", "product_id", "source_store"))
-    p = VectorAssembler(inputCols=cols, outputCol="features").transform(p)
+    p = VectorAssembler(inputCols=VARIANT_FEATURES, outputCol="features").transform(p)
     p = materialize(p, "regression_frame")
     model = GBTRegressor(featuresCol="features", labelCol="target", **GBT_REG_PARAMS).fit(p.filter("split = 'train'"))
     pred = model.transform(p.filter("split = 'test'")).select(F.col("target").alias("y"), F.col("prediction").alias("yhat"))
@@ -287,20 +305,32 @@ def _grow(pdf, cols, max_depth):
 
 def isolation_forest_scores(df: DataFrame, key: str, cols: list[str], n_trees: int = IF_TREES,
                             sample: int = IF_SAMPLE) -> DataFrame:
+    """Scores from ``n_trees`` trees, each grown on the ``sample`` rows with the least hashes for that tree:
+    every task keeps its own least rows per tree, and these meet per tree."""
     import math
 
-    n = df.count()
-    keep = min(1.0, 4.0 * sample / max(n, 1))          # per-tree candidate share (about 4 x sample rows)
-    pre = min(1.0, keep * n_trees)                      # one cheap pass keeps the union of all candidates
-    def h(salt):
-        return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("#"), salt)), 1, 8),
-                      16, 10).cast("double") / F.lit(4294967296.0)
-    base = df.select(key, *cols).filter(h(F.lit("pre")) < pre)
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")
-    cand = base.select(key, *cols, trees)
-    cand = cand.withColumn("_h", h(F.col("tree_id").cast("string"))).filter(F.col("_h") < keep / pre)
     from pyspark.sql import Window
 
+    def least(batches):
+        import numpy as np
+        import pandas as pd
+
+        kept = None
+        for pdf in batches:
+            base = pdf.pop("_h").to_numpy().astype(np.uint64)
+            parts = [] if kept is None else [kept]
+            for t in range(n_trees):
+                h = (base ^ np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(1)
+                at = np.argsort(h, kind="stable")[:sample]
+                parts.append(pdf.iloc[at].assign(tree_id=t, _h=h[at].astype(np.int64)))
+            kept = pd.concat(parts).sort_values(["tree_id", "_h", key]).groupby("tree_id").head(sample)
+        if kept is not None:
+            yield kept[["tree_id", "_h", key, *cols]]
+
+    types = dict(df.dtypes)
+    fields = ", ".join(f"{c} {types[c]}" for c in [key, *cols])
+    cand = df.select(key, *cols, F.xxhash64(key).alias("_h")).mapInPandas(least, f"tree_id int, _h long, {fields}")
     w = Window.partitionBy("tree_id").orderBy("_h", key)
     samp = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(sample)).drop("_rn", "_h")
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
@@ -309,7 +339,8 @@ def isolation_forest_scores(df: DataFrame, key: str, cols: list[str], n_trees: i
     # n_trees x (2 * sample) nodes at most: a bounded broadcast.
     forest_pdf = forest.toPandas()
     bc = df.sparkSession.sparkContext.broadcast(forest_pdf)
-    c_n = float(_avg_path([sample])[0])
+    roots = forest_pdf.loc[forest_pdf["node"] == 0, "size"]
+    c_n = max(float(_avg_path([roots.mean() if len(roots) else sample])[0]), 1.0)
 
     def score(batches):
         import numpy as np
@@ -347,14 +378,11 @@ def isolation_forest_scores(df: DataFrame, key: str, cols: list[str], n_trees: i
 
 @query("isolation_forest")
 def q_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    """Variant anomaly detector on scaled price / rating / reviews: the top 10 % scores are anomalies
-    (cut at the exact 90 % percentile of the scores)."""
-    from .features import standard_scale
-
-    cols = ["price", "rating", "review_count"]
-    p = processed_products(spark, sf).withColumn("key", F.concat_ws("|", "product_id", "source_store"))
-    p = standard_scale(p.select("key", *cols), cols, fill_zero=True)
-    p = materialize(p, "iforest_input")
-    s = materialize(isolation_forest_scores(p, "key", cols), "iforest_scores")
+    """Variant anomaly detector on the scaled numbers and encoded columns: the top 10 % scores are anomalies
+    (cut at the 90 % percentile of the scores, which have six decimals: at most a million values)."""
+    p = variant_features(spark, sf).withColumn("key", F.concat_ws("|", "product_id", "source_store"))
+    p = materialize(p.select("key", *VARIANT_FEATURES), "iforest_input")
+    s = isolation_forest_scores(p, "key", VARIANT_FEATURES)
+    s = materialize(s.withColumn("anomaly_score", R(F.col("anomaly_score"), 6)), "iforest_scores")
     cut = s.select(F.percentile("anomaly_score", 1.0 - IF_CONTAMINATION)).scalar()
     return s.withColumn("is_anomaly", F.col("anomaly_score") > cut)

@@ -15,7 +15,7 @@ from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_baskets, with_products_ctes
 from ..registry import query
-from ..session import materialize
+from ..session import cached_layer, materialize
 from ..sources.adapters import order_baskets
 from .preprocess import processed_products
 
@@ -134,8 +134,16 @@ def _rounded_spark(df: DataFrame) -> DataFrame:
 
 
 def topk_itemsets(spark: SparkSession, sf: str, min_support: float) -> DataFrame:
-    t = materialize(product_transactions(processed_products(spark, sf)), "transactions")
-    return materialize(frequent_itemsets(t, min_support), "itemsets")
+    """The itemsets of the products at ``min_support``: one fit at the lowest support per session and input
+    version, filtered."""
+    from .clustering import _inputs
+
+    def build() -> DataFrame:
+        t = materialize(product_transactions(processed_products(spark, sf)), "transactions")
+        return materialize(frequent_itemsets(t, C.RULES_MIN_SUPPORT_TOPK), "itemsets")
+
+    low = cached_layer(spark, "itemsets", _inputs(sf), C.RULES_MIN_SUPPORT_TOPK, build)
+    return low.where(F.col("support") >= min_support)
 
 
 @query("association_rules", with_products_ctes(TRANSACTIONS_CTE + ",\n" + _itemsets_sql(C.RULES_MIN_SUPPORT) + ",\n"
@@ -185,9 +193,15 @@ def rules_export(rules: DataFrame) -> DataFrame:
 
 
 def union_rules(spark: SparkSession, sf: str) -> DataFrame:
-    g = general_rules(association_rules(topk_itemsets(spark, sf, C.RULES_MIN_SUPPORT)))
-    t = topk_rules(association_rules(topk_itemsets(spark, sf, C.RULES_MIN_SUPPORT_TOPK)))
-    return materialize(rules_export(g.unionByName(t)).select(*RULE_COLS), "rules")
+    """General and top-k rules, exported; built once per session and input version."""
+    from .clustering import _inputs
+
+    def build() -> DataFrame:
+        g = general_rules(association_rules(topk_itemsets(spark, sf, C.RULES_MIN_SUPPORT)))
+        t = topk_rules(association_rules(topk_itemsets(spark, sf, C.RULES_MIN_SUPPORT_TOPK)))
+        return materialize(rules_export(g.unionByName(t)).select(*RULE_COLS), "rules")
+
+    return cached_layer(spark, "rules", _inputs(sf), "rules", build)
 
 
 def _export_cols_sql() -> str:

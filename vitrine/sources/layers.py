@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import tables_root
 
 LAYERS = ("raw", "processed", "output")
 
 
 def layer_base(spark: SparkSession, run_id: str | None = None) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/vitrine-layers/{run_id or uuid.uuid4().hex}"
+    """A folder for one run's layers under the application's own root (``drop_tables`` removes it)."""
+    return f"{tables_root(spark)}/layers/{run_id or uuid.uuid4().hex}"
 
 
 def layer_path(base: str, layer: str, name: str) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import numeric as N
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import tables_root
 from .tables import read_table
 
 R = N.round_half_up
@@ -163,8 +163,7 @@ SCHEMAS = {"shopify": SHOPIFY_SCHEMA, "woocommerce": WOO_SCHEMA, "discount_api":
 
 def land(spark: SparkSession, sf: str, platform: str) -> str:
     """Write the platform's payloads as JSON-lines files under the shared folder; return the folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/vitrine-landing/{platform}-{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/landing/{platform}-{uuid.uuid4().hex}"
     BUILDERS[platform](spark, sf).write.mode("overwrite").text(path)
     return path
 

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs (2.11): incremental ingest of landed files and keep-first dedup across
+"""Structured Streaming jobs (2.11): incremental ingest of landed files and keep-first dedup by key across
 increments. Both run with ``trigger(availableNow=True)``, a checkpoint in the shared folder, and an
 idempotent ``foreachBatch`` sink (a retried micro-batch rewrites the same batch folder).
 """
@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from ..plans.landing import landed_cte, landed_products
 from ..oracle.catalog import with_raw_ctes
 from ..registry import query
-from ..session import ensure_checkpoint_dir
+from ..operators.dedup import dedup_keep_first
+from ..session import tables_root
 from ..sources.tables import read_table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vitrine-stream/{name}-{uuid.uuid4().hex}"
+    return f"{tables_root(spark)}/stream/{name}-{uuid.uuid4().hex}"
 
 
-def land_in_batches(df: DataFrame, path: str, split_col: F.Column, n_batches: int) -> None:
-    """Land ``df`` as ``n_batches`` separate file drops (one write per drop, as an ingest run would)."""
-    for b in range(n_batches):
-        df.filter(split_col == b).write.mode("append").parquet(f"{path}/drop={b:04d}")
+def land_in_batches(df: DataFrame, path: str, drop: F.Column) -> None:
+    """Land ``df`` as one folder of files per value of ``drop``, in one pass over it."""
+    df.withColumn("drop", drop).write.mode("append").partitionBy("drop").parquet(path)
 
 
 def stream_append_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema,
@@ -47,7 +47,7 @@ def q_stream_append_ingest(spark: SparkSession, sf: str) -> DataFrame:
     landed = landed_products(spark, sf)
     base = _folder(spark, "ingest")
     split = F.pmod(F.xxhash64("product_id", "source_store"), F.lit(5))
-    land_in_batches(landed, f"{base}/landing", split, 5)
+    land_in_batches(landed, f"{base}/landing", split)
     stream_append_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", landed.schema)
     return spark.read.schema(landed.schema).parquet(f"{base}/table/*")
 
@@ -56,36 +56,61 @@ EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
 def stream_dedup(spark: SparkSession, landing: str, table: str, checkpoint: str, schema, keys: list[str],
-                 event_time: str = "ts", delay: str = "1 day") -> None:
-    """Keep the first row per key across increments; state is dropped once the watermark passes.
-    One landed drop (one file here) per micro-batch keeps the arrival order of the drops."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{landing}/*")
-    # the watermark needs a zoned timestamp; the session time zone makes the cast stable
-    src = src.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-    deduped = src.withWatermark("_event_time", delay).dropDuplicates(keys + ["_event_time"]).drop("_event_time")
+                 order_cols: list[str]) -> None:
+    """Append the rows of new drops whose key the table does not hold yet; of several new rows of a key the
+    first by ``order_cols`` of the earliest drop. Keys are kept in the table itself, not in state that a
+    watermark ends: a re-delivery with another event time is recognised, a late first delivery is kept.
+    A retried micro-batch finds its own folder left out and rewrites it."""
+    src = spark.readStream.schema(schema).parquet(f"{landing}/*").withColumn("_file", F.col("_metadata.file_path"))
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={epoch:06d}")
+        session = batch.sparkSession
+        batch = batch.withColumn("_drop", F.regexp_extract("_file", "drop=([0-9]+)", 1).cast("int")).drop("_file")
+        first = dedup_keep_first(batch, keys, ["_drop", *order_cols]).drop("_drop")
+        if epoch:
+            held = session.read.schema(schema).option("basePath", table).parquet(*[f"{table}/batch={e:06d}" for e in range(epoch)])
+            first = first.join(held.select(*keys).distinct(), keys, "left_anti")
+        first.write.mode("overwrite").parquet(f"{table}/batch={epoch:06d}")
 
-    q = (deduped.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    q = (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-@query("stream_dedup", "SELECT " + ", ".join(EVENT_COLS) + " FROM events")
+#: Deliveries of ``events``: thirds of the time span in order, one event in ten two drops late; one in seven
+#: arrives first with its time an hour off; everything is delivered again in the next drop, five hours off.
+N_DROPS = 5
+_PART = "least(floor((epoch_s - lo) * 3 / (hi - lo + 1)), 2) + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END"
+_DELIVERIES_SQL = f"""WITH e AS (SELECT *, epoch(ts) AS epoch_s, min(epoch(ts)) OVER () AS lo, max(epoch(ts)) OVER () AS hi FROM events),
+d AS (SELECT *, CAST({_PART} AS INT) AS part FROM e),
+deliveries AS (
+  SELECT part, event_id, CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS ts, user_id, event_type, value FROM d
+  UNION ALL SELECT part + 1, event_id, ts + INTERVAL 5 HOUR, user_id, event_type, value FROM d WHERE part + 1 < {N_DROPS})
+SELECT {", ".join(EVENT_COLS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, ts) AS rn FROM deliveries) x WHERE rn = 1"""
+
+
+def event_deliveries(events: DataFrame) -> DataFrame:
+    """The deliveries with their drop number ``part``."""
+    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    lo, hi = events.select(F.min(sec)).scalar(), events.select(F.max(sec)).scalar()
+    late = F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+    part = (F.least(F.floor((sec - lo) * 3 / (hi - lo + 1)), F.lit(2)) + late).cast("int")
+    numbered = events.select(*EVENT_COLS).withColumn("part", part)
+    first = numbered.withColumn("ts", F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")))
+    again = numbered.withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 HOUR")).withColumn("part", F.col("part") + 1)
+    return first.unionByName(again.where(F.col("part") < N_DROPS))
+
+
+@query("stream_dedup", _DELIVERIES_SQL)
 def q_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Events landed in 4 time-ordered increments, each re-delivering the previous increment's events;
-    the streaming dedup keeps every event once (re-deliveries are either matched in state or late)."""
+    """Events delivered in 5 drops, out of order, late and again with another time, each drop taken in by its
+    own streaming run; every event is kept once, as it came first."""
     ev = read_table(spark, sf, "events").select(*EVENT_COLS)
     base = _folder(spark, "dedup")
-    lo = ev.select(F.min("ts")).scalar()
-    hi = ev.select(F.max("ts")).scalar()
-    span = F.unix_timestamp(hi) - F.unix_timestamp(lo) + F.lit(1)
-    quarter = F.least(F.floor((F.unix_timestamp("ts") - F.unix_timestamp(lo)) * F.lit(4) / span), F.lit(3))
-    drops = ev.withColumn("_d", quarter).unionByName(ev.withColumn("_d", quarter + 1).filter(F.col("_d") <= 3))
-    for i in range(4):
-        # one file per drop: a drop is one landing event, read as one micro-batch
-        drops.filter(F.col("_d") == i).drop("_d").coalesce(1).write.mode("append").parquet(f"{base}/landing/drop={i:04d}")
-    stream_dedup(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", ev.schema, ["event_id"],
-                 delay="2 days")
+    land_in_batches(event_deliveries(ev), f"{base}/staged", F.col("part"))
+    staged = spark.read.parquet(f"{base}/staged")
+    for i in range(N_DROPS):
+        staged.where(F.col("drop") == i).drop("drop").write.mode("overwrite").parquet(f"{base}/landing/drop={i}")
+        stream_dedup(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", ev.schema, ["event_id"], ["ts"])
     return spark.read.schema(ev.schema).parquet(f"{base}/table/*")
