@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_products_ctes
+from ..operators.components import components
 from ..registry import query
 from ..session import cached_layer, materialize
 from ..sources.tables import table_path
@@ -196,78 +197,75 @@ def q_anomaly_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(samples)
 
 
-REGION_SUBCELLS = 2
+def _boxes(pts: DataFrame, t: float, name: str) -> DataFrame:
+    """Bounding boxes of the points of each cell in squares of side ``t``."""
+    ux, uy = F.floor(F.col("x") / t).alias("ux"), F.floor(F.col("y") / t).alias("uy")
+    return materialize(pts.groupBy("node", ux, uy).agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
+                                                       F.min("y").alias("y0"), F.max("y").alias("y1")), name)
 
 
-def region_edges(core: DataFrame, eps: float = C.DBSCAN_EPS, sub: int = REGION_SUBCELLS) -> DataFrame:
+def _box_pairs(pairs: DataFrame, e2: float) -> tuple[DataFrame, DataFrame]:
+    """(cell pairs that some pair of boxes links for certain, pairs of boxes that are still open)."""
+    zero = F.lit(0.0)
+    far_x = F.greatest(F.abs(F.col("ax1") - F.col("bx0")), F.abs(F.col("bx1") - F.col("ax0")))
+    far_y = F.greatest(F.abs(F.col("ay1") - F.col("by0")), F.abs(F.col("by1") - F.col("ay0")))
+    near_x = F.greatest(F.col("bx0") - F.col("ax1"), F.col("ax0") - F.col("bx1"), zero)
+    near_y = F.greatest(F.col("by0") - F.col("ay1"), F.col("ay0") - F.col("by1"), zero)
+    close = pairs.withColumn("_far2", far_x * far_x + far_y * far_y).filter(near_x * near_x + near_y * near_y <= F.lit(e2))
+    close = materialize(close.select("src", "aux", "auy", "dst", "bux", "buy", "_far2"), "region_pairs")
+    linked = close.filter(F.col("_far2") <= F.lit(e2)).select("src", "dst").distinct()
+    return linked, close.filter(F.col("_far2") > F.lit(e2)).join(linked, ["src", "dst"], "left_anti").drop("_far2")
+
+
+def _side(boxes: DataFrame, p: str, cell: str) -> DataFrame:
+    return boxes.select(F.col("node").alias(cell), F.col("ux").alias(f"{p}ux"), F.col("uy").alias(f"{p}uy"),
+                        *[F.col(c).alias(f"{p}{c}") for c in ("x0", "x1", "y0", "y1")])
+
+
+def region_edges(core: DataFrame, eps: float = C.DBSCAN_EPS) -> DataFrame:
     """Links between cells holding core points: (src, dst) when some core point of one is within eps of
     some core point of the other.
 
-    Points are grouped into sub-cells (``sub`` x ``sub`` per cell) summarised by the bounding box of
-    their points. A pair of sub-cells whose boxes are within eps at their farthest links the two cells
-    with no point comparison; a pair farther than eps at their nearest is dropped; points are compared
-    only for the remaining sub-cell pairs of cell pairs that no box test has linked yet.
+    Points are summarised by the bounding boxes of squares. Two boxes within eps at their farthest link
+    their cells, two farther than eps at their nearest are dropped; the rest are cut in four each and
+    tested again, until every pair of cells is linked or has no open boxes. Only boxes across the
+    eps-circle stay open, and a linked pair of cells stops, so no list of point pairs is built. Points
+    of one place are one box, which the tests always decide.
     """
-    side = eps / math.sqrt(2.0)
-    t = side / sub
+    t = eps / math.sqrt(2.0) / 2
     e2 = eps * eps
     reach = int(math.ceil(eps / t)) + 1
     node = F.concat_ws(":", F.col("_cx").cast("string"), F.col("_cy").cast("string"))
-    pts = core.select("x", "y", node.alias("node"), F.floor(F.col("x") / t).alias("_ux"),
-                      F.floor(F.col("y") / t).alias("_uy"))
-    subs = pts.groupBy("node", "_ux", "_uy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
-                                                 F.min("y").alias("y0"), F.max("y").alias("y1"))
-    subs = materialize(subs, "region_subcells")
+    pts = core.select("x", "y", node.alias("node"))
+    boxes = _boxes(pts, t, "region_boxes")
     off = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                               for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]))
-    a = subs.select(F.col("node").alias("src"), F.col("_ux").alias("_aux"), F.col("_uy").alias("_auy"),
-                    F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("y0").alias("ay0"),
-                    F.col("y1").alias("ay1"), off.alias("_o"))
-    a = a.select("*", (F.col("_aux") + F.col("_o.dx")).alias("_ux"), (F.col("_auy") + F.col("_o.dy")).alias("_uy")).drop("_o")
-    b = subs.select(F.col("node").alias("dst"), "_ux", "_uy", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"),
-                    F.col("y0").alias("by0"), F.col("y1").alias("by1"))
-    cand = a.join(b, ["_ux", "_uy"]).filter(F.col("src") != F.col("dst"))
-    zero = F.lit(0.0)
-    far_x = F.greatest(F.abs(F.col("ax1") - F.col("bx0")), F.abs(F.col("bx1") - F.col("ax0")))
-    far_y = F.greatest(F.abs(F.col("ay1") - F.col("by0")), F.abs(F.col("by1") - F.col("ay0")))
-    near_x = F.greatest(F.col("bx0") - F.col("ax1"), F.col("ax0") - F.col("bx1"), zero)
-    near_y = F.greatest(F.col("by0") - F.col("ay1"), F.col("ay0") - F.col("by1"), zero)
-    cand = cand.withColumn("_far2", far_x * far_x + far_y * far_y).withColumn("_near2", near_x * near_x + near_y * near_y)
-    cand = materialize(cand.filter(F.col("_near2") <= F.lit(e2)), "region_candidates")
-    whole = cand.filter(F.col("_far2") <= F.lit(e2)).select("src", "dst").distinct()
-    open_ = cand.filter(F.col("_far2") > F.lit(e2)).join(whole, ["src", "dst"], "left_anti") \
-        .select("src", "_aux", "_auy", "dst", "_ux", "_uy")
-    pa = pts.select(F.col("node").alias("src"), F.col("_ux").alias("_aux"), F.col("_uy").alias("_auy"),
-                    F.col("x").alias("ax"), F.col("y").alias("ay"))
-    pb = pts.select(F.col("node").alias("dst"), "_ux", "_uy", F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = open_.join(pa, ["src", "_aux", "_auy"]).join(pb, ["dst", "_ux", "_uy"])
-    ddx, ddy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    by_points = pairs.filter(ddx * ddx + ddy * ddy <= F.lit(e2)).select("src", "dst").distinct()
-    return whole.unionByName(by_points).distinct()
+    a = _side(boxes, "a", "src").select("*", off.alias("_o"))
+    a = a.select("*", (F.col("aux") + F.col("_o.dx")).alias("bux"), (F.col("auy") + F.col("_o.dy")).alias("buy")).drop("_o")
+    pairs = a.join(_side(boxes, "b", "dst"), ["bux", "buy"]).filter(F.col("src") != F.col("dst"))
+    linked, open_ = _box_pairs(pairs, e2)
+    links = linked
+    while not open_.isEmpty():
+        t /= 2  # halving is exact, so a box's number halves to that of the box it is cut from
+        boxes = _boxes(pts, t, "region_boxes")
+        finer_a = _side(boxes, "a", "src").select("*", F.floor(F.col("aux") / 2).alias("pax"), F.floor(F.col("auy") / 2).alias("pay"))
+        finer_b = _side(boxes, "b", "dst").select("*", F.floor(F.col("bux") / 2).alias("pbx"), F.floor(F.col("buy") / 2).alias("pby"))
+        kept = open_.select("src", "dst", F.col("aux").alias("pax"), F.col("auy").alias("pay"), F.col("bux").alias("pbx"), F.col("buy").alias("pby"))
+        pairs = kept.join(finer_a, ["src", "pax", "pay"]).join(finer_b, ["dst", "pbx", "pby"])
+        linked, open_ = _box_pairs(pairs, e2)
+        links = links.unionByName(linked)
+    return links.distinct()
 
 
 def dense_regions(points: DataFrame, eps: float = C.DBSCAN_EPS, min_samples: int = C.DBSCAN_MIN_SAMPLES) -> DataFrame:
-    """Connected components of core points (DBSCAN clusters without borders), by min-label propagation
-    over the cell graph: cells holding core points are nodes (a cell's points are mutual neighbours),
-    edges come from ``region_edges``. Each round is checkpointed to the shared folder; the loop ends
-    when no label changes."""
+    """(node, label): connected components of core points (DBSCAN clusters without borders). Cells holding
+    core points are nodes (a cell's points are mutual neighbours), edges come from ``region_edges``."""
     core = dbscan_core(points, "x", "y", eps, min_samples).filter("is_core")
     core = materialize(core.select("x", "y", "_cx", "_cy"), "region_core")
     cell = F.concat_ws(":", F.col("_cx").cast("string"), F.col("_cy").cast("string"))
     nodes = core.select(cell.alias("node")).distinct()
-    edges = materialize(region_edges(core, eps), "region_edges")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:  # at most (graph diameter + 1) rounds
-        prop = edges.join(labels.withColumnRenamed("node", "src"), "src") \
-                    .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("cand"))
-        new = labels.join(prop, "node", "left") \
-                    .select("node", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label"))
-        new = new.checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels
+    found = components(region_edges(core, eps).select(F.col("src").alias("a"), F.col("dst").alias("b")), "region_links")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
 
 
 def _regions_sql() -> str:
