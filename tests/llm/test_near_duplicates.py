@@ -6,8 +6,8 @@ import pytest
 from tests.llm import brute
 from tests.llm.conftest import make
 from vitrine.llm import ngram_join
-from vitrine.llm.components import components
 from vitrine.llm.textarrays import mix
+from vitrine.operators.components import components
 
 
 def _texts(seed, n=160):

@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.components import components
 from vitrine.llm.postings import SCHEMA, Packer, groups, shared_by_owner, unpack
 from vitrine.llm.runtime import bucket_count, input_bytes, materialize, with_text
 from vitrine.llm.textarrays import batches, mix, windows
+from vitrine.operators.components import components
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -281,13 +281,13 @@ def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
     """``shared`` with the component of each class by the links so far (its own id without any)."""
     if links.isEmpty():
         return shared.withColumn("component", F.col("owner"))
-    found = components(links).select(F.col("node").alias("owner"), "component")
+    found = components(links, store=materialize).select(F.col("node").alias("owner"), "component")
     return shared.join(found, "owner", "left").withColumn("component", F.coalesce("component", "owner"))
 
 
 def _answer(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of linked classes get the smallest document of their classes' component."""
-    found = components(links).select(F.col("node").alias("owner"), "component")
+    found = components(links, store=materialize).select(F.col("node").alias("owner"), "component")
     # a class's smallest document first, so that no member list is ever held together
     least = members.where("size > 0").groupBy("owner").agg(F.min("doc_id").alias("first"))
     group = least.join(found, "owner", "left").withColumn("component", F.coalesce("component", "owner"))
