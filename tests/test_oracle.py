@@ -8,8 +8,8 @@ from vitrine.oracle.harness import compare
 from .conftest import SF_SMALL
 
 registry.load_all()
-# training many trees is covered by the driver's rows-only run; skipped here for time
-SLOW = {"train_topk_classifier", "feature_importance", "train_price_regressor", "k_selection"}
+# tests/test_training.py has these, with fewer trees
+SLOW = {"train_topk_classifier", "feature_importance", "train_price_regressor", "k_selection", "evaluation_report", "kpis_dashboard"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -20,7 +20,7 @@ def test_query_matches_duckdb(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - SLOW))
 def test_rows_only_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF_SMALL).count() >= 0
+    assert registry.QUERIES[name](spark, SF_SMALL).count() > 0
 
 
 def test_entry_contract(spark):

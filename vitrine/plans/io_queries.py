@@ -104,7 +104,7 @@ def q_audit_log_sink(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).json(path)
 
 
-@query("audit_log_scan", "WITH a AS (" + AUDIT_SQL + ") SELECT * FROM a ORDER BY conv_id DESC, turn DESC LIMIT 20")
+@query("audit_log_scan", "WITH a AS (" + AUDIT_SQL + ") SELECT * FROM a ORDER BY ts DESC, conv_id DESC, turn DESC LIMIT 20")
 def q_audit_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The log with malformed lines mixed in: they are skipped, the last 20 entries kept."""
     a = audit_rows(read_table(spark, sf, "conversations"))

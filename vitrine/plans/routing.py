@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import block_window, blocked
+from .. import config as C
 from ..registry import query
 from ..sources.tables import read_table
 
@@ -35,6 +36,8 @@ AGENTS = [
 ]
 DEFAULT_AGENT = "Market Strategy Agent"
 QUESTION_CHARS = 200
+# Time of a message: the tables hold none, so an hour per conversation and a minute per position from here on.
+AUDIT_START = C.AS_OF
 HISTORY_MESSAGES = 3
 
 
@@ -131,7 +134,9 @@ def audit_rows(conversations: DataFrame) -> DataFrame:
     in_scope = routed.isNotNull()
     answer = F.when(F.col("_next_role") == "assistant", F.col("_next_text")).otherwise(F.lit(""))
     resp = F.when(in_scope, F.length(answer)).otherwise(F.length(refusal_text(agent)))
-    return qs.select("conv_id", "turn", agent.alias("agent"), F.col("text").alias("question"),
+    seconds = F.col("conv_id") * 3600 + F.col("turn") * 60
+    ts = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(AUDIT_START).cast("timestamp")) + seconds), "yyyy-MM-dd HH:mm:ss")
+    return qs.select("conv_id", "turn", ts.alias("ts"), agent.alias("agent"), F.col("text").alias("question"),
                      F.substring("text", 1, QUESTION_CHARS).alias("question_head"),
                      in_scope.alias("in_scope"), resp.alias("response_len"), (~in_scope).alias("refused"))
 
@@ -144,7 +149,8 @@ def _refusal_sql(agent_expr: str) -> str:
 AUDIT_SQL = f"""WITH nx AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
   lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations),
 q AS (SELECT *, {ROUTE_AGENT_SQL} AS routed FROM nx WHERE role = 'user')
-SELECT conv_id, turn, coalesce(routed, '{DEFAULT_AGENT}') AS agent, text AS question, substring(text, 1, {QUESTION_CHARS}) AS question_head,
+SELECT conv_id, turn, strftime(TIMESTAMP '{AUDIT_START}' + to_seconds(conv_id * 3600 + turn * 60), '%Y-%m-%d %H:%M:%S') AS ts,
+  coalesce(routed, '{DEFAULT_AGENT}') AS agent, text AS question, substring(text, 1, {QUESTION_CHARS}) AS question_head,
   routed IS NOT NULL AS in_scope,
   CASE WHEN routed IS NOT NULL THEN length(CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END)
        ELSE length({_refusal_sql("coalesce(routed, '" + DEFAULT_AGENT + "')")}) END AS response_len,

@@ -84,10 +84,10 @@ def audit_log_sink(df: DataFrame, path: str) -> str:
     return path
 
 
-AUDIT_SCHEMA = "conv_id long, turn long, agent string, question string, question_head string, in_scope boolean, response_len int, refused boolean"
+AUDIT_SCHEMA = "conv_id long, turn long, ts string, agent string, question string, question_head string, in_scope boolean, response_len int, refused boolean"
 
 
 def audit_log_scan(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
     """Read the JSON-lines log, skipping malformed lines, and keep the last ``n`` entries."""
     log = spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    return log.orderBy(F.col("conv_id").desc(), F.col("turn").desc()).limit(n)
+    return log.orderBy(F.col("ts").desc(), F.col("conv_id").desc(), F.col("turn").desc()).limit(n)
