@@ -45,6 +45,8 @@ SYMBOLS = 4 * (len(LENGTHS) + 1) * 2
 BLOCK = 1024
 CHUNK = 50_000
 SCALE = 1_000
+#: Most that the score of a turn's first line with another role's marker can be.
+WRONG_MARKER = -12 * SCALE
 
 
 def marker(line: Column) -> Column:
@@ -70,6 +72,12 @@ class Scores:
             return np.rint(np.log(c / c.sum(axis=1, keepdims=True)) * SCALE).astype(np.int64)
 
         self.step, self.emit = log(transitions), log(emissions)
+        per = SYMBOLS // 4
+        for r in range(len(ROLES)):
+            for other in range(len(ROLES)):
+                if other != r:  # a turn hardly begins with another role's marker
+                    block = self.emit[r, (other + 1) * per : (other + 2) * per]
+                    np.minimum(block, WRONG_MARKER, out=block)
         never = -(10**9)  # a further line follows only lines of its own role
         for a in range(STATES + 1):
             for r in range(len(ROLES)):

@@ -11,7 +11,8 @@ item when the agreeing alignments cover at least ``COVER`` of the item's tokens,
 
 * number: starts with a digit and holds digits and ``. , : / -`` only; QTY: starts with a digit otherwise;
 * unit: one of ``UNITS`` right behind a number;
-* name: a capital followed by a small letter, not at the start of a text, line or sentence.
+* name: a capital followed by a small letter, not at the start of a text, line or sentence, or there if the
+  same word is a name elsewhere in its text.
 
 Defined cases: null and empty texts are clean; items without a window (null, empty, fewer than ``WIDTH`` tokens
 or literals too rare) match nothing; equal rows give equal rows; a null id is a document like others; an
@@ -108,7 +109,10 @@ class Templates:
             two = np.minimum(lo + 2, len(data) - 1)
             ascii_name = (b0 >= 65) & (b0 <= 90) & (hi - lo > 1) & _SMALL[b1]
             latin_name = (b0 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x9E) & (hi - lo > 2) & _SMALL[data[two]]
-            self.kind[(ascii_name | latin_name) & ~fresh] = NAME
+            title = ascii_name | latin_name
+            self.kind[title & ~fresh] = NAME
+            own = self.value ^ mix(text.astype(np.uint64))
+            self.kind[np.flatnonzero(title & fresh)[np.isin(own[title & fresh], own[title & ~fresh])]] = NAME
         self.key = np.where(self.kind > 0, _TYPE[self.kind], self.value)
 
     def windows(self, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
