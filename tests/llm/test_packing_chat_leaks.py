@@ -143,7 +143,7 @@ def test_transcripts_are_read_back(llm):
 
 
 ITEMS = [
-    (1, "Anna and Tom drove 120 km in 2 hours while their friend Anna waited near the old harbour for them."),
+    (1, "Yesterday Anna walked along the river and met Tom near the mill, then Anna carried 12 kg of flour home for them."),
     (2, "the quick brown fox jumps over the lazy dog and then sleeps under a very tall green tree today"),
     (3, None), (4, ""), (5, "too short"), (2, "the quick brown fox jumps over the lazy dog and then sleeps under a very tall green tree today"),
 ]
@@ -153,9 +153,9 @@ def test_templates_and_slots(llm):
     item1 = ITEMS[0][1]
     rows = [
         (1, "Well. " + item1 + " Fine."),
-        (2, "well, anna: " + item1.replace("Anna", "Berta").replace("Tom", "Karl").replace("120 km", "95 miles").replace("2 hours", "3 days")),
-        (3, item1.replace("friend Anna", "friend Eve").replace("Anna and", "So Anna and")),  # Anna has become two people
-        (4, "Nothing of the kind. 120 km in 2 hours."), (5, None), (6, ""),
+        (2, "well, anna: " + item1.replace("Anna", "Berta").replace("Tom", "Karl").replace("12 kg", "9.5 lbs")),
+        (3, item1.replace("then Anna", "then Eve")),  # Anna has become two people
+        (4, "Nothing of the kind. 12 kg of flour."), (5, None), (6, ""),
         (7, "x THE QUICK, brown (fox) jumps over the lazy dog; and then sleeps under a very tall green tree today!"),
         (7, "x THE QUICK, brown (fox) jumps over the lazy dog; and then sleeps under a very tall green tree today!"),
         (None, ITEMS[1][1]), (8, " ".join(ITEMS[1][1].split()[:6])),

@@ -45,7 +45,7 @@ SYMBOLS = 4 * (len(LENGTHS) + 1) * 2
 BLOCK = 1024
 CHUNK = 50_000
 SCALE = 1_000
-#: Most that the score of a turn's first line with another role's marker can be.
+#: Most that the score of a turn's first line with another role's marker, or of a further line with any, can be.
 WRONG_MARKER = -12 * SCALE
 
 
@@ -78,6 +78,8 @@ class Scores:
                 if other != r:  # a turn hardly begins with another role's marker
                     block = self.emit[r, (other + 1) * per : (other + 2) * per]
                     np.minimum(block, WRONG_MARKER, out=block)
+        further = self.emit[len(ROLES) :, per:]  # nor does a further line begin with a marker
+        np.minimum(further, WRONG_MARKER, out=further)
         never = -(10**9)  # a further line follows only lines of its own role
         for a in range(STATES + 1):
             for r in range(len(ROLES)):
