@@ -29,6 +29,8 @@ HEADLINE = [
     "chat_history_window",
     "cap_transactions",
     "stream_dedup",
+    "label_encode",
+    "isolation_forest",
 ]
 
 
