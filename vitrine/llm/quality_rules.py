@@ -81,8 +81,12 @@ def _repeat_words(w: Column) -> Column:
     return let(grams(w, 5), count)
 
 
-def _buckets(w: Column, buckets: int) -> Column:
-    return F.transform(F.concat(F.transform(w, lambda x: F.xxhash64(x)), grams(w, 2)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def _gram_hashes(w: Column) -> Column:
+    return F.concat(F.transform(w, lambda x: F.xxhash64(x)), grams(w, 2))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,7 +95,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, t, r): n-grams of the trusted and of all texts, summed map-side before the shuffle."""
-    grams_of = texts.select("t", words(F.col("text")).alias("w")).select("t", F.explode(let(F.col("w"), lambda w: _buckets(w, buckets))).alias("bucket"))
+    grams_of = texts.select("t", words(F.col("text")).alias("w")).select("t", F.explode(let(F.col("w"), _gram_hashes)).alias("h")).select("t", _bucket(buckets))
     return grams_of.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
 
 
@@ -126,7 +130,7 @@ def score(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), _dup_lines(text).alias("n_dup_lines"),
     )
     counted = counted.withColumn("n_words", F.size("w").cast("long")).withColumn("n_repeat_words", let(F.col("w"), _repeat_words))
-    listed = counted.select(*base, F.explode_outer(let(F.col("w"), lambda w: _buckets(w, buckets))).alias("bucket"))
+    listed = counted.select(*base, F.explode_outer(let(F.col("w"), _gram_hashes)).alias("h")).select(*base, _bucket(buckets))
     summed = listed.join(table, "bucket", "left").groupBy(*base).agg(F.coalesce(F.avg("w"), F.lit(0.0)).alias("ratio"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return summed.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).select(
