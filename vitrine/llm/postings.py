@@ -19,7 +19,7 @@ from vitrine.llm.runtime import materialize
 from vitrine.llm.textarrays import mix
 
 #: Pairs that a map task holds before it writes a row per bucket.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A token with more pairs than this in one flush is hot.
 HOT = 4096
 
