@@ -73,6 +73,21 @@ def test_line_dedup_equals_brute_force(llm, seed):
     assert rows == {k: ((None, None) if t is None else (want[k], len(want[k]))) for k, t in docs}
 
 
+def test_heavy_lines_go_without_a_run_of_three(llm):
+    long = " ".join(f"w{i}" for i in range(20))
+    half = [" ".join(f"{c}{i}" for i in range(10)) for c in "ab"]
+    kana = "あ" * 80
+    rows = [
+        (1, f"one\n{long}\ntwo\nshort line"), (2, f"three\n{long}\nfour\nshort line"), (3, long), (4, "\n".join(half)), (5, "\n \n".join(["five", *half, "six"])),
+        (6, half[0]), (7, kana), (8, f"seven\n{kana}"), (9, f"{half[1]}\n{half[0]}"), (10, f"{long}\neight"), (11, f"{long}\neight"), (12, None), (13, f"nine\n{long}\n{long}"),
+    ]
+    df = make(llm, rows)
+    got = {r.doc_id: r.text for r in line_dedup.clean(df, least=20).collect()}
+    assert got == dict(rows) | {2: "three\nfour\nshort line", 3: "", 5: "five\n \n \n \nsix", 8: "seven", 10: "eight", 11: "", 13: "nine"}
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup(df, least=20).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 2, 6: 0, 7: 0, 8: 1, 9: 0, 10: 1, 11: 2, 12: 0, 13: 2}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == {k: t or "" for k, t in rows}
+
+
 def test_winnowing_guarantees_a_shared_line():
     r = np.random.default_rng(1)
     h = r.integers(0, 6, 400).astype(np.uint64)
