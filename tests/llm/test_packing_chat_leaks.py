@@ -173,6 +173,27 @@ def test_templates_and_slots(llm):
     assert decontamination.report(docs.limit(0), items).count() == 0
 
 
+def test_short_dense_and_long_items(llm):
+    sentence = [f"word{i}" for i in range(250)]
+    kana = "".join(chr(0x3042 + k) for k in range(40))
+    items = [
+        (1, "What is 12 * 35 + 4 - 17?"), (2, "tall green trees"), (3, " ".join(sentence)), (4, kana), (5, "!!! ..."),
+        (6, "Each box holds 3 pears and 5 apples, so how many pieces of fruit does the shop sell in the end?"),
+        (7, "1 2 3 4 5 6 7 8 9 10 11 12"), (8, "日本"),
+    ]
+    rows = [
+        (1, "Q: What is 12 * 35 + 4 - 17? A: 407"), (2, "What is 12 * 36 + 4 - 17?"), (3, "two Tall, green trees."), (4, "tall and green trees"),
+        (5, "before " + " ".join(sentence[90:190]) + " after"), (6, " ".join(sentence[:15])), (7, f"x {kana[:25]} y"), (8, "とても" + kana + "です"),
+        (9, items[5][1].replace("3", "4").replace("5", "4")), (10, "0 1 2 3 4 5 6 7 8 9 10 11 12"), (11, "12 11 10 9 8 7 6 5 4 3 2 1"), (12, "これは日本です"), (13, "!!! ..."),
+        (14, " ".join(sentence[90:106])),
+    ]
+    found = decontamination.find(make(llm, rows), llm.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.verbatim for r in found}
+    assert got == {(1, 1): True, (3, 2): True, (5, 3): True, (7, 4): True, (8, 4): True, (9, 6): False, (10, 7): True, (12, 8): True, (14, 3): True}
+    cover = {r.doc_id: r.coverage for r in found}
+    assert cover[5] == 100 / 250 and cover[1] == cover[3] == cover[8] == 1.0 and cover[14] == 16 / 250
+
+
 def test_blocks_of_items_change_nothing(llm, monkeypatch):
     r = random.Random(8)
     vocabulary = [f"word{i}" for i in range(60)]

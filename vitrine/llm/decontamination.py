@@ -2,20 +2,24 @@
 
 Words lose the punctuation at their ends and their case; numbers, names and units become typed
 placeholders (NUM, NAME, UNIT, and QTY for a number with its unit attached). The rest is literal. Words
-of punctuation only leave no token. Windows of ``WIDTH`` tokens with at least ``LITERALS`` literals are joined on
-their hash between benchmark items and texts. The windows that match along one alignment of a text and
+of punctuation only leave no token; letters of scripts without spaces are a token each. Windows of ``WIDTH`` tokens
+with at least ``LITERALS`` literals are joined on their hash between benchmark items and texts. So are, with all
+slot values as literals, the verbatim windows of ``WIDTH`` tokens (the whole item, where it is shorter), which
+find spans with too few literals and short items. The windows that match along one alignment of a text and
 an item give the matched tokens; in these every slot value of the item has to stand for one value of the
 text and the other way round (per type), so "Ann has 3 pears ... Ann" matches "Bob has 5 pears ... Bob"
-and not "Bob has 5 pears ... Eve". Alignments that disagree count for nothing. A text is contaminated by an
-item when the agreeing alignments cover at least ``COVER`` of the item's tokens, and ``LEAST`` tokens (or all).
+and not "Bob has 5 pears ... Eve". An alignment in which a name stands for two counts for nothing; other slots that
+disagree take the windows around them out. A text is contaminated by an item when the agreeing alignments
+cover at least ``COVER`` of the item's tokens, and ``LEAST`` tokens (or all), or when it holds ``RUN`` consecutive
+tokens of the item verbatim, whatever their share.
 
 * number: starts with a digit and holds digits and ``. , : / -`` only; QTY: starts with a digit otherwise;
 * unit: one of ``UNITS`` right behind a number;
 * name: a capital followed by a small letter, not at the start of a text, line or sentence, or there if the
   same word is a name elsewhere in its text.
 
-Defined cases: null and empty texts are clean; items without a window (null, empty, fewer than ``WIDTH`` tokens
-or literals too rare) match nothing; equal rows give equal rows; a null id is a document like others; an
+Defined cases: null and empty texts are clean; items without a token (null, empty, punctuation only) match
+nothing; an item of fewer than ``WIDTH`` tokens matches as a whole, verbatim; equal rows give equal rows; a null id is a document like others; an
 empty benchmark leaves every document clean; extra columns are ignored by ``find`` and kept by ``remove``.
 
 Scale: items are taken in blocks of ``BLOCK_CHARS`` characters (each collected, packed in sorted arrays and
@@ -37,6 +41,7 @@ WIDTH = 5
 LITERALS = 3
 COVER = 0.5
 LEAST = 8
+RUN = 16
 BLOCK_CHARS = 4_000_000
 #: Units of measure, money and time (lower case).
 UNITS = (
@@ -58,6 +63,8 @@ _STOP[[ord(c) for c in ".!?:"]] = True
 _SMALL = np.zeros(256, dtype=bool)  # small ASCII letters and lead bytes of other letters
 _SMALL[97:123] = True
 _SMALL[0xC3:] = True
+_LEAD = np.zeros(256, dtype=bool)  # lead bytes of UTF-8
+_LEAD[:0x80] = _LEAD[0xC0:] = True
 _BITS = 1 << 22
 
 
@@ -77,6 +84,36 @@ def _member(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[at] == x
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Places of the characters of scripts written without spaces (Thai to Myanmar, Khmer, Chinese, Japanese)."""
+    at = np.flatnonzero(data[:-1] >= 0xE0) if len(data) else np.zeros(0, dtype=np.int64)
+    a, b = data[at], data[at + 1]
+    thai = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+    myanmar = (a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F))
+    han = ((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)) | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xB3))
+    return at[thai | myanmar | han]
+
+
+def _split(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, from, to) of the parts of the spans: each unspaced character is one, and what stands between them."""
+    at = _unspaced(data)
+    whole = np.arange(len(lo))
+    if not len(at):
+        return whole, lo, hi
+    lead = np.flatnonzero(_LEAD[data])
+    behind = np.append(lead, len(data))[np.searchsorted(lead, at, side="right")]
+    cuts = np.unique(np.concatenate([at, behind]))
+    own = np.searchsorted(lo, cuts, side="right") - 1
+    inside = (own >= 0) & (cuts > lo[own]) & (cuts < hi[own])
+    cuts, own = cuts[inside], own[inside]
+    word = np.concatenate([whole, own])
+    start = np.concatenate([lo, cuts])
+    order = np.argsort(start, kind="stable")
+    word, start = word[order], start[order]
+    last = np.append(word[1:] != word[:-1], True)
+    return word, start, np.where(last, hi[word], np.append(start[1:], 0))
+
+
 class Templates:
     """Tokens of consecutive texts: ``key`` (literal hash or type), ``value`` (literal hash), ``kind``;
     ``first[i]:first[i + 1]`` are those of text ``i``."""
@@ -88,7 +125,8 @@ class Templates:
         some = z > a
         start, end = w.start[some], w.end[some]
         text = np.repeat(np.arange(len(w)), w.counts)[some]
-        lo, hi = core[a[some]], core[z[some] - 1] + 1
+        word, lo, hi = _split(data, core[a[some]], core[z[some] - 1] + 1)
+        start, end, text = start[word], end[word], text[word]
         self.value = hash_spans(_LOWER[data], lo, hi)
         self.first = np.searchsorted(text, np.arange(len(w) + 1))
         n = len(lo)
@@ -123,18 +161,38 @@ class Templates:
         at = at[solid[at + width] - solid[at] >= literals]
         return at, windows(self.key, width)[at] if len(at) else np.zeros(0, dtype=np.uint64)
 
+    def verbatim(self, width: int, slots: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of the windows with their values, of those with a slot only if ``slots`` (the hash of
+        a window without one is that of its template)."""
+        at = ranges(self.first[:-1], np.maximum(np.diff(self.first) - width + 1, 0))
+        if slots:
+            solid = np.concatenate([[0], np.cumsum(self.kind == 0)])
+            at = at[solid[at + width] - solid[at] < width]
+        return at, windows(self.value, width)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+
+    def fingerprints(self, width: int, literals: int, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, hash, width) of both kinds of windows, and of verbatim ones of the widths ``short``."""
+        parts = [(width, *self.windows(width, literals)), (width, *self.verbatim(width, literals <= width)), *[(k, *self.verbatim(k, False)) for k in short]]
+        return np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+
 
 class _Items:
     """A block of benchmark items as sorted arrays, for look-up in tasks."""
 
     def __init__(self, ids: list, texts: list[str], width: int, literals: int):
         self.ids, self.width, self.literals = ids, width, literals
+        short = set()
         hashes, item, at = [], [], []
         self.kind, self.value, self.size = [], [], []
         for i, j, w in batches(pa.array(texts, pa.string())):
             t = Templates(w)
-            start, h = t.windows(width, literals)
+            size = np.diff(t.first)
+            few = sorted(set(size[(size > 0) & (size < width)].tolist()))
+            start, h, wide = t.fingerprints(width, literals, few)
             own = np.searchsorted(t.first, start, side="right") - 1
+            mine = wide == np.minimum(size[own], width)  # shorter windows only where they are the whole item
+            start, h, own = start[mine], h[mine], own[mine]
+            short.update(few)
             hashes.append(h)
             item.append(own + i)
             at.append(start - t.first[own])
@@ -142,6 +200,7 @@ class _Items:
                 self.kind.append(t.kind[t.first[k] : t.first[k + 1]])
                 self.value.append(t.value[t.first[k] : t.first[k + 1]])
                 self.size.append(int(t.first[k + 1] - t.first[k]))
+        self.short = sorted(short)
         h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -151,10 +210,10 @@ class _Items:
         bits[(self.hash % np.uint64(_BITS)).astype(np.int64)] = True
         self.bits = np.packbits(bits)
 
-    def matches(self, t: Templates, k: int, start: np.ndarray, hashes: np.ndarray, cover: float, least: int) -> list[tuple]:
+    def matches(self, t: Templates, k: int, start: np.ndarray, hashes: np.ndarray, cover: float, least: int, run: int) -> list[tuple]:
         """(item id, coverage, verbatim) of the items that contaminate text ``k``; ``start`` and ``hashes`` are
         those of its windows that some item has."""
-        base = t.first[k]
+        base, tokens = t.first[k], t.first[k + 1] - t.first[k]
         lo, hi = np.searchsorted(self.hash, hashes, side="left"), np.searchsorted(self.hash, hashes, side="right")
         there = ranges(lo, hi - lo)
         item, at, here = self.item[there], self.at[there], np.repeat(start - base, hi - lo)
@@ -164,28 +223,58 @@ class _Items:
         for i in np.unique(item):
             mine = item == i
             size = self.size[i]
-            # an item with too few windows in this text can't be covered
-            if len(np.unique(at[mine])) * self.width < min(cover * size, least):
+            wide = min(self.width, size)
+            # an item with too few windows in this text can't be covered, nor have a run in it
+            if len(np.unique(at[mine])) < min(min(cover * size, least) / wide, max(run - wide + 1, 1)):
                 continue
-            hit, same = np.zeros(size, dtype=bool), True
+            hit, same, long = np.zeros(size, dtype=bool), True, False
             for s in np.unique(shift[mine]):
-                own = np.zeros(size, dtype=bool)
-                own[(at[mine & (shift == s)][:, None] + np.arange(self.width)).ravel()] = True
+                first = np.unique(at[mine & (shift == s)])
+                own = _spans(first, wide, size)
                 slots = np.flatnonzero(own & (self.kind[i] > 0))
                 x, y, kind = self.value[i][slots], t.value[base + slots + s], self.kind[i][slots]
-                if len(slots):
-                    pairs = np.unique(np.stack([x, y, kind.astype(np.uint64)], axis=1), axis=0)
-                    if len(np.unique(pairs[:, [0, 2]], axis=0)) < len(pairs) or len(np.unique(pairs[:, [1, 2]], axis=0)) < len(pairs):
-                        continue
-                    same &= bool((x == y).all())
+                if (x != y).any():
+                    split = _split_values(x, y, kind)
+                    if (split & (kind == NAME)).any():
+                        own[:] = False
+                    else:
+                        split |= _split_values(y, x, kind)
+                        wrong = np.zeros(size + 1, dtype=np.int64)
+                        wrong[slots[split] + 1] = 1
+                        wrong = np.cumsum(wrong)
+                        own = _spans(first[wrong[first + wide] == wrong[first]], wide, size)
+                        same = False
                 hit |= own
+                a, z = max(0, -s), min(size, tokens - s)
+                equal = np.zeros(size + 1, dtype=np.int64)
+                equal[a + 1 : z + 1] = self.value[i][a:z] == t.value[base + s + a : base + s + z]
+                equal = np.cumsum(equal)
+                runs = np.flatnonzero(equal[run:] - equal[:-run] == run)
+                if len(runs):
+                    long = True
+                    hit |= _spans(runs, run, size)
             n = int(hit.sum())
-            if n >= max(cover * size, min(least, size)):
+            if long or n >= max(cover * size, min(least, size)):
                 found.append((self.ids[i], n / size, same))
         return found
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, literals: int = LITERALS, cover: float = COVER, least: int = LEAST) -> DataFrame:
+def _spans(first: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Which of ``size`` tokens lie in the windows that start at ``first``."""
+    out = np.zeros(size, dtype=bool)
+    out[(first[:, None] + np.arange(width)).ravel()] = True
+    return out
+
+
+def _split_values(x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Which slots hold a value of ``x`` that stands, with the same type, for several of ``y``."""
+    pairs = np.unique(np.stack([x, kind.astype(np.uint64), y], axis=1), axis=0)
+    own, n = np.unique(pairs[:, :2], axis=0, return_counts=True)
+    several = own[n > 1]
+    return ((x[:, None] == several[:, 0]) & (kind[:, None] == several[:, 1])).any(axis=1)
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, literals: int = LITERALS, cover: float = COVER, least: int = LEAST, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim) of every contaminated pair, a row each."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, coverage double, verbatim boolean"
@@ -206,15 +295,17 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 out: list[tuple] = []
                 for i, _, w in batches(batch.column("text")):
                     t = Templates(w)
-                    start, h = t.windows(known.width, known.literals)
+                    start, h, _ = t.fingerprints(known.width, known.literals, known.short)
                     maybe = bits[(h % np.uint64(_BITS)).astype(np.int64)]
                     start, h = start[maybe], h[maybe]
                     hit = _member(h, known.hash)
                     start, h = start[hit], h[hit]
+                    order = np.argsort(start, kind="stable")
+                    start, h = start[order], h[order]
                     own = np.searchsorted(t.first, start, side="right") - 1
                     edge = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]]) if len(own) else [0]
                     for p, q in zip(edge[:-1], edge[1:]):
-                        out += [(ids[i + own[p]], *m) for m in known.matches(t, own[p], start[p:q], h[p:q], cover, least)]
+                        out += [(ids[i + own[p]], *m) for m in known.matches(t, own[p], start[p:q], h[p:q], cover, least, run)]
                 if out:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names=["doc_id", "item_id", "coverage", "verbatim"])
 
