@@ -84,6 +84,13 @@ def test_licences(llm):
     assert licence_scan.scan(make(llm, rows).limit(0)).count() == 0
 
 
+def test_a_lone_notice_is_found_however_it_is_spaced(llm):
+    texts = ["All rights\nreserved.", "All  rights  reserved.", "All rights-reserved.", "Words before. ALL RIGHTS\tRESERVED. Words after.", "All rights are reserved."]
+    got = {r.doc_id: (list(r.sentences), list(r.licences)) for r in licence_scan.scan(make(llm, list(enumerate(texts)))).collect()}
+    assert got == {k: (["reserved"], ["proprietary"]) for k in range(4)} | {4: ([], [])}
+    assert all(k.isalnum() for k in licence_scan.KEYWORDS)
+
+
 def test_url_filters(llm):
     d = lambda n: dt.date(2024, 1, n)
     entries = [

@@ -72,8 +72,9 @@ RULES = [
 ]
 #: A licence that silences another when both match.
 IMPLIES = [("BSD-3-Clause", "BSD-2-Clause")]
-# Every sentence holds one of these words (small letters).
-KEYWORDS = ["licen", "copyright", "permi", "redistribut", "warrant", "rights reserved"]
+# Every sentence holds one of these (small letters, no separator inside, so neither line feeds nor
+# punctuation between words hide one).
+KEYWORDS = ["licen", "copyright", "permi", "redistribut", "warrant", "reserved"]
 
 
 def normal(sentence: str) -> str:
