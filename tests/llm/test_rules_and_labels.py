@@ -91,6 +91,22 @@ def test_a_lone_notice_is_found_however_it_is_spaced(llm):
     assert all(k.isalnum() for k in licence_scan.KEYWORDS)
 
 
+def test_paths_match_in_any_case_and_with_a_trailing_slash(llm):
+    d = dt.date(2024, 1, 1)
+    patterns = ["example.com/Foo", "example.com/ads/", "deep.example/A/b//", "slash.example/", "//", "/x"]
+    listed = llm.createDataFrame([("paths", p, "add", d) for p in patterns], "list string, pattern string, action string, day date")
+    urls = ["https://example.com/Foo/x", "https://example.com/foo", "http://example.com/ads", "http://example.com/ads/1?q", "http://deep.example//a/B/c", "http://www.slash.example/", "http://example.com/food", "http://example.com/", "http://other.example/x"]
+    df = llm.createDataFrame([(k, u, d) for k, u in enumerate(urls)], "page_id long, url string, fetch_day date")
+    got = {r.page_id: list(r.patterns) for r in url_filters.evaluate(df, listed).collect()}
+    assert got == {0: ["example.com/foo"], 1: ["example.com/foo"], 2: ["example.com/ads"], 3: ["example.com/ads"], 4: ["deep.example/a/b"], 5: ["slash.example"], 6: [], 7: [], 8: []}
+    pages = llm.createDataFrame([(k, f"http://h{k}.example/Some/Page") for k in range(60)], "page_id long, url string")
+    entries = url_filters.derived_entries(pages).where("list = 'paths'")
+    captures = pages.selectExpr("page_id", "url", "date'2024-12-31' as fetch_day")
+    own = {x.pattern for x in url_filters.intervals(entries).where("valid_from <= date'2024-12-31' and (valid_to is null or valid_to > date'2024-12-31')").collect()}
+    found = {p for r in url_filters.evaluate(captures, entries).collect() for p in r.patterns}
+    assert own and found == own
+
+
 def test_url_filters(llm):
     d = lambda n: dt.date(2024, 1, n)
     entries = [

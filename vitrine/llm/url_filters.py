@@ -2,7 +2,8 @@
 
 An entry is (list, pattern, action, day): ``add`` opens, ``remove`` closes a validity interval [from, to). On one
 day ``add`` beats ``remove``, repeats change nothing. A pattern without a slash is a host and covers its
-subdomains; one with a slash is a host and a path prefix and ends at a path segment. The as-of join
+subdomains; one with a slash is a host and a path prefix and ends at a path segment. Case does not count in
+either part, nor do doubled slashes or one at the end (``host/`` is the host). The as-of join
 looks up the host suffixes and path prefixes of a capture and keeps those of whose intervals one holds
 its fetch day.
 
@@ -32,10 +33,15 @@ def segments(url: Column) -> Column:
     return F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
 
 
+def normal(pattern: Column) -> Column:
+    """The form in which patterns and keys meet: small letters, single slashes, none at the end."""
+    return F.lower(F.regexp_replace(F.regexp_replace(pattern, "/+", "/"), "/$", ""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to): when each pattern is on each list; valid_to null = still."""
     daily = entries.where("list is not null and pattern is not null and action in ('add', 'remove') and day is not null")
-    daily = daily.groupBy("list", F.lower("pattern").alias("pattern"), "day").agg(F.max((F.col("action") == "add").cast("int")).alias("on"))
+    daily = daily.groupBy("list", normal(F.col("pattern")).alias("pattern"), "day").agg(F.max((F.col("action") == "add").cast("int")).alias("on"))
     w = Window.partitionBy("list", "pattern").orderBy("day")
     changes = daily.withColumn("before", F.lag("on", 1, 0).over(w)).where(F.col("on") != F.col("before"))
     return changes.withColumn("valid_to", F.lead("day").over(w)).where("on = 1").select("list", "pattern", F.col("day").alias("valid_from"), "valid_to")
@@ -47,7 +53,7 @@ def _keys(url: Column, labels: int, depth: int) -> Column:
     n = F.size(parts)
     suffixes = F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda k: F.when(k <= n, F.array_join(F.slice(parts, n - k + 1, k), ".")))
     path = F.slice(segments(url), 1, depth) if depth else F.array().cast("array<string>")
-    prefixes = F.transform(F.sequence(F.lit(1), F.lit(max(depth, 1))), lambda k: F.when(k <= F.size(path), F.concat(host(url), F.lit("/"), F.array_join(F.slice(path, 1, k), "/"))))
+    prefixes = F.transform(F.sequence(F.lit(1), F.lit(max(depth, 1))), lambda k: F.when(k <= F.size(path), normal(F.concat(host(url), F.lit("/"), F.array_join(F.slice(path, 1, k), "/")))))
     return F.when(host(url) != "", F.array_distinct(F.filter(F.concat(suffixes, prefixes), lambda x: x.isNotNull() & (x != "")))).otherwise(F.array().cast("array<string>"))
 
 
