@@ -1,5 +1,7 @@
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,21 @@ def test_encoder_equals_the_tokenizer():
     assert k == len(texts)
 
 
+def test_spaces_at_the_end_do_not_depend_on_the_next_text(tmp_path):
+    spec = json.loads(Path(packing.tokenizer_path()).read_text())
+    model = spec["model"]
+    model["merges"].append(["Ġ", "Ġ"] if isinstance(model["merges"][0], list) else "Ġ Ġ")
+    model["vocab"].setdefault("ĠĠ", max([*model["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]]) + 1)
+    path = tmp_path / "spaces.json"
+    path.write_text(json.dumps(spec))
+    whole, encoder = Tokenizer.from_file(str(path)), packing.Encoder(str(path))
+    assert len(whole.encode("  ", add_special_tokens=False).ids) == 1
+    texts = ["word  ", "next", "word  ", "", "a ", "b", "  ", "x", " ", "y  "]
+    for _, _, w in batches(pa.array(texts)):
+        ids, bound = encoder.encode(w.data, w.offsets)
+        assert [ids[bound[i] : bound[i + 1]].tolist() for i in range(len(w))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_place_keeps_every_capacity(rule):
     r = np.random.default_rng(5)

@@ -102,6 +102,7 @@ class Encoder:
         cut = np.zeros(n + 1, dtype=bool)
         if n > 1:
             cut[: n - 1] = (data[:-1] == 0x20) & ~self.unsafe[data[1:]]
+            cut[np.maximum(offsets - 1, 0)] = False  # behind a text's last byte stands another text
             cut[1:n] |= self.letter[data[:-1]] & self.stop[data[1:]]
             cut[2:n] |= self.visible[data[:-2]] & (data[1:-1] == 0x0A) & self.letter[data[2:]]
         cut[offsets] = True
