@@ -207,6 +207,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     for c, value in (tampered or {}).items():
         changed = changed | ~value.eqNullSafe(F.col(c))
     leaves = docs.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("string").alias("grp"), made.alias("digest"), F.when(changed, other).alias("other"))
+    leaves = materialize(leaves, "merkle-leaves")
     placed = with_ordinals(leaves, [F.col("id").asc_nulls_first(), F.col("digest").asc(), F.col("other").asc()], group="grp", size="n")
     sources = forest(placed, "merkle-source")
     tops_ = tops(sources).select(F.col("grp").alias("id_grp"), "digest")
