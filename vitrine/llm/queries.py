@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import chat_format, decontamination, importance, licence_scan, line_dedup, merkle, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, url_filters
+from vitrine.llm import chat_format, decontamination, importance, licence_scan, line_dedup, merkle, neighbours, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, url_filters
 from vitrine.llm.runtime import materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,12 @@ def _op11(table):
     return merkle.verify(table("documents"), tampered=merkle.without_line_feeds())
 
 
+@query("op12_nearest_neighbours")
+def _op12(table):
+    """Ten nearest vectors found for every hundredth one."""
+    return neighbours.nearest(table("embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
