@@ -15,12 +15,12 @@ is stored as one row, its points in leaf order. Queries first search the block `
 which bounds ``d_k``; then those cells whose box the radius reaches, each block with each pack of queries.
 
 Vectors that are equal are one point with its smallest ids: beyond the ``k + 1`` smallest none can be among
-any query's nearest, its own id left out. A vector is searched once however many queries hold it.
+any query's nearest, its own row left out. A vector is searched once however many queries hold it.
 
 Defined cases: rows whose id or vector is null, and vectors that are empty, zero or hold a null or non-finite
 component take no part, as query or candidate; nor do those of another length than the most frequent one (the
-shortest of such); repeated rows count once; two vectors under one id are two candidates, and two queries
-under that id, neither of which finds the other; ties go to the smaller id; with fewer than ``k`` others all
+shortest of such); repeated rows count once; two vectors under one id are two rows, and as queries
+two with the same id, each of which can find the other; ties go to the smaller id; with fewer than ``k`` others all
 are returned; an empty table gives no rows. Other columns are not read.
 
 Scale: vectors are shuffled twice (equal ones together, blocks). Blocks and packs are bounded rows, so a unit of
@@ -322,6 +322,6 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     best = found.distinct().withColumn("nth", nth).where(F.col("nth") <= wanted)
     best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("best"))
     answers = materialize(asked_points.join(best, "query").select("vec", "best"), "ann-answers")
-    others = F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k)
+    others = F.slice(F.filter("best", lambda x: (x["id"] != F.col("id")) | (x["d"] > 0)), 1, k)
     rows = asked.distinct().join(answers, "vec").select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "x"))
     return rows.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.sqrt("x.d").alias("score"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.runtime import bucket_count, materialize
+from vitrine.llm.runtime import bucket_count, input_bytes, materialize, parallelism
 
 #: ``monotonically_increasing_id`` holds the partition above this bit and the place in it below.
 _BITS = 33
@@ -21,7 +21,8 @@ def with_ordinals(df: DataFrame, order: list[Column], group: str | None = None,
     ``size`` the group's rows. A null group is a group. ``order`` must tell all rows apart (rows that it
     leaves equal get their places in any order). ``df`` is written and read again."""
     keys = ([F.col(group).asc_nulls_first()] if group else []) + order
-    spread = df.repartitionByRange(bucket_count(df, 64 << 20), *keys).sortWithinPartitions(*keys)
+    known = input_bytes(df) < 1 << 60  # Spark's default for what it can't tell is above
+    spread = df.repartitionByRange(bucket_count(df, 64 << 20) if known else parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys)
     stored = materialize(spread.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
     stored = stored.withColumn("_part", F.shiftright("_place", _BITS)).withColumn("_place", F.col("_place").bitwiseAND((1 << _BITS) - 1))
     name = F.col(group) if group else F.lit(0)
