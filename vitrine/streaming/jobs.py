@@ -1,6 +1,6 @@
 """Structured Streaming jobs (2.11): incremental ingest of landed files and keep-first dedup by key across
-increments. Both run with ``trigger(availableNow=True)``, a checkpoint in the shared folder, and an
-idempotent ``foreachBatch`` sink (a retried micro-batch rewrites the same batch folder).
+increments. Both run with ``trigger(availableNow=True)``, a checkpoint in the shared folder, and a ``foreachBatch``
+sink whose writes become visible by one entry of the table's manifest (``sources.commits``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from ..plans.landing import landed_cte, landed_products
 from ..oracle.catalog import with_raw_ctes
 from ..registry import query
 from ..operators.dedup import dedup_keep_first
-from ..session import tables_root
+from ..session import materialize, tables_root
+from ..sources.commits import CommitLog
 from ..sources.tables import read_table
+from .keyindex import KeyIndex
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -27,50 +29,106 @@ def land_in_batches(df: DataFrame, path: str, drop: F.Column) -> None:
     df.withColumn("drop", drop).write.mode("append").partitionBy("drop").parquet(path)
 
 
+#: What identifies a delivered file's rows, in whatever order and under whatever name: their number and two sums of hashes.
+PRINT = ["n_rows", "print_a", "print_b"]
+
+
+def file_prints(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``PRINT`` of the rows of each ``_file``."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    cells += [c.isNull() for c in cells]  # hashes pass over nulls
+    total = lambda *more: F.sum(F.xxhash64(*cells, *more).cast("decimal(38,0)")).cast("string")
+    return rows.groupBy("_file").agg(F.count("*").alias("n_rows"), total().alias("print_a"), total(F.lit(1)).alias("print_b"))
+
+
 def stream_append_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema,
                          max_files: int = 256) -> None:
-    """New landed files -> append to the products table, each micro-batch in its own folder
-    (``max_files`` bounds the size of one micro-batch; order between files does not matter here)."""
+    """New landed files -> append to the products table. A micro-batch (``max_files`` at most) becomes visible by one
+    manifest entry, which also enters its files into the ledger. Files whose rows the ledger knows, under whatever
+    name, are refused and noted; so a retried micro-batch that was committed changes nothing."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{landing}/*")
+    columns = src.columns
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={epoch:06d}")
-
-    q = (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        log = CommitLog(batch.sparkSession, table)
+        ledger = KeyIndex(log, PRINT, "ledger", buckets=1)
+        told = sorted(file_prints(batch, columns).collect(), key=lambda r: r["_file"])  # max_files rows
+        if not told:
+            return
+        prints = log.spark.createDataFrame([tuple(r[c] for c in PRINT) for r in told], "n_rows long, print_a string, print_b string")
+        known = ledger.held(prints)
+        seen = {tuple(r) for r in known.select(*PRINT).collect()} if known is not None else set()
+        taken, refused = [], []
+        for r in told:
+            mark = tuple(r[c] for c in PRINT)
+            (refused if mark in seen else taken).append(r["_file"])
+            seen.add(mark)
+        if not taken:
+            return
+        folder = log.new_folder("data")
+        batch.where(F.col("_file").isin(taken)).drop("_file").write.parquet(f"{log.root}/{folder}")
+        new = prints.distinct() if known is None else prints.distinct().join(known, PRINT, "left_anti")
+        log.commit([{"path": p, "kind": "data"} for p in log.files_under(folder)] + ledger.write(new), refused=refused)
+        ledger.compact()
+
+    named = src.withColumn("_file", F.col("_metadata.file_path"))
+    q = (named.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """A file once more under another name."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
 @query("stream_append_ingest", with_raw_ctes(landed_cte() + "\nSELECT * FROM landed"))
 def q_stream_append_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed products dropped in 5 increments, ingested by a streaming append; equals the batch table."""
+    """Landed products dropped in 5 increments, ingested by a streaming append, then a file of the first one delivered
+    again under another name; equals the batch table."""
     landed = landed_products(spark, sf)
     base = _folder(spark, "ingest")
     split = F.pmod(F.xxhash64("product_id", "source_store"), F.lit(5))
     land_in_batches(landed, f"{base}/landing", split)
     stream_append_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", landed.schema)
-    return spark.read.schema(landed.schema).parquet(f"{base}/table/*")
+    again = sorted(spark.read.schema(landed.schema).parquet(f"{base}/landing/*").inputFiles())[:1]
+    for source in again:
+        copy_file(spark, source, f"{base}/landing/drop=again/delivered-again.parquet")
+    stream_append_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", landed.schema)
+    return CommitLog(spark, f"{base}/table").read(landed.schema)
 
 
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
 def stream_dedup(spark: SparkSession, landing: str, table: str, checkpoint: str, schema, keys: list[str],
-                 order_cols: list[str]) -> None:
+                 order_cols: list[str], buckets: int = 16) -> None:
     """Append the rows of new drops whose key the table does not hold yet; of several new rows of a key the
-    first by ``order_cols`` of the earliest drop. Keys are kept in the table itself, not in state that a
-    watermark ends: a re-delivery with another event time is recognised, a late first delivery is kept.
-    A retried micro-batch finds its own folder left out and rewrites it."""
+    first by ``order_cols`` of the earliest drop. What keys are held is asked of the table's key index, not of state
+    that a watermark ends: a re-delivery with another event time is recognised, a late first delivery is kept, and
+    a micro-batch reads only index files that may hold its keys. Rows and keys become visible by one manifest
+    entry, so a retried micro-batch finds its keys held, or nothing of itself."""
     src = spark.readStream.schema(schema).parquet(f"{landing}/*").withColumn("_file", F.col("_metadata.file_path"))
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
+        log = CommitLog(batch.sparkSession, table)
+        index = KeyIndex(log, keys, buckets=buckets)
         batch = batch.withColumn("_drop", F.regexp_extract("_file", "drop=([0-9]+)", 1).cast("int")).drop("_file")
-        first = dedup_keep_first(batch, keys, ["_drop", *order_cols]).drop("_drop")
-        if epoch:
-            held = session.read.schema(schema).option("basePath", table).parquet(*[f"{table}/batch={e:06d}" for e in range(epoch)])
-            first = first.join(held.select(*keys).distinct(), keys, "left_anti")
-        first.write.mode("overwrite").parquet(f"{table}/batch={epoch:06d}")
+        first = materialize(dedup_keep_first(batch, keys, ["_drop", *order_cols]).drop("_drop"), "stream-first")
+        held = index.held(first)
+        if held is not None:
+            same = [F.col(f"n.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in keys]
+            first = first.alias("n").join(held.alias("h"), same, "left_anti")
+        folder = log.new_folder("data")
+        first.write.parquet(f"{log.root}/{folder}")
+        files = log.files_under(folder)
+        fresh = log.spark.read.schema(schema).parquet(f"{log.root}/{folder}")
+        added = index.write(fresh.select(*keys))
+        if added:
+            log.commit([{"path": p, "kind": "data"} for p in files] + added)
+            index.compact()
 
     q = (src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -113,4 +171,4 @@ def q_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     for i in range(N_DROPS):
         staged.where(F.col("drop") == i).drop("drop").write.mode("overwrite").parquet(f"{base}/landing/drop={i}")
         stream_dedup(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", ev.schema, ["event_id"], ["ts"])
-    return spark.read.schema(ev.schema).parquet(f"{base}/table/*")
+    return CommitLog(spark, f"{base}/table").read(ev.schema)
