@@ -14,6 +14,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.rand import hash_order_key
 from ..oracle.catalog import rnd, with_products, with_products_ctes, with_raw_ctes
+from ..operators.quantiles import exact_quantiles
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import landed_cte, landed_products
@@ -245,7 +246,8 @@ def q_histogram_price_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outlier count per group."""
-    q = df.groupBy(by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("n"))
+    n = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    q = n.join(exact_quantiles(df, value, [0.25, 0.5, 0.75], [by], "_q"), by)
     q = q.select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     # one row per group (three price segments): a bounded broadcast, so no group is a hot join key

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
+from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import prefix_sums
 from ..oracle.catalog import rnd, with_products
 from ..registry import query
@@ -379,10 +380,10 @@ def isolation_forest_scores(df: DataFrame, key: str, cols: list[str], n_trees: i
 @query("isolation_forest")
 def q_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Variant anomaly detector on the scaled numbers and encoded columns: the top 10 % scores are anomalies
-    (cut at the 90 % percentile of the scores, which have six decimals: at most a million values)."""
+    (cut at the exact 90 % quantile of the scores)."""
     p = variant_features(spark, sf).withColumn("key", F.concat_ws("|", "product_id", "source_store"))
     p = materialize(p.select("key", *VARIANT_FEATURES), "iforest_input")
     s = isolation_forest_scores(p, "key", VARIANT_FEATURES)
     s = materialize(s.withColumn("anomaly_score", R(F.col("anomaly_score"), 6)), "iforest_scores")
-    cut = s.select(F.percentile("anomaly_score", 1.0 - IF_CONTAMINATION)).scalar()
+    cut = exact_quantiles(s, "anomaly_score", [1.0 - IF_CONTAMINATION]).select(F.col("quantiles")[0]).scalar()
     return s.withColumn("is_anomaly", F.col("anomaly_score") > cut)

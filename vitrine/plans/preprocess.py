@@ -15,6 +15,7 @@ from ..functions import numeric as N
 from ..functions import rand as R
 from ..functions import text as T
 from ..operators.dedup import dedup_keep_first
+from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import rank_min, top_n_per_group
 from ..session import cached_layer, materialize
 from ..sources.adapters import SEQ_COLS, raw_products
@@ -107,7 +108,7 @@ def enrich(df: DataFrame, params: DataFrame, review_cap: int = C.REVIEW_CAP) ->
 
 def median_fill_days(df: DataFrame, default: int = C.DAYS_DEFAULT) -> DataFrame:
     """Missing days := median of the store (interpolated), else ``default``; truncated to int."""
-    med = df.groupBy("source_store").agg(F.percentile("days_since_publish", 0.5).alias("_med_days"))
+    med = exact_quantiles(df, "days_since_publish", [0.5], ["source_store"]).select("source_store", F.col("quantiles")[0].alias("_med_days"))
     # a row per store: broadcast behind a count, so the catalog itself is not shuffled on a few values
     med = materialize(med.withColumnRenamed("source_store", "_med_store"), "store_medians")
     if med.count() <= MEDIAN_BROADCAST_ROWS:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_raw_ctes
+from ..operators.quantiles import exact_quantiles
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import PRODUCT_CONTRACT, VARIANT_CONTRACT, landed_cte, landed_products
@@ -234,9 +235,9 @@ def q_zero_empty_report(spark: SparkSession, sf: str) -> DataFrame:
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count, mean, sample std, min, exact interpolated quartiles, max (rounded to 2)."""
     c = F.col(col)
-    q = F.percentile(c, [0.25, 0.5, 0.75])
     out = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                 F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"))
+                 F.min(c).alias("min"), F.max(c).alias("max"))
+    out = out.withColumn("_q", exact_quantiles(df, col, [0.25, 0.5, 0.75], out="_q").scalar())
     return out.select("count", *[round_half_up(x, 2).alias(n) for x, n in [
         (F.col("mean"), "mean"), (F.col("std"), "std"), (F.col("min"), "min"),
         (F.col("_q")[0], "p25"), (F.col("_q")[1], "p50"), (F.col("_q")[2], "p75"), (F.col("max"), "max")]])
