@@ -34,8 +34,8 @@ def test_pca_and_silhouette_ranges(spark):
 
     _, ratios = pca_2d(clustering_frame(spark, SF_SMALL))
     assert 0.0 <= ratios[1] <= ratios[0] <= 1.0 and ratios[0] + ratios[1] <= 1.0 + 1e-9
-    sil = Q["silhouette"](spark, SF_SMALL).first().silhouette_squared_euclidean
-    assert -1.0 <= sil <= 1.0
+    sil = Q["silhouette"](spark, SF_SMALL).first()
+    assert -1.0 <= sil.silhouette <= 1.0 and 0 < sil.std_error < 0.1
 
 
 @pytest.mark.parametrize("name", ["dedup_keep_first", "stratified_split", "rank_min_desc", "source_quality"])

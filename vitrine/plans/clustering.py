@@ -19,6 +19,8 @@ from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_products_ctes
 from ..operators.components import components
+from ..operators.lloyd import lloyd, nearest, silhouettes
+from ..operators.moments import SQUARINGS, principal_components, projected
 from ..registry import query
 from ..session import cached_layer, materialize
 from ..sources.tables import table_path
@@ -299,12 +301,16 @@ def q_dbscan_regions(spark: SparkSession, sf: str) -> DataFrame:
 # KMeans segments, PCA, silhouette
 # ---------------------------------------------------------------------------------------------
 K = 3
+K_RANGE = [2, 3, 4, 5, 6]
 N_INIT = 10
+ROUNDS = 20
 SEED = 42
 SEGMENT_NAMES = ["budget", "mid_range", "premium"]
+SILHOUETTE_SAMPLE = 1000
 
 
 def clustering_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Product key, the features as columns and as a vector."""
     return cached_layer(spark, "clustering_frame", _inputs(sf), ALL_FEATURES, lambda: _clustering_frame(spark, sf))
 
 
@@ -313,40 +319,30 @@ def _clustering_frame(spark: SparkSession, sf: str) -> DataFrame:
 
     fm = feature_matrix(processed_products(spark, sf))
     fm = VectorAssembler(inputCols=ALL_FEATURES, outputCol="features").transform(fm)
-    return materialize(fm.select(*KEY, "features"), "clustering_frame")
+    return materialize(fm.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES], "features"), "clustering_frame")
 
 
-def kmeans_best(frame: DataFrame, k: int = K, n_init: int = N_INIT, seed: int = SEED):
-    """KMeans from ``n_init`` seeds, keeping the run with the least within-cluster cost."""
-    from pyspark.ml.clustering import KMeans
+def row_key() -> F.Column:
+    return F.concat_ws("|", *KEY)
 
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster_id").fit(frame)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best[1]
+
+def kmeans_best(spark: SparkSession, sf: str) -> dict:
+    """k -> its least-cost clustering over ``N_INIT`` seeds, for all of ``K_RANGE`` in the same scans."""
+    return cached_layer(spark, "kmeans_runs", _inputs(sf), (K_RANGE, N_INIT, SEED, ROUNDS), lambda: lloyd(
+        clustering_frame(spark, sf), row_key(), ALL_FEATURES, K_RANGE, [SEED + i for i in range(N_INIT)], ROUNDS))
 
 
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """(product key, cluster_id, segment): segments named by rank of the cluster's mean price."""
-    return cached_layer(spark, "clusters", _inputs(sf), (K, N_INIT, SEED), lambda: _kmeans_clusters(spark, sf))
-
-
-def kmeans_model(spark: SparkSession, sf: str):
-    """The K=3 model (best of 10 seeds), fitted once per session and input version."""
-    return cached_layer(spark, "kmeans_model", _inputs(sf), (K, N_INIT, SEED),
-                        lambda: kmeans_best(clustering_frame(spark, sf)))
+    return cached_layer(spark, "clusters", _inputs(sf), (K, N_INIT, SEED, ROUNDS), lambda: _kmeans_clusters(spark, sf))
 
 
 def _kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    frame = clustering_frame(spark, sf)
-    model = kmeans_model(spark, sf)
-    assigned = model.transform(frame).select(*KEY, "cluster_id")
+    assigned = clustering_frame(spark, sf).select(*KEY, nearest(ALL_FEATURES, kmeans_best(spark, sf)[K]).alias("cluster_id"))
     p = processed_products(spark, sf)
     prof = p.join(assigned, KEY).groupBy("cluster_id").agg(F.avg("price").alias("mean_price"))
-    return materialize(assigned.join(price_rank_segments(prof), "cluster_id"), "clusters")
+    # a row per cluster
+    return materialize(assigned.join(F.broadcast(price_rank_segments(prof)), "cluster_id"), "clusters")
 
 
 def price_rank_segments(profiles: DataFrame) -> DataFrame:
@@ -368,7 +364,64 @@ def cluster_profiles(products: DataFrame, clusters: DataFrame, by: str = "cluste
                              F.count(F.lit(1)).alias("count"), R(F.avg(F.col("topk_label").cast("double")), 2).alias("topk_rate"))
 
 
-@query("kmeans_segments")
+# SQL of the same rounds: points, starting rows by md5, rounds as recursion, the least-cost run of each k.
+_F = [f"f{i}" for i in range(len(ALL_FEATURES))]
+
+
+def _features_sql() -> str:
+    from .features import BOOL_FEATURES, CAT_FEATURES, NUM_FEATURES, _enc_sql, _scaled_sql
+
+    parts = [_scaled_sql(c) for c in NUM_FEATURES] + [_enc_sql(c) for c in CAT_FEATURES] + [f"CAST({c} AS INT) AS {c}" for c in BOOL_FEATURES]
+    named = ", ".join(f"CAST({c} AS DOUBLE) AS {f}, CAST(round({c} * 1000000) AS BIGINT) AS w{i}" for i, (f, c) in enumerate(zip(_F, ALL_FEATURES)))
+    return f"""fm AS (SELECT product_id, source_store, {', '.join(parts)} FROM products),
+points AS MATERIALIZED (SELECT product_id, source_store, product_id || '|' || source_store AS key,
+  row_number() OVER (ORDER BY product_id, source_store) AS rid, {named} FROM fm)"""
+
+
+def _far_sql(a: str, b: str) -> str:
+    return " + ".join(f"({a}.{f} - {b}.{f}) * ({a}.{f} - {b}.{f})" for f in _F)
+
+
+def _kmeans_sql(ks: list[int]) -> str:
+    f = ", ".join(_F)
+    mean = ", ".join(f"floor(CAST(sum(p.w{i}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS {c}" for i, c in enumerate(_F))
+    near = f"min({{'d': {_far_sql('p', 'l')}, 'c': l.c}}) AS m"
+    return f"""{_features_sql()},
+start AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY md5(key || '#' || seed), key) - 1 AS c, {f}
+  FROM points, range({SEED}, {SEED + N_INIT}) s(seed) QUALIFY c < {max(ks)}),
+lloyd AS (SELECT 0 AS it, k, seed, c, {f} FROM start, (SELECT unnest({ks}) AS k) WHERE c < k
+  UNION ALL
+  SELECT a.it + 1, a.k, a.seed, a.m.c, {mean}
+  FROM (SELECT l.it, l.k, l.seed, p.rid, {near} FROM lloyd l, points p WHERE l.it < {ROUNDS} GROUP BY l.it, l.k, l.seed, p.rid) a
+  JOIN points p ON p.rid = a.rid GROUP BY a.it, a.k, a.seed, a.m.c),
+placed AS MATERIALIZED (SELECT l.k, l.seed, p.rid, {near} FROM lloyd l, points p WHERE l.it = {ROUNDS} GROUP BY l.k, l.seed, p.rid),
+best AS (SELECT k, seed FROM (SELECT k, seed, {rnd('sum(m.d)', 3)} AS cost FROM placed GROUP BY k, seed)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, seed) = 1),
+labels AS MATERIALIZED (SELECT k, rid, m.c AS c FROM placed JOIN best USING (k, seed))"""
+
+
+def _silhouette_sql(ks: list[int]) -> str:
+    return f"""{_kmeans_sql(ks)},
+picked AS (SELECT * FROM points ORDER BY md5(key || '#{SEED}'), key LIMIT {SILHOUETTE_SAMPLE}),
+pairs AS MATERIALIZED (SELECT s.rid AS sid, p.rid, sqrt({_far_sql('p', 's')}) AS d FROM picked s, points p),
+sums AS (SELECT sid, k, c, sum(d) AS far, count(*) AS n FROM pairs JOIN labels USING (rid) GROUP BY sid, k, c),
+ab AS (SELECT s.sid, s.k, max(s.n) FILTER (WHERE s.c = o.c) AS n, max(s.far) FILTER (WHERE s.c = o.c) AS far,
+  min(s.far / s.n) FILTER (WHERE s.c <> o.c) AS b FROM sums s JOIN labels o ON o.rid = s.sid AND o.k = s.k GROUP BY s.sid, s.k),
+own AS (SELECT k, CASE WHEN n > 1 AND b IS NOT NULL AND greatest(far / (n - 1), b) > 0
+  THEN (b - far / (n - 1)) / greatest(far / (n - 1), b) ELSE 0 END AS s FROM ab),
+sil AS (SELECT k, {rnd('avg(s)', 4)} AS silhouette,
+  {rnd('coalesce(stddev_samp(s), 0) / sqrt(count(*)) * sqrt(greatest(0, 1 - count(*) / (SELECT count(*) FROM points)))', 4)} AS std_error,
+  count(*) AS n_sample FROM own GROUP BY k)"""
+
+
+def _recursive(sql: str) -> str:
+    return with_products_ctes(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("kmeans_segments", _recursive(_kmeans_sql([K]) + f""",
+seg AS (SELECT l.c, [{', '.join(f"'{n}'" for n in SEGMENT_NAMES)}][CAST(row_number() OVER (ORDER BY avg(p.price), l.c) AS INT)] AS segment
+  FROM labels l JOIN points USING (rid) JOIN products p ON p.product_id = points.product_id AND p.source_store = points.source_store GROUP BY l.c)
+SELECT product_id, source_store, CAST(l.c AS INT) AS cluster_id, segment FROM labels l JOIN points USING (rid) JOIN seg ON seg.c = l.c"""))
 def q_kmeans_segments(spark: SparkSession, sf: str) -> DataFrame:
     """KMeans K=3 (10 seeds, least cost) on the feature matrix; clusters named budget / mid_range / premium."""
     return kmeans_clusters(spark, sf)
@@ -480,55 +533,76 @@ def q_segment_summary(spark: SparkSession, sf: str) -> DataFrame:
                                     R(F.avg(F.col("is_on_promo").cast("double")) * F.lit(100.0), 1).alias("on_promo_pct"))
 
 
-def silhouette(frame_with_pred: DataFrame, pred: str = "cluster_id") -> float:
-    """Spark's closed-form silhouette (squared Euclidean, O(n k)); no pairwise distances."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+def silhouettes_of(spark: SparkSession, sf: str) -> dict[int, tuple[float, float, int]]:
+    """k -> (Euclidean silhouette of its clustering, standard error, sampled rows), for all of ``K_RANGE`` in one scan."""
+    def measure():
+        best = kmeans_best(spark, sf)
+        frame = clustering_frame(spark, sf)
+        labelled = frame.select(*KEY, *ALL_FEATURES, *[nearest(ALL_FEATURES, c).alias(f"k{k}") for k, c in best.items()])
+        found = silhouettes(labelled, row_key(), ALL_FEATURES, [f"k{k}" for k in best], SILHOUETTE_SAMPLE, SEED)
+        digits = lambda v: math.floor(v * 10000 + 0.5) / 10000
+        return {k: (digits(found[f"k{k}"][0]), digits(found[f"k{k}"][1]), found[f"k{k}"][2]) for k in best}
 
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol=pred, distanceMeasure="squaredEuclidean")
-    return ev.evaluate(frame_with_pred)
+    return cached_layer(spark, "silhouettes", _inputs(sf), (K_RANGE, N_INIT, SEED, ROUNDS, SILHOUETTE_SAMPLE), measure)
 
 
-@query("silhouette")
+@query("silhouette", _recursive(_silhouette_sql([K]) + "\nSELECT CAST(k AS INT) AS k, silhouette, std_error, CAST(n_sample AS INT) AS n_sample FROM sil"))
 def q_silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    frame = clustering_frame(spark, sf)
-    s = silhouette(kmeans_model(spark, sf).transform(frame))
-    return spark.createDataFrame([(K, round(s, 4))], "k int, silhouette_squared_euclidean double")
+    """Mean Euclidean silhouette of the K=3 segments, with its standard error over the sampled rows."""
+    return spark.createDataFrame([(K, *silhouettes_of(spark, sf)[K])], "k int, silhouette double, std_error double, n_sample int")
 
 
-@query("k_selection")
+@query("k_selection", _recursive(_silhouette_sql(K_RANGE) + """
+SELECT CAST(k AS INT) AS k, silhouette, k = (SELECT k FROM sil ORDER BY silhouette DESC, k LIMIT 1) AS is_best FROM sil"""))
 def q_k_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Squared-Euclidean silhouette for K = 2..6 and the best K by it (K = 3 is used regardless)."""
-    frame = clustering_frame(spark, sf)
-    rows = []
-    for k in range(2, 7):
-        m = kmeans_best(frame, k=k)
-        rows.append((k, round(silhouette(m.transform(frame)), 4)))
-    best = max(rows, key=lambda r: r[1])[0]
-    return spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette_squared_euclidean double, is_best boolean")
+    """Silhouette for K = 2..6 and the best K by it (K = 3 is used regardless)."""
+    rows = silhouettes_of(spark, sf)
+    best = max(sorted(rows), key=lambda k: rows[k][0])
+    return spark.createDataFrame([(k, rows[k][0], k == best) for k in sorted(rows)], "k int, silhouette double, is_best boolean")
 
 
-def pca_2d(frame: DataFrame) -> tuple[DataFrame, list[float]]:
+def pca_2d(frame: DataFrame, cols: list[str] = ALL_FEATURES) -> tuple[DataFrame, list[float]]:
     """Centred PCA to 2 components, sign fixed so each component's largest loading is positive,
     explained-variance ratios against the total variance."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    stats = frame.select(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s")).first()["s"]
-    mean = stats["mean"].toArray().tolist()
-    total_var = float(sum(stats["variance"].toArray()))
-    arr = vector_to_array("features")
-    centred = frame.withColumn("features", array_to_vector(F.array(*[arr[i] - F.lit(m) for i, m in enumerate(mean)])))
-    model = PCA(k=2, inputCol="features", outputCol="_pc").fit(centred)
-    pcs = model.pc.toArray()
-    signs = [1.0 if pcs[abs(pcs[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    ratios = [float(v) * 1.0 for v in model.explainedVariance.toArray()]
-    out = model.transform(centred).withColumn("_a", vector_to_array("_pc"))
-    out = out.withColumn("PC1", R(F.col("_a")[0] * F.lit(signs[0]), 4)).withColumn("PC2", R(F.col("_a")[1] * F.lit(signs[1]), 4))
-    return out.drop("_a", "_pc"), [round(r, 4) for r in ratios] + [round(total_var, 4)]
-
-
-@query("pca_2d")
+    means, loadings, variances, total = principal_components(frame, cols)
+    out = frame
+    for i, loading in enumerate(loadings):
+        out = out.withColumn(f"PC{i + 1}", R(projected(cols, means, loading), 4))
+    return out, [round(v / total, 4) if total else 0.0 for v in variances] + [round(total, 4)]
+
+
+def _pca_sql() -> str:
+    """The same matrix, squared as often, as lists."""
+    d = len(_F)
+    at = lambda m, i, j: f"{m}[({i}) * {d} + ({j}) + 1]"
+    cov = ", ".join(rnd(f"covar_samp({_F[min(i, j)]}, {_F[max(i, j)]})", 6) for i in range(d) for j in range(d))
+    means = ", ".join(rnd(f"avg({f})", 9) for f in _F)
+    size = "sqrt(list_sum(list_transform(m, lambda v: v * v)))"
+    product = f"list_sum(list_transform(range({d}), lambda k: {at('m', f'x // {d}', 'k')} / {size} * ({at('m', 'k', f'x % {d}')} / {size})))"
+    diagonal = f"list_transform(range({d}), lambda i: {at('m', 'i', 'i')})"
+    column = f"list_transform(range({d}), lambda i: {at('m', 'i', 'top - 1')})"
+    largest = "col[list_position(list_transform(col, lambda v: abs(v)), list_max(list_transform(col, lambda v: abs(v))))]"
+    value = f"list_sum(list_transform(range({d * d}), lambda x: v[x // {d} + 1] * c[x + 1] * v[x % {d} + 1]))"
+
+    def component(n: int, source: str) -> str:
+        return f"""sq{n} AS (SELECT 0 AS it, c AS m FROM {source}
+  UNION ALL SELECT it + 1, list_transform(range({d * d}), lambda x: {product}) FROM sq{n} WHERE it < {SQUARINGS}),
+col{n} AS (SELECT {column} AS col FROM (SELECT m, list_position({diagonal}, list_max({diagonal})) AS top FROM sq{n} WHERE it = {SQUARINGS})),
+vec{n} AS (SELECT c, list_transform(col, lambda v: v / sqrt(list_sum(list_transform(col, lambda y: y * y))) * sign({largest})) AS v FROM col{n}, {source}),
+pc{n} AS (SELECT v, {value} AS value, list_transform(range({d * d}), lambda x: c[x + 1] - {value} * v[x // {d} + 1] * v[x % {d} + 1]) AS c,
+  list_transform(v, lambda y: floor(y * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE) AS w FROM vec{n})"""
+
+    along = lambda n: rnd(" + ".join(f"({f} - mu[{i + 1}]) * pc{n}.w[{i + 1}]" for i, f in enumerate(_F)), 4)
+    share = lambda n: f"round(pc{n}.value / list_sum(list_transform(range({d}), lambda i: {at('cov.c', 'i', 'i')})), 4)"
+    return f"""{_features_sql()},
+cov AS MATERIALIZED (SELECT [{cov}] AS c, [{means}] AS mu FROM points),
+{component(1, 'cov')},
+{component(2, 'pc1')},
+coords AS (SELECT product_id, source_store, {along(1)} AS PC1, {along(2)} AS PC2, {share(1)} AS explained_1, {share(2)} AS explained_2
+  FROM points, cov, pc1, pc2)"""
+
+
+@query("pca_2d", _recursive(_pca_sql() + "\nSELECT * FROM coords"))
 def q_pca_2d(spark: SparkSession, sf: str) -> DataFrame:
     """Coordinates on the first two components, with the share of variance that each explains."""
     frame = clustering_frame(spark, sf)
@@ -536,16 +610,15 @@ def q_pca_2d(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*KEY, "PC1", "PC2", F.lit(ratios[0]).alias("explained_1"), F.lit(ratios[1]).alias("explained_2"))
 
 
-@query("align_predictions", with_products_ctes(DBSCAN_CTES + ",\n" + _fixed_ctes() + f"""
-SELECT p.product_id, p.source_store, TRUE AS has_coordinates, c.cluster_id, c.segment, CAST(a.is_noise AS INT) AS is_anomaly,
+@query("align_predictions", _recursive(_pca_sql() + ",\n" + DBSCAN_CTES + ",\n" + _fixed_ctes() + f"""
+SELECT p.product_id, p.source_store, x.PC1, x.PC2, c.cluster_id, c.segment, CAST(a.is_noise AS INT) AS is_anomaly,
   p.name, p.price, p.rating, p.topk_label, p.category
-FROM products p JOIN cl c ON {J} JOIN anom a ON p.product_id = a.product_id AND p.source_store = a.source_store"""))
+FROM products p JOIN coords x ON p.product_id = x.product_id AND p.source_store = x.source_store
+JOIN cl c ON {J} JOIN anom a ON p.product_id = a.product_id AND p.source_store = a.source_store"""))
 def q_align_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether PCA placed it, cluster, segment, anomaly flag and product attributes, joined on the product key."""
-    frame = clustering_frame(spark, sf)
-    out, _ = pca_2d(frame)
+    """PCA coordinates, cluster, segment, anomaly flag and product attributes, joined on the product key."""
+    out, _ = pca_2d(clustering_frame(spark, sf))
     c = nearest_centroid(processed_products(spark, sf))
     a = anomaly_points(spark, sf).select(*KEY, F.col("is_noise").cast("int").alias("is_anomaly"))
     p = processed_products(spark, sf).select(*KEY, "name", "price", "rating", "topk_label", "category")
-    out = out.select(*KEY, (F.col("PC1").isNotNull() & F.col("PC2").isNotNull()).alias("has_coordinates"))
-    return out.join(c, KEY).join(a, KEY).join(p, KEY)
+    return out.select(*KEY, "PC1", "PC2").join(c, KEY).join(a, KEY).join(p, KEY)

@@ -61,14 +61,13 @@ def q_kpis_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
-    from .clustering import clustering_frame, kmeans_model, pca_2d, silhouette
+    from .clustering import K, clustering_frame, pca_2d, silhouettes_of
     from .ml import q_train_topk_classifier, training_frame
     from .rules import union_rules
 
     metrics = q_train_topk_classifier(spark, sf).select("roc_auc", "accuracy", "f1").first()
-    frame = clustering_frame(spark, sf)
-    sil = round(silhouette(kmeans_model(spark, sf).transform(frame)), 4)
-    _, pca_ratios = pca_2d(frame)
+    sil = silhouettes_of(spark, sf)[K][0]
+    _, pca_ratios = pca_2d(clustering_frame(spark, sf))
     an = anomaly_stats(anomaly_points(spark, sf)).first()
     n_rules = union_rules(spark, sf).count()
     n_features = training_frame(spark, sf).limit(1).count()
@@ -77,7 +76,7 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
             pca_ratios[0] == pca_ratios[0], n_rules > 0]
     rows = [
         ("boosted_trees", "roc_auc", float(metrics["roc_auc"])), ("boosted_trees", "accuracy", float(metrics["accuracy"])),
-        ("boosted_trees", "f1_score", float(metrics["f1"])), ("clustering", "silhouette_squared_euclidean", float(sil)),
+        ("boosted_trees", "f1_score", float(metrics["f1"])), ("clustering", "silhouette", float(sil)),
         ("clustering", "anomalies", float(an["n_anomalies"])), ("clustering", "anomaly_pct", float(an["anomaly_pct"])),
         ("clustering", "pca_variance", float(round(pca_ratios[0] + pca_ratios[1], 4))),
         ("association_rules", "total_rules", float(n_rules)), ("overall", "steps_done", float(sum(done))),
@@ -85,7 +84,6 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     df = spark.createDataFrame(rows, "section string, metric string, value double")
     v = F.col("value")
     grade = (F.when(F.col("metric") == "roc_auc", auc_grade(v))
-             # the grade bounds hold for the plain Euclidean silhouette, so this one stays ungraded
              .when(F.col("metric") == "silhouette", silhouette_grade(v))
              .when(F.col("metric") == "anomaly_pct", anomaly_note(v))
              .when(F.col("metric") == "total_rules", rules_grade(v))
@@ -103,11 +101,10 @@ def q_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
 def q_kpis_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     """Dashboard KPIs with the four model metrics passed through: classifier ROC-AUC and accuracy
     (test split), KMeans silhouette and the DBSCAN anomaly count."""
-    from .clustering import clustering_frame, kmeans_model, silhouette
+    from .clustering import K, silhouettes_of
     from .ml import q_train_topk_classifier
 
-    frame = clustering_frame(spark, sf)
-    sil = round(silhouette(kmeans_model(spark, sf).transform(frame)), 4)
+    sil = silhouettes_of(spark, sf)[K][0]
     an = anomaly_stats(anomaly_points(spark, sf))
     metrics = q_train_topk_classifier(spark, sf).select(
         F.col("roc_auc").alias("xgb_roc_auc"), F.col("accuracy").alias("xgb_accuracy"),
