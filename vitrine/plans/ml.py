@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_half_up
 from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import prefix_sums
-from ..oracle.catalog import rnd, with_products
+from ..oracle.catalog import rnd, with_products, with_products_ctes
 from ..registry import query
 from ..session import cached_layer, materialize
 from ..sources.tables import read_table, table_path
@@ -253,131 +253,189 @@ def q_train_price_regressor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------
-# Isolation forest (Liu, Ting, Zhou 2008): trees grown per tree id with applyInPandas on 256-row
-# hash samples, the small forest broadcast, rows scored batch-wise with mapInPandas.
+# Isolation forest (Liu, Ting, Zhou 2008) whose every choice is an md5 draw, so that SQL can follow it: a tree's
+# sample are the rows with the least hashes for that tree, a node's feature and split are drawn by tree and node.
+# The forest is a table of nodes (heap order), bounded by trees and depth; rows walk it in all trees at once.
 # ---------------------------------------------------------------------------------------------
 IF_TREES = 100
 IF_SAMPLE = 256
 IF_CONTAMINATION = 0.1
+#: Hashes are under 2**31, multipliers and shifts of a tree under this prime, so their products fit 64 bits.
+IF_PRIME = 2_147_483_647
+#: Path lengths are whole billionths, so that their sums are exact.
+IF_UNIT = 1_000_000_000
 
 
-def _avg_path(n):
-    import numpy as np
+def _draw(text: str) -> float:
+    """Uniform in (0, 1) from the first eight hex digits of md5."""
+    import hashlib
 
-    n = np.asarray(n, dtype=float)
-    out = np.where(n > 2, 2.0 * (np.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / np.maximum(n, 1), 0.0)
-    return np.where(n == 2, 1.0, out)
+    return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
 
 
-def _grow(pdf, cols, max_depth):
-    """One isolation tree as flat node arrays (feature, split, left, right, size)."""
-    import numpy as np
+def _tree_hash(tree: int) -> tuple[int, int]:
+    """Multiplier and shift that give a tree its own order of the rows' hashes."""
+    return 1 + int(_draw(f"tree:{tree}:a") * (IF_PRIME - 1)), int(_draw(f"tree:{tree}:b") * IF_PRIME)
+
+
+def _rest_path(n: int) -> int:
+    """Mean path that ``n`` rows in a leaf would still take, in ``IF_UNIT``."""
+    import math
 
-    tree_id = int(pdf["tree_id"].iloc[0])
-    rng = np.random.default_rng(tree_id)
-    x = pdf[cols].to_numpy(dtype=float)
-    nodes = []
-
-    def build(idx, depth):
-        me = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, len(idx)])
-        if depth >= max_depth or len(idx) <= 1:
-            return me
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.where(hi > lo)[0]
-        if len(usable) == 0:
-            return me
-        f = int(rng.choice(usable))
-        s = float(rng.uniform(lo[f], hi[f]))
-        nodes[me][0], nodes[me][1] = f, s
-        nodes[me][2] = build(idx[sub[:, f] < s], depth + 1)
-        nodes[me][3] = build(idx[sub[:, f] >= s], depth + 1)
-        return me
-
-    build(np.arange(len(x)), 0)
-    import pandas as pd
-
-    arr = np.array(nodes, dtype=float)
-    return pd.DataFrame({"tree_id": tree_id, "node": np.arange(len(arr)), "feature": arr[:, 0].astype(int),
-                         "split": arr[:, 1], "left": arr[:, 2].astype(int), "right": arr[:, 3].astype(int),
-                         "size": arr[:, 4].astype(int)})
+    if n <= 2:
+        return IF_UNIT if n == 2 else 0
+    return math.floor((2.0 * (math.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / n) * IF_UNIT + 0.5)
+
+
+def _grow(tree: int, x, max_depth: int) -> list[tuple[int, int, int, float, int]]:
+    """(tree, node, feature, split, rows) of a tree's nodes; feature -1 at leaves."""
+    nodes, todo = [], [(1, x)]
+    while todo:
+        node, own = todo.pop()
+        lo, hi = own.min(axis=0), own.max(axis=0)
+        usable = (hi > lo).nonzero()[0]
+        if node >= 1 << max_depth or len(own) <= 1 or not len(usable):
+            nodes.append((tree, node, -1, 0.0, len(own)))
+            continue
+        f = int(usable[int(_draw(f"{tree}:{node}:f") * len(usable))])
+        split = float(lo[f] + _draw(f"{tree}:{node}:s") * (hi[f] - lo[f]))
+        nodes.append((tree, node, f, split, len(own)))
+        left = own[:, f] < split
+        # a draw that rounds to an end leaves a side empty: that side is no node
+        todo += [(2 * node + side, own[at]) for side, at in ((0, left), (1, ~left)) if at.any()]
+    return nodes
 
 
 def isolation_forest_scores(df: DataFrame, key: str, cols: list[str], n_trees: int = IF_TREES,
                             sample: int = IF_SAMPLE) -> DataFrame:
-    """Scores from ``n_trees`` trees, each grown on the ``sample`` rows with the least hashes for that tree:
-    every task keeps its own least rows per tree, and these meet per tree."""
+    """(key, anomaly_score) from ``n_trees`` trees, each grown on the ``sample`` rows with the least hashes for that
+    tree: every task keeps its own least rows per tree, and these meet per tree."""
     import math
 
+    import numpy as np
+    import pyarrow as pa
     from pyspark.sql import Window
 
-    def least(batches):
-        import numpy as np
-        import pandas as pd
-
-        kept = None
-        for pdf in batches:
-            base = pdf.pop("_h").to_numpy().astype(np.uint64)
-            parts = [] if kept is None else [kept]
-            for t in range(n_trees):
-                h = (base ^ np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-                h = ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(1)
-                at = np.argsort(h, kind="stable")[:sample]
-                parts.append(pdf.iloc[at].assign(tree_id=t, _h=h[at].astype(np.int64)))
-            kept = pd.concat(parts).sort_values(["tree_id", "_h", key]).groupby("tree_id").head(sample)
-        if kept is not None:
-            yield kept[["tree_id", "_h", key, *cols]]
-
-    types = dict(df.dtypes)
-    fields = ", ".join(f"{c} {types[c]}" for c in [key, *cols])
-    cand = df.select(key, *cols, F.xxhash64(key).alias("_h")).mapInPandas(least, f"tree_id int, _h long, {fields}")
-    w = Window.partitionBy("tree_id").orderBy("_h", key)
-    samp = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(sample)).drop("_rn", "_h")
+    orders = [_tree_hash(t) for t in range(n_trees)]
+    names = [f"x{i}" for i in range(len(cols))]
+    features = ", ".join(f"{n} double" for n in names)
     max_depth = int(math.ceil(math.log2(max(sample, 2))))
-    schema = "tree_id int, node long, feature int, split double, left int, right int, size int"
-    forest = samp.groupBy("tree_id").applyInPandas(lambda pdf: _grow(pdf, cols, max_depth), schema)
-    # n_trees x (2 * sample) nodes at most: a bounded broadcast.
-    forest_pdf = forest.toPandas()
-    bc = df.sparkSession.sparkContext.broadcast(forest_pdf)
-    roots = forest_pdf.loc[forest_pdf["node"] == 0, "size"]
-    c_n = max(float(_avg_path([roots.mean() if len(roots) else sample])[0]), 1.0)
-
-    def score(batches):
-        import numpy as np
-        import pandas as pd
-
-        fp = bc.value
-        trees_ = {t: g.sort_values("node").to_numpy() for t, g in fp.groupby("tree_id")}
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            for arr in trees_.values():
-                node = np.zeros(len(x), dtype=int)
-                depth = np.zeros(len(x))
-                active = np.ones(len(x), dtype=bool)
-                while active.any():
-                    feat = arr[node, 2].astype(int)
-                    leaf = feat < 0
-                    done = active & leaf
-                    if done.any():
-                        depth[done] += _avg_path(arr[node[done], 6])
-                    active &= ~leaf
-                    if not active.any():
-                        break
-                    go_left = x[np.arange(len(x)), np.maximum(feat, 0)] < arr[node, 3]
-                    nxt = np.where(go_left, arr[node, 4], arr[node, 5]).astype(int)
-                    node = np.where(active, nxt, node)
-                    depth = np.where(active, depth + 1, depth)
-                total += depth
-            s = np.power(2.0, -(total / len(trees_)) / c_n)
-            yield pd.DataFrame({key: pdf[key], "anomaly_score": s})
-
-    key_type = dict(df.dtypes)[key]
-    return df.select(key, *cols).mapInPandas(score, f"{key} {key_type}, anomaly_score double")
-
-
-@query("isolation_forest")
+    name = F.col(key).cast("string")
+    hashed = df.select(name.alias("key"), *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)],
+                       F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long").bitwiseAND(IF_PRIME).alias("h"))
+
+    def least(batch_iter):
+        """Of all batches of the task the rows that can be among a tree's least."""
+        held: list = [None] * n_trees
+        for b in batch_iter:
+            base = b.column("h").to_numpy()
+            for t, (a, shift) in enumerate(orders):
+                own = (base * a + shift) % IF_PRIME
+                if len(own) > sample:
+                    at = np.flatnonzero(own <= np.partition(own, sample - 1)[sample - 1])
+                else:
+                    at = np.arange(len(own))
+                part = b.take(pa.array(at)).set_column(len(names) + 1, "h", pa.array(own[at]))
+                table = pa.Table.from_batches([part] if held[t] is None else [*held[t].to_batches(), part])
+                if len(table) > 2 * sample:
+                    all_h = table.column("h").to_numpy()
+                    table = table.filter(pa.array(all_h <= np.partition(all_h, sample - 1)[sample - 1]))
+                held[t] = table
+        for t, table in enumerate(held):
+            for b in table.to_batches() if table is not None else []:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), t, dtype=np.int32)), *b.columns], names=["tree", *b.schema.names])
+
+    candidates = hashed.mapInArrow(least, f"tree int, key string, {features}, h long")
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("h", "key"))
+    picked = candidates.withColumn("place", place).where(F.col("place") <= sample).drop("place")
+
+    def grow(key_, rows):
+        x = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
+        nodes = _grow(key_[0].as_py(), x, max_depth)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*nodes), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()))], names=["tree", "node", "feature", "split", "n"])
+
+    # n_trees x 2 * sample nodes at most
+    forest = picked.groupBy("tree").applyInArrow(grow, "tree int, node int, feature int, split double, n int").collect()
+    width = 2 << max_depth
+    feature = np.full(n_trees * width, -1, dtype=np.int64)
+    split, leaf = np.zeros(n_trees * width), np.zeros(n_trees * width, dtype=np.int64)
+    for r in forest:
+        at = r["tree"] * width + r["node"]
+        feature[at], split[at] = r["feature"], r["split"]
+        leaf[at] = (r["node"].bit_length() - 1) * IF_UNIT + _rest_path(r["n"])
+    for t in range(n_trees):  # where a side has no rows, a row stops as it would in an empty leaf
+        for node in range(2, width):
+            at, up = t * width + node, t * width + node // 2
+            if feature[up] >= 0 and not leaf[at]:
+                leaf[at] = (node.bit_length() - 1) * IF_UNIT
+    roots = [r["n"] for r in forest if r["node"] == 1]
+    usual = max(_rest_path(max(roots, default=sample)) / IF_UNIT, 1.0)
+    told = df.sparkSession.sparkContext.broadcast((feature, split, leaf))
+
+    def score(batch_iter):
+        feature_, split_, leaf_ = told.value
+        for b in batch_iter:
+            x = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1) if len(b) else np.zeros((0, len(names)))
+            row = np.arange(len(x))[:, None]
+            root = np.arange(n_trees) * width
+            node = np.ones((len(x), n_trees), dtype=np.int64)
+            for _ in range(max_depth):
+                f = feature_[root + node]
+                further = 2 * node + (x[row, np.maximum(f, 0)] >= split_[root + node])
+                node = np.where(f >= 0, further, node)
+            mean = leaf_[root + node].sum(axis=1).astype(np.float64) / n_trees / IF_UNIT
+            yield pa.record_batch([b.column("key"), pa.array(np.power(2.0, -mean / usual))], names=["key", "anomaly_score"])
+
+    scored = hashed.drop("h").mapInArrow(score, "key string, anomaly_score double")
+    return scored.select(F.col("key").cast(dict(df.dtypes)[key]).alias(key), "anomaly_score")
+
+
+def _forest_sql() -> str:
+    """The same draws: samples by hash, levels by recursion, and all rows walking the table of nodes."""
+    import math
+
+    from .features import _enc_sql, _scaled_sql
+
+    n, depth = len(VARIANT_FEATURES), int(math.ceil(math.log2(IF_SAMPLE)))
+    x = [f"x{i}" for i in range(n)]
+    named = ", ".join(f"CAST({c} AS DOUBLE) AS {i}" for c, i in zip(VARIANT_FEATURES, x))
+    trees = ", ".join(f"({t}, {a}, {b})" for t, (a, b) in ((t, _tree_hash(t)) for t in range(IF_TREES)))
+    draw = lambda what: f"((('0x' || substr(md5(tree || ':' || node || ':{what}'), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    node = "PARTITION BY tree, node"
+    ends = ", ".join(f"min({c}) OVER ({node}) AS lo{i}, max({c}) OVER ({node}) AS hi{i}" for i, c in enumerate(x))
+    usable = "list_filter([" + ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(n)) + "], lambda f: f IS NOT NULL)"
+    pick = lambda prefix: "[" + ", ".join(f"{prefix}{i}" for i in range(n)) + "][f + 1]"
+    split = f"({pick('lo')} + {draw('s')} * ({pick('hi')} - {pick('lo')}))"
+    rest = f"CASE WHEN n > 2 THEN floor((2.0::DOUBLE * (ln(n - 1.0::DOUBLE) + 0.5772156649::DOUBLE) - 2.0::DOUBLE * (n - 1.0::DOUBLE) / n) * {float(IF_UNIT)}::DOUBLE + 0.5::DOUBLE) WHEN n = 2 THEN {IF_UNIT} ELSE 0 END"
+    fields = ", ".join(x)
+    return f"""v AS (SELECT product_id, source_store, {', '.join(_scaled_sql(c) for c in VARIANT_NUM)}, {', '.join(_enc_sql(c) for c in VARIANT_CAT)}
+  FROM (SELECT product_id, source_store, {', '.join(f'coalesce({c}, 0) AS {c}' for c in VARIANT_NUM)}, {', '.join(f"coalesce({c}, 'unknown') AS {c}" for c in VARIANT_CAT)} FROM products)),
+points AS MATERIALIZED (SELECT product_id || '|' || source_store AS key, row_number() OVER (ORDER BY product_id, source_store) AS rid,
+  (('0x' || substr(md5(product_id || '|' || source_store), 1, 8))::BIGINT & {IF_PRIME}) AS h, {named} FROM v),
+trees(tree, a, b) AS (VALUES {trees}),
+grown AS (SELECT tree, 1 AS node, {fields} FROM (SELECT tree, key, (h * a + b) % {IF_PRIME} AS th, {fields} FROM points, trees
+    QUALIFY row_number() OVER (PARTITION BY tree ORDER BY th, key) <= {IF_SAMPLE})
+  UNION ALL
+  SELECT tree, 2 * node + CAST({pick('x')} >= {split} AS INT), {fields}
+  FROM (SELECT *, {usable}[CAST(floor({draw('f')} * len({usable})) AS INT) + 1] AS f
+    FROM (SELECT *, {ends} FROM grown WHERE node < {1 << depth})) WHERE f IS NOT NULL),
+sized AS (SELECT tree, node, count(*) AS n, {', '.join(f'min({c}) AS lo{i}, max({c}) AS hi{i}' for i, c in enumerate(x))} FROM grown GROUP BY tree, node),
+nodes AS MATERIALIZED (SELECT tree, node, n, f, {split} AS split
+  FROM (SELECT *, CASE WHEN node < {1 << depth} THEN {usable}[CAST(floor({draw('f')} * len({usable})) AS INT) + 1] END AS f FROM sized)),
+walk AS (SELECT p.rid, t.tree, 1 AS node, 0 AS depth, FALSE AS ended FROM points p, trees t
+  UNION ALL
+  SELECT w.rid, w.tree, CASE WHEN m.f IS NULL THEN w.node ELSE 2 * w.node + CAST([{', '.join(f'p.{c}' for c in x)}][m.f + 1] >= m.split AS INT) END,
+    w.depth + CAST(m.f IS NOT NULL AS INT), m.f IS NULL
+  FROM walk w JOIN points p USING (rid) LEFT JOIN nodes m ON m.tree = w.tree AND m.node = w.node WHERE NOT w.ended),
+paths AS (SELECT rid, sum(depth * {IF_UNIT}::BIGINT + CAST(coalesce({rest}, 0) AS BIGINT)) AS path
+  FROM walk w LEFT JOIN nodes m USING (tree, node) WHERE ended GROUP BY rid),
+usual AS (SELECT greatest(max({rest}) / {float(IF_UNIT)}::DOUBLE, 1) AS c FROM nodes WHERE node = 1),
+scores AS (SELECT p.key, {rnd(f'pow(2.0::DOUBLE, -(CAST(path AS DOUBLE) / {IF_TREES} / {float(IF_UNIT)}::DOUBLE) / c)', 6)} AS anomaly_score
+  FROM paths JOIN points p USING (rid), usual)
+SELECT key, anomaly_score, anomaly_score > (SELECT quantile_cont(anomaly_score, {1.0 - IF_CONTAMINATION}) FROM scores) AS is_anomaly FROM scores"""
+
+
+@query("isolation_forest", with_products_ctes(_forest_sql()).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Variant anomaly detector on the scaled numbers and encoded columns: the top 10 % scores are anomalies
     (cut at the exact 90 % quantile of the scores)."""
