@@ -170,5 +170,5 @@ def q_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     staged = spark.read.parquet(f"{base}/staged")
     for i in range(N_DROPS):
         staged.where(F.col("drop") == i).drop("drop").write.mode("overwrite").parquet(f"{base}/landing/drop={i}")
-        stream_dedup(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", ev.schema, ["event_id"], ["ts"])
+        stream_dedup(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", ev.schema, ["event_id"], ["ts"], buckets=4)
     return CommitLog(spark, f"{base}/table").read(ev.schema)
