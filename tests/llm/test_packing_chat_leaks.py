@@ -221,3 +221,89 @@ def test_blocks_of_items_change_nothing(llm, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 300)
     assert sorted(tuple(x) for x in decontamination.find(d, b).collect()) == whole
     assert {(x[0], x[1]) for x in whole} == {(i, i % 12) for i in range(0, 40, 3)}
+
+
+def brute_matches(known, t, k, cover, least, run):
+    """Every alignment of a text and every item, window by window, slots as dictionaries."""
+    base, n = int(t.first[k]), int(t.first[k + 1] - t.first[k])
+    key, value, kind = (list(x[base : base + n]) for x in (t.key, t.value, t.kind))
+    out = set()
+    for i, size in enumerate(known.size):
+        if not size:
+            continue
+        wide = min(known.width, size)
+        of = lambda j: (known.value[i][j], known.kind[i][j])
+        hit, same, long = set(), True, False
+        for s in range(-size, n + 1):
+            first = []
+            for a in range(size - wide + 1):
+                if not 0 <= s + a <= n - wide:
+                    continue
+                pairs = [(of(a + j), (value[s + a + j], kind[s + a + j])) for j in range(wide)]
+                equal = all(x[0] == y[0] for x, y in pairs)
+                typed = all(x[1] == y[1] and (x[1] > 0 or x[0] == y[0]) for x, y in pairs)
+                solid = sum(x[1] == 0 for x, _ in pairs) >= known.literals and sum(y[1] == 0 for _, y in pairs) >= known.literals
+                if equal or (wide == known.width and typed and solid):
+                    first.append(a)
+            if not first or size == 1 and not (t.opens[base + s] and t.ends[base + s]):
+                continue
+            covered = {a + j for a in first for j in range(wide)}
+            slots = [j for j in sorted(covered) if known.kind[i][j] > 0]
+            there, back = {}, {}
+            for j in slots:
+                there.setdefault(of(j), set()).add(value[s + j])
+                back.setdefault((value[s + j], known.kind[i][j]), set()).add(known.value[i][j])
+            if any(known.value[i][j] != value[s + j] for j in slots):
+                bad = {j for j in slots if len(there[of(j)]) > 1}
+                if any(known.kind[i][j] == decontamination.NAME for j in bad):
+                    covered = set()
+                else:
+                    bad |= {j for j in slots if len(back[value[s + j], known.kind[i][j]]) > 1}
+                    covered = {a + j for a in first if not bad & set(range(a, a + wide)) for j in range(wide)}
+                    same = False
+            hit |= covered
+            for a in range(size - run + 1):
+                if all(0 <= s + a + j < n and known.value[i][a + j] == value[s + a + j] for j in range(run)):
+                    long = True
+                    hit |= set(range(a, a + run))
+        if long or len(hit) >= max(cover * size, min(least, size)):
+            out.add((k, known.ids[i], len(hit) / size, same))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_alignments_equal_brute_force(seed):
+    r = random.Random(seed)
+    words = [["a", "b", "3", "4", "Ann", "Bob", "kg", "pear"], ["pear", "pear", "pear", "7"], ["x", "y", "Zed", "1", "2", "und", "the"]][seed % 3]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [line(r.randint(1, 30)) for _ in range(6)] + ["pear " * 25, "pear", "x " * 18, "1 2 3 " * 8]
+    texts = [line(r.randint(0, 60)) for _ in range(6)] + ["pear " * 70, "x x pear\npear\n" + "x " * 40, "1 2 3 " * 20, "q " + items[0] + " q " + items[1].replace("3", "4"), "pear\nx"]
+    known = decontamination._Items(list(range(len(items))), items, decontamination.WIDTH, decontamination.LITERALS)
+    args = (decontamination.COVER, decontamination.LEAST, decontamination.RUN)
+    for _, _, w in decontamination.batches(pa.array(texts, pa.string())):
+        t = decontamination.Templates(w)
+        start, h, _ = t.fingerprints(known.width, known.literals, known.short)
+        hit = np.isin(h, known.hash)
+        order = np.argsort(start[hit], kind="stable")
+        start, h = start[hit][order], h[hit][order]
+        own = np.searchsorted(t.first, start, side="right") - 1
+        for k in range(len(texts)):
+            got = {(k, *m) for m in known.matches(t, k, start[own == k], h[own == k], *args)} if (own == k).any() else set()
+            assert got == brute_matches(known, t, k, *args)
+
+
+def test_repetitive_text_against_repeated_items(llm):
+    """A hundred thousand equal words, and a grid of digits, within seconds."""
+    import time
+
+    items = [(i, "pear " * (150 + i)) for i in range(5)] + [(9, "1 2 3 4 5 6 7 8 9 0 " * 20)]
+    rows = [(1, "pear " * 100_000), (2, "1 2 3 4 5 6 7 8 9 0 " * 10_000), (3, "no fruit here")]
+    began = time.time()
+    found = decontamination.find(make(llm, rows), llm.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, i) for i in range(5)] + [(2, 9)] and time.time() - began < 30
+
+
+def test_one_word_item_is_a_whole_line(llm):
+    rows = [(1, "She sold pears."), (2, "fruit:\nPears!\nand plums"), (3, "pears")]
+    found = decontamination.find(make(llm, rows), llm.createDataFrame([(1, "pears")], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [2, 3]

@@ -13,18 +13,21 @@ disagree take the windows around them out. A text is contaminated by an item whe
 cover at least ``COVER`` of the item's tokens, and ``LEAST`` tokens (or all), or when it holds ``RUN`` consecutive
 tokens of the item verbatim, whatever their share.
 
+An item of one token has to be a whole line of the text.
+
 * number: starts with a digit and holds digits and ``. , : / -`` only; QTY: starts with a digit otherwise;
 * unit: one of ``UNITS`` right behind a number;
 * name: a capital followed by a small letter, not at the start of a text, line or sentence, or there if the
   same word is a name elsewhere in its text.
 
 Defined cases: null and empty texts are clean; items without a token (null, empty, punctuation only) match
-nothing; an item of fewer than ``WIDTH`` tokens matches as a whole, verbatim; equal rows give equal rows; a null id is a document like others; an
+nothing; an item of fewer than ``WIDTH`` tokens matches as a whole, verbatim, one of a single token only where it is a whole line; equal rows give equal rows; a null id is a document like others; an
 empty benchmark leaves every document clean; extra columns are ignored by ``find`` and kept by ``remove``.
 
 Scale: items are taken in blocks of ``BLOCK_CHARS`` characters (each collected, packed in sorted arrays and
 broadcast, so of bounded size); each block is one scan of the texts without a shuffle of them. Only matches
-are shuffled.
+are shuffled. A repetitive text has few different surroundings, and of equal ones a text and an item meet once: a
+text of one word a hundred thousand times costs little more than its scan.
 """
 
 from __future__ import annotations
@@ -131,6 +134,7 @@ class Templates:
         self.first = np.searchsorted(text, np.arange(len(w) + 1))
         n = len(lo)
         self.kind = np.zeros(n, dtype=np.int8)
+        self.opens, self.ends = np.ones(n, dtype=bool), np.ones(n, dtype=bool)  # first and last tokens of lines
         if n:
             numeric = np.concatenate([[0], np.cumsum(_NUMERIC[data])])
             digit = _DIGIT[data[lo]]
@@ -141,7 +145,9 @@ class Templates:
             self.kind[behind & _member(self.value, _UNIT_HASHES) & ~digit] = UNIT
             feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
             fresh = np.ones(n, dtype=bool)
-            fresh[1:] = (text[1:] != text[:-1]) | _STOP[data[end[:-1] - 1]] | (feeds[start[1:]] != feeds[end[:-1]])
+            newline = (text[1:] != text[:-1]) | (feeds[start[1:]] != feeds[end[:-1]])
+            self.opens[1:], self.ends[:-1] = newline, newline
+            fresh[1:] = newline | _STOP[data[end[:-1] - 1]]
             ahead = np.minimum(lo + 1, len(data) - 1)
             b0, b1 = data[lo], data[ahead]
             two = np.minimum(lo + 2, len(data) - 1)
@@ -152,6 +158,18 @@ class Templates:
             own = self.value ^ mix(text.astype(np.uint64))
             self.kind[np.flatnonzero(title & fresh)[np.isin(own[title & fresh], own[title & ~fresh])]] = NAME
         self.key = np.where(self.kind > 0, _TYPE[self.kind], self.value)
+        self._placed: dict[tuple[int, int], np.ndarray] = {}
+
+    def placed(self, width: int, literals: int) -> np.ndarray:
+        """Hash of the template window that starts at each token, 0 for those with too few literals; with
+        ``literals`` 0 of the verbatim window. Windows may run on into the next text."""
+        if (width, literals) not in self._placed:
+            h = windows(self.key if literals else self.value, width)
+            if literals and len(h):
+                solid = np.concatenate([[0], np.cumsum(self.kind == 0)])
+                h = np.where(solid[width:] - solid[:-width] >= literals, h, np.uint64(0))
+            self._placed[width, literals] = h
+        return self._placed[width, literals]
 
     def windows(self, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
         """(first token, hash) of the windows with enough literals, in order."""
@@ -184,6 +202,7 @@ class _Items:
         short = set()
         hashes, item, at = [], [], []
         self.kind, self.value, self.size = [], [], []
+        self.template, self.verbatim = [], []  # of each item the hashes of its windows, by place
         for i, j, w in batches(pa.array(texts, pa.string())):
             t = Templates(w)
             size = np.diff(t.first)
@@ -199,7 +218,12 @@ class _Items:
             for k in range(j - i):
                 self.kind.append(t.kind[t.first[k] : t.first[k + 1]])
                 self.value.append(t.value[t.first[k] : t.first[k + 1]])
-                self.size.append(int(t.first[k + 1] - t.first[k]))
+                size_k = int(t.first[k + 1] - t.first[k])
+                wide = min(width, size_k)
+                own = slice(t.first[k], t.first[k] + size_k - wide + 1) if wide else slice(0, 0)
+                self.size.append(size_k)
+                self.template.append(t.placed(width, literals)[own] if wide == width else np.zeros(min(wide, 1), dtype=np.uint64))
+                self.verbatim.append(t.placed(wide, 0)[own] if wide else np.zeros(0, dtype=np.uint64))
         self.short = sorted(short)
         h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
@@ -210,26 +234,58 @@ class _Items:
         bits[(self.hash % np.uint64(_BITS)).astype(np.int64)] = True
         self.bits = np.packbits(bits)
 
+    @staticmethod
+    def _alignments(shifts: np.ndarray, seen: np.ndarray, size: int) -> np.ndarray:
+        """Of the alignments with equal tokens of the text one each; those that leave the text stay."""
+        inside = (shifts >= 0) & (shifts + size <= len(seen))
+        if inside.sum() < 2:
+            return shifts
+        _, one = np.unique(windows(seen, size)[shifts[inside]], return_index=True)
+        return np.concatenate([shifts[~inside], shifts[inside][one]])
+
     def matches(self, t: Templates, k: int, start: np.ndarray, hashes: np.ndarray, cover: float, least: int, run: int) -> list[tuple]:
         """(item id, coverage, verbatim) of the items that contaminate text ``k``; ``start`` and ``hashes`` are
         those of its windows that some item has."""
         base, tokens = t.first[k], t.first[k + 1] - t.first[k]
+        own = slice(base, base + tokens)
+        role = t.kind[own].astype(np.uint64) + np.uint64(8) * t.opens[own] + np.uint64(16) * t.ends[own]
+        seen = mix(t.value[own] ^ mix(role + np.uint64(1)))
+        here = start - base
+        each = np.unique(hashes)
+        if len(each) < len(hashes):
+            # places whose surroundings are equal as far as any item reaches lie in equal alignments: one is enough
+            lo, hi = np.searchsorted(self.hash, each, side="left"), np.searchsorted(self.hash, each, side="right")
+            reach = max(self.size[i] for i in np.unique(self.item[ranges(lo, hi - lo)]))
+            edge = np.full(reach, np.uint64(0))
+            around = windows(np.concatenate([edge, seen, ~edge]), 2 * reach)[here]
+            order = np.lexsort((here, hashes, around))
+            new = np.append(True, (np.diff(around[order]) != 0) | (np.diff(hashes[order]) != 0))
+            here, hashes = here[order[new]], hashes[order[new]]
         lo, hi = np.searchsorted(self.hash, hashes, side="left"), np.searchsorted(self.hash, hashes, side="right")
         there = ranges(lo, hi - lo)
-        item, at, here = self.item[there], self.at[there], np.repeat(start - base, hi - lo)
-        order = np.lexsort((at, here - at, item))
-        item, at, shift = item[order], at[order], (here - at)[order]
+        item, at, shift = self.item[there], self.at[there], np.repeat(here, hi - lo) - self.at[there]
+        order = np.lexsort((shift, item))
+        item, at, shift = item[order], at[order], shift[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(item)) + 1, [len(item)]])
         found = []
-        for i in np.unique(item):
-            mine = item == i
+        for p, q in zip(cuts[:-1], cuts[1:]):
+            i = item[p]
             size = self.size[i]
             wide = min(self.width, size)
             # an item with too few windows in this text can't be covered, nor have a run in it
-            if len(np.unique(at[mine])) < min(min(cover * size, least) / wide, max(run - wide + 1, 1)):
+            if len(np.unique(at[p:q])) < min(min(cover * size, least) / wide, max(run - wide + 1, 1)):
                 continue
             hit, same, long = np.zeros(size, dtype=bool), True, False
-            for s in np.unique(shift[mine]):
-                first = np.unique(at[mine & (shift == s)])
+            for s in self._alignments(np.unique(shift[p:q]), seen, size):
+                if size == 1 and not (t.opens[base + s] and t.ends[base + s]):
+                    continue  # an item of one token has to be a whole line
+                a, z = max(0, -s), min(size, tokens - s) - wide + 1
+                there_t, there_v = t.placed(self.width, self.literals), t.placed(wide, 0)
+                agree = self.verbatim[i][a:z] == there_v[base + s + a : base + s + z]
+                if wide == self.width:
+                    own_t = self.template[i][a:z]
+                    agree |= (own_t != 0) & (own_t == there_t[base + s + a : base + s + z])
+                first = np.flatnonzero(agree) + a
                 own = _spans(first, wide, size)
                 slots = np.flatnonzero(own & (self.kind[i] > 0))
                 x, y, kind = self.value[i][slots], t.value[base + slots + s], self.kind[i][slots]
