@@ -118,3 +118,23 @@ def test_joined_words():
         keep[1::2] = False
         out += joined(w, keep).to_pylist()
     assert out == ["a c", "", "", "x", "é ß"]
+
+
+def test_clean_keeps_any_column_name_and_drops_emptied_texts(llm):
+    rows = [(1, "a b c\nd e f\ng h i\nk"), (2, "a b c\nd e f\ng h i"), (3, ""), (4, None), (5, " \n")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS __line_dedup_id", "8 AS __line_dedup_starts")
+    out = line_dedup.clean(docs)
+    assert out.columns == ["doc_id", "text", "__line_dedup_id", "__line_dedup_starts"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "", 3: "", 4: None, 5: " \n"}
+    assert {r.doc_id for r in line_dedup.clean(docs, emptied=False).collect()} == {1, 3, 4, 5}
+
+
+def test_filters_keep_any_column_name(llm):
+    from vitrine.llm import decontamination, ngram_join, quality_rules
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = llm.createDataFrame([(1, text), (2, text), (3, "short")], "doc_id long, text string").selectExpr("*", "1 AS __rejected", "2 AS __dropped", "3 AS __leaked")
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [1, 3]
+    items = llm.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.remove(docs, items).collect()) == [3]
+    assert quality_rules.keep(docs, llm.createDataFrame([(1,)], "doc_id long")).columns == docs.columns

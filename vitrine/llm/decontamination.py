@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.runtime import materialize, with_text
+from vitrine.llm.runtime import free_name, materialize, with_text
 from vitrine.llm.textarrays import _LOWER, Words, batches, hash_spans, mix, ranges, windows
 
 WIDTH = 5
@@ -383,5 +383,6 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the contaminated documents, all columns kept."""
-    found = materialize(find(docs, items, id_col, **options).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    leaked = free_name(docs, "__leaked")
+    found = materialize(find(docs, items, id_col, **options).select(F.col("doc_id").alias(leaked)).distinct(), "leaked")
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col(leaked)), "left_anti")

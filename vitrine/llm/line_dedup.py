@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.runtime import materialize, with_text
+from vitrine.llm.runtime import free_name, materialize, with_text
 from vitrine.llm.textarrays import Words, batches, hash_spans, windows
 
 MIN_RUN = 3
@@ -134,15 +134,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     return joined.select("doc_id", _cutter(run)("text", "starts").alias("x")).select("doc_id", "x.n_lines", "x.n_removed", "x.text")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", run: int = MIN_RUN, least: int | None = None) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", run: int = MIN_RUN, least: int | None = None, emptied: bool = True) -> DataFrame:
     """``docs`` with repeated runs deleted from the text; the length column follows where one is named and
-    a line went. All other columns stay."""
+    a line went. All other columns stay. Without ``emptied``, rows go whose text lost lines and has no word left."""
     runs = materialize(later_runs(docs, id_col, text_col, run, least), "later-runs")
-    lost = runs.select(F.col("doc_id").alias("__line_dedup_id"), F.col("starts").alias("__line_dedup_starts"))
-    joined = docs.join(lost, docs[id_col] == F.col("__line_dedup_id"), "left")
-    left = F.when(F.col("__line_dedup_starts").isNotNull(), _cutter(run)(F.coalesce(docs[text_col], F.lit("")), F.col("__line_dedup_starts"))["text"])
+    lost_id, starts = free_name(docs, "__line_dedup_id"), free_name(docs, "__line_dedup_starts")
+    # one way to join at every size: texts are shuffled once, so disk grows in proportion to the input, and not sorted
+    lost = runs.select(F.col("doc_id").alias(lost_id), F.col("starts").alias(starts)).hint("shuffle_hash")
+    joined = docs.join(lost, docs[id_col] == F.col(lost_id), "left")
+    cut = _cutter(run).asNondeterministic()  # as a filter on its result would run it once more
+    left = F.when(F.col(starts).isNotNull(), cut(F.coalesce(docs[text_col], F.lit("")), F.col(starts))["text"])
     joined = joined.withColumn(text_col, F.coalesce(left, docs[text_col]))
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
-        joined = joined.withColumn(chars_col, F.when(F.col("__line_dedup_starts").isNotNull(), F.length(F.col(f"`{text_col}`")).cast(kind)).otherwise(F.col(f"`{chars_col}`")))
-    return joined.drop("__line_dedup_id", "__line_dedup_starts")
+        joined = joined.withColumn(chars_col, F.when(F.col(starts).isNotNull(), F.length(F.col(f"`{text_col}`")).cast(kind)).otherwise(F.col(f"`{chars_col}`")))
+    if not emptied:
+        worded = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+        joined = joined.where(F.col(starts).isNull() | worded)
+    return joined.drop(lost_id, starts)

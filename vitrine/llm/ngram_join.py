@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.postings import SCHEMA, Packer, groups, shared_by_owner, unpack
-from vitrine.llm.runtime import bucket_count, input_bytes, materialize, with_text
+from vitrine.llm.runtime import bucket_count, free_name, input_bytes, materialize, with_text
 from vitrine.llm.textarrays import batches, mix, windows
 from vitrine.operators.components import components
 
@@ -299,5 +299,6 @@ def _answer(members: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    dropped = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")), "near-duplicates")
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    name = free_name(docs, "__dropped")
+    dropped = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)), "near-duplicates")
+    return docs.join(dropped, docs[id_col] == F.col(name), "left_anti")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.runtime import let, materialize
+from vitrine.llm.runtime import free_name, let, materialize
 
 #: Hash buckets of the two multinomials.
 BUCKETS = 1 << 16
@@ -147,7 +147,8 @@ def keep(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected documents, all columns kept. The few rejected ids are the other side
     of an anti-join; ids are unique in a document table (a repeated id is kept or dropped as a whole when
     any of its rows is rejected; a null id is always kept)."""
-    rejected = materialize(score(docs, trusted_ids, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")), "rejected").distinct()
+    name = free_name(docs, "__rejected")
+    rejected = materialize(score(docs, trusted_ids, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)), "rejected").distinct()
     if rejected.count() <= BROADCAST_ROWS:
         rejected = F.broadcast(rejected)
-    return docs.join(rejected, docs[options.get("id_col", "doc_id")] == F.col("__rejected"), "left_anti")
+    return docs.join(rejected, docs[options.get("id_col", "doc_id")] == F.col(name), "left_anti")

@@ -59,8 +59,16 @@ def words_pattern() -> str:
     return "[^\\x20\\x09-\\x0D]+"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) only, null texts as empty."""
+    """(id, text) only, null texts as empty. Ids are whole numbers, or strings of them; other strings are an error."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
