@@ -1,7 +1,7 @@
 """Corpus pipeline: STAGES applied in order to ``documents``, each written as Parquet and read again.
 
 1. quality_rules: documents that the quality rules reject go.
-2. line_dedup: repeated runs of three lines, or of fewer that weigh 20 words, are deleted from the texts (a text may become empty, its row stays).
+2. line_dedup: repeated runs of three lines, or of fewer that weigh 20 words, are deleted from the texts; a document that loses its last word goes.
 3. ngram_join: one document of each group of near-duplicates stays, that with the smallest id.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: the texts are tokenized, cut and packed; a row per piece.
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return line_dedup.clean(docs, least=line_dedup.LEAST)
+    return line_dedup.clean(docs, least=line_dedup.LEAST, emptied=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
