@@ -55,7 +55,8 @@ def _dup_lines(text: Column) -> Column:
 
 def grams(w: Column, k: int) -> Column:
     """Hashes of the ``k``-word windows of a word array."""
-    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda _, i: F.xxhash64(F.slice(w, i + 1, k)))
+    # the hash of several values is that of an array of them; so no array is cut out for each window
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]))
 
 
 def _covered(hashes: Column) -> Column:
