@@ -21,6 +21,19 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order_cols: list[str]) -> D
               .select(*df.columns)
 
 
+def distinct_values(df: DataFrame, col: str):
+    """Number of distinct non-null values as a scalar: the column alone is read and its values collapse before they
+    are counted, so rows aren't multiplied as by several distinct counts in one aggregate."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
+
+
+def duplicates_by(df: DataFrame, by: str, col: str, out: str) -> DataFrame:
+    """(by, out): rows beyond the first per value of ``col`` (null is one) in each group; (group, value) pairs collapse
+    first, so a hot group's values meet in many tasks."""
+    pairs = df.groupBy(by, col).agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.groupBy(by).agg(F.sum(F.col("_n") - 1).alias(out))
+
+
 def duplicate_count(df: DataFrame, keys: list[str]):
     """Rows beyond the first per key: count(*) - number of distinct keys (null is a key of its own)."""
     return df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_dup"))

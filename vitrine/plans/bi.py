@@ -14,6 +14,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.rand import hash_order_key
 from ..oracle.catalog import rnd, with_products, with_products_ctes, with_raw_ctes
+from ..operators.dedup import distinct_values
 from ..operators.quantiles import exact_quantiles
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
@@ -32,7 +33,7 @@ def pct(col) -> F.Column:
 def kpis(products: DataFrame, metrics: DataFrame | None = None, approx_distinct: bool = False) -> DataFrame:
     """Headline numbers; optional one-row model-metric table is attached as extra columns.
     ``approx_distinct`` counts categories / brands / sources with HyperLogLog++ sketches instead."""
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
+    sketched = [("category", "n_categories"), ("brand", "n_brands"), ("source_store", "n_sources")]
     out = products.agg(
         F.count(F.lit(1)).alias("total_products"),
         F.sum("topk_label").cast("long").alias("topk_count"),
@@ -41,10 +42,10 @@ def kpis(products: DataFrame, metrics: DataFrame | None = None, approx_distinct:
         R(F.avg("price"), 2).alias("avg_price"),
         pct("in_stock").alias("in_stock_pct"),
         pct("is_on_promo").alias("on_promo_pct"),
-        distinct("category").alias("n_categories"),
-        distinct("brand").alias("n_brands"),
-        distinct("source_store").alias("n_sources"),
+        *[F.approx_count_distinct(c).alias(n) for c, n in sketched if approx_distinct],
     )
+    if not approx_distinct:
+        out = out.select("*", *[distinct_values(products, c).alias(n) for c, n in sketched])
     if metrics is not None:
         for c in metrics.columns:
             out = out.withColumn(c, metrics.select(c).scalar())
@@ -399,28 +400,27 @@ def apply_enrichment(products: DataFrame, generated: DataFrame) -> DataFrame:
             .withColumn("is_enriched", F.col("_new").isNotNull()).drop("_new")
 
 
-def given_texts(candidates: DataFrame, texts: DataFrame, modulus: int) -> DataFrame:
+def given_texts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """New texts of the candidates from a table of ready ones (doc_id, text): the number of a product is the
-    MD5 of its key modulo ``modulus``; a product without a text of that number keeps its own."""
+    MD5 of its key modulo the greatest doc_id plus one, so that the texts used grow with the table; a product
+    without a text of that number keeps its own."""
     key = F.md5(F.concat_ws("|", "product_id", "source_store"))
-    number = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(modulus))
+    numbers = texts.agg(F.max("doc_id") + 1).scalar()
+    number = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), numbers)
     numbered = candidates.select("product_id", "source_store", number.alias("doc_id"))
     return numbered.join(texts.select("doc_id", "text"), "doc_id").select("product_id", "source_store", "text")
 
 
-GIVEN_MODULUS = 1_000
-
-
 @query("apply_enrichment", with_products_ctes(f"""gen AS (
   SELECT p.product_id, p.source_store, d.text FROM products p JOIN documents d
-    ON d.doc_id = CAST('0x' || substr(md5(p.product_id || '|' || p.source_store), 1, 8) AS BIGINT) % {GIVEN_MODULUS}
+    ON d.doc_id = CAST('0x' || substr(md5(p.product_id || '|' || p.source_store), 1, 8) AS BIGINT) % (SELECT max(doc_id) + 1 FROM documents)
   WHERE length(p.description) < {ENRICH_MAX_LEN})
 SELECT p.product_id, p.source_store, coalesce(g.text, p.description) AS description_enriched, g.text IS NOT NULL AS is_enriched
 FROM products p LEFT JOIN gen g ON p.product_id = g.product_id AND p.source_store = g.source_store"""))
 def q_apply_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of ``documents`` written back to every product with a short description."""
     p = processed_products(spark, sf)
-    gen = given_texts(enrichment_candidates(p), read_table(spark, sf, "documents"), GIVEN_MODULUS)
+    gen = given_texts(enrichment_candidates(p), read_table(spark, sf, "documents"))
     return apply_enrichment(p, gen).select("product_id", "source_store", "description_enriched", "is_enriched")
 
 

@@ -1,6 +1,6 @@
 """Feature building: label encoding, standard scaling, feature matrix, class weight, splits (section 2.9).
 
-Dictionaries come from one StringIndexer pass; scaling parameters are one aggregate pass read back
+Dictionaries are tables (codes of the sorted distinct values); scaling parameters are one aggregate pass read back
 as scalar subqueries.
 """
 
@@ -28,14 +28,18 @@ def label_encode(df: DataFrame, cols=CAT_FEATURES) -> DataFrame:
     """Index of each value in the sorted distinct values (alphabetical label encoding; null comes last).
     The dictionaries are tables: no value passes through the driver."""
     for c in cols:
-        codes = dictionary(df, c)
-        n = codes.agg(F.count(F.lit(1))).scalar()
-        side = F.broadcast(codes) if codes.count() <= DICTIONARY_BROADCAST_ROWS else codes
-        df = df.join(side, F.col(c) == F.col("_value"), "left") \
-               .withColumn(f"{c}_enc", F.coalesce(F.col("_code"), n).cast("int")).drop("_value", "_code")
+        df = with_codes(df, c, dictionary(df, c))
     return df
 
 
+def with_codes(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
+    """``df`` with the code of ``col`` from a dictionary (_value, _code), the number of codes where it has none."""
+    n = codes.agg(F.count(F.lit(1))).scalar()
+    side = F.broadcast(codes) if codes.count() <= DICTIONARY_BROADCAST_ROWS else codes
+    return df.join(side, F.col(col) == F.col("_value"), "left") \
+             .withColumn(f"{col}_enc", F.coalesce(F.col("_code"), n).cast("int")).drop("_value", "_code")
+
+
 #: Dictionaries are broadcast up to this many values, beyond it joined by a shuffle.
 DICTIONARY_BROADCAST_ROWS = 200_000
 

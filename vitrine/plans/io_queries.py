@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..oracle.catalog import with_products, with_raw_ctes
 from ..registry import query
-from ..sources.layers import (AUDIT_SCHEMA, append_ingest, audit_log_scan, audit_log_sink, csv_export, layer_base,
-                              layer_path, read_json_result, read_layer, write_json_result, write_layer)
+from ..sources.layers import (append_ingest, audit_log_days, audit_log_scan, audit_log_sink, csv_export, layer_base,
+                              layer_path, read_audit_log, read_json_result, read_layer, write_json_result, write_layer)
 from ..sources.tables import read_table
 from .bi import KPIS_SELECT, KPIS_SQL, kpis
-from .features import CAT_FEATURES, ENC_FEATURES
+from .features import CAT_FEATURES, ENC_FEATURES, dictionary, with_codes
 from .landing import landed_cte, landed_products
 from .preprocess import processed_products
 from .preprocess_queries import TOPK_SQL, topk_products
@@ -60,16 +60,15 @@ def q_read_json_result(spark: SparkSession, sf: str) -> DataFrame:
 @query("model_io", with_products("SELECT product_id, source_store, " + ", ".join(
     f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INT) AS {c}_enc" for c in CAT_FEATURES) + " FROM products"))
 def q_model_io(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoder model saved with the ML writer, loaded back and applied."""
-    from pyspark.ml.feature import StringIndexer, StringIndexerModel
-
+    """Encoders saved as dictionary tables, loaded back and applied; no label passes through the driver."""
     p = processed_products(spark, sf)
-    outs = [f"{c}_d" for c in CAT_FEATURES]
-    m = StringIndexer(inputCols=CAT_FEATURES, outputCols=outs, stringOrderType="alphabetAsc").fit(p)
-    path = layer_path(layer_base(spark), "output", "encoders")
-    m.write().overwrite().save(path)
-    out = StringIndexerModel.load(path).transform(p)
-    return out.select("product_id", "source_store", *[F.col(o).cast("int").alias(e) for o, e in zip(outs, ENC_FEATURES)])
+    base = layer_base(spark)
+    for c in CAT_FEATURES:
+        write_layer(dictionary(p, c), base, "output", f"encoder_{c}")
+    out = p
+    for c in CAT_FEATURES:
+        out = with_codes(out, c, read_layer(spark, base, "output", f"encoder_{c}", "_value string, _code long"))
+    return out.select("product_id", "source_store", *ENC_FEATURES)
 
 
 @query("csv_export", with_products(TOPK_SQL))
@@ -81,8 +80,7 @@ def q_csv_export(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(t.schema).option("header", True).csv(path)
 
 
-@query("append_ingest", with_raw_ctes(landed_cte() + "\nSELECT source_store, count(*) AS n, sum(price) IS NOT NULL AS has_price "
-                                      "FROM landed GROUP BY source_store"))
+@query("append_ingest", with_raw_ctes(landed_cte() + "\nSELECT * FROM landed"))
 def q_append_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Two ingest runs append their stores' rows (partitioned by store); the table is read back."""
     landed = landed_products(spark, sf)
@@ -90,8 +88,7 @@ def q_append_ingest(spark: SparkSession, sf: str) -> DataFrame:
     first = ["store_0", "store_1", "store_2", "store_3", "store_4"]
     append_ingest(landed.filter(F.col("source_store").isin(first)), base)
     append_ingest(landed.filter(~F.col("source_store").isin(first)), base)
-    back = read_layer(spark, base, "raw", "products")
-    return back.groupBy("source_store").agg(F.count(F.lit(1)).alias("n"), F.sum("price").isNotNull().alias("has_price"))
+    return read_layer(spark, base, "raw", "products", landed.schema).select(*landed.columns)
 
 
 @query("audit_log_sink", AUDIT_SQL)
@@ -101,7 +98,7 @@ def q_audit_log_sink(spark: SparkSession, sf: str) -> DataFrame:
     path = layer_path(layer_base(spark), "output", "agent_audit_log")
     audit_log_sink(a.filter(F.col("conv_id") % 2 == 0), path)
     audit_log_sink(a.filter(F.col("conv_id") % 2 == 1), path)
-    return spark.read.schema(AUDIT_SCHEMA).json(path)
+    return read_audit_log(spark, audit_log_days(spark, path))
 
 
 @query("audit_log_scan", "WITH a AS (" + AUDIT_SQL + ") SELECT * FROM a ORDER BY ts DESC, conv_id DESC, turn DESC LIMIT 20")
@@ -110,5 +107,6 @@ def q_audit_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     a = audit_rows(read_table(spark, sf, "conversations"))
     path = layer_path(layer_base(spark), "output", "agent_audit_log")
     audit_log_sink(a, path)
-    spark.createDataFrame([("{not json",), ("",)], "value string").write.mode("append").text(path)
+    for day in audit_log_days(spark, path)[:2]:
+        spark.createDataFrame([("{not json",), ("",)], "value string").write.mode("append").text(day)
     return audit_log_scan(spark, path)

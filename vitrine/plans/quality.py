@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_raw_ctes
+from ..operators.dedup import distinct_values, duplicates_by
 from ..operators.quantiles import exact_quantiles
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
@@ -38,14 +39,15 @@ def source_quality(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total_products")]
     aggs += [F.count_if(_missing(c)).alias(f"_m_{c}") for c in QUALITY_COLS]
     aggs += [
-        (F.count(F.lit(1)) - _distinct_with_null("name")).alias("dup_names"),
-        (F.count(F.lit(1)) - _distinct_with_null("product_id")).alias("dup_ids"),
         F.count_if(F.coalesce(F.col("price"), F.lit(0.0)) == 0).alias("price_zero"),
         F.avg((F.coalesce(F.col("discount_pct"), F.lit(0.0)) > 0).cast("double")).alias("_promo"),
         F.bool_or(F.col("rating").isNotNull()).alias("has_real_rating"),
         F.avg(F.coalesce(F.col("in_stock"), F.lit(True)).cast("double")).alias("_instock"),
     ]
     g = df.groupBy(F.col("source_store").alias("source")).agg(*aggs)
+    for c, out in (("name", "dup_names"), ("product_id", "dup_ids")):
+        rest = duplicates_by(df, "source_store", c, out).withColumnRenamed("source_store", "_store")
+        g = g.join(rest, F.col("source").eqNullSafe(F.col("_store"))).drop("_store")  # a row per store on both sides
     n = F.col("total_products")
     for c in QUALITY_COLS:
         g = g.withColumn(f"{c}_missing_pct", round_half_up(F.col(f"_m_{c}") / n * F.lit(100.0), 1))
@@ -166,10 +168,9 @@ def q_drop_sources_anti(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def basic_counts(products: DataFrame, variants: DataFrame) -> DataFrame:
-    p = products.agg(F.count(F.lit(1)).alias("total_products"),
-                     F.count_distinct("source_store").alias("n_sources"),
-                     F.count_distinct("category").alias("n_categories"),
-                     F.count_distinct("brand").alias("n_brands"))
+    p = products.agg(F.count(F.lit(1)).alias("total_products"))
+    p = p.select("*", *[distinct_values(products, c).alias(n) for c, n in (
+        ("source_store", "n_sources"), ("category", "n_categories"), ("brand", "n_brands"))])
     return p.withColumn("total_variants", variants.select(F.count(F.lit(1))).scalar())
 
 

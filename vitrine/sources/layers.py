@@ -80,14 +80,35 @@ def append_ingest(df: DataFrame, base: str, name: str = "products") -> str:
 
 
 def audit_log_sink(df: DataFrame, path: str) -> str:
-    df.write.mode("append").json(path)
+    """Append entries as JSON lines, in a folder per day."""
+    df.withColumn("day", F.substring("ts", 1, 10)).write.mode("append").partitionBy("day").json(path)
     return path
 
 
 AUDIT_SCHEMA = "conv_id long, turn long, ts string, agent string, question string, question_head string, in_scope boolean, response_len int, refused boolean"
 
 
+def audit_log_days(spark: SparkSession, path: str) -> list[str]:
+    """The log's day folders, the newest first."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    return sorted((s.getPath().toString() for s in fs.listStatus(top) if s.getPath().getName().startswith("day=")), reverse=True)
+
+
+def read_audit_log(spark: SparkSession, days: list[str]) -> DataFrame:
+    """Entries of the given day folders, malformed lines skipped."""
+    if not days:
+        return spark.createDataFrame([], AUDIT_SCHEMA)
+    return spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(days)
+
+
 def audit_log_scan(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
-    """Read the JSON-lines log, skipping malformed lines, and keep the last ``n`` entries."""
-    log = spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """The last ``n`` entries: the newest day is read, and twice as many days as long as entries are lacking."""
+    days, taken = audit_log_days(spark, path), 1
+    while taken < len(days) and read_audit_log(spark, days[:taken]).limit(n).count() < n:
+        taken *= 2
+    log = read_audit_log(spark, days[:taken])
     return log.orderBy(F.col("ts").desc(), F.col("conv_id").desc(), F.col("turn").desc()).limit(n)
