@@ -12,7 +12,9 @@ is 0 and the base rules decide alone. Extra columns of the input are ignored by
 ``keep`` whatever their names are.
 
 Scale: two scans of the texts; the only shuffles are the n-gram counts (``buckets`` rows after
-map-side sums), one row per document for its mean ratio and, beyond ``BROADCAST_ROWS`` trusted ids, the join that finds the trusted texts.
+map-side sums), one row per document (repeated rows meet there) and, beyond ``BROADCAST_ROWS`` trusted ids, the join
+that finds the trusted texts. A text's n-grams stay an array: each looks its bucket up in one array of ``buckets``
+weights, so the scoring pass makes no row per n-gram.
 """
 
 from __future__ import annotations
@@ -118,23 +120,39 @@ def weights(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
     return both.select("bucket", F.when(n_t == 0, F.lit(0.0)).otherwise(F.log((F.col("t") + smoothing) / (expected + smoothing))).alias("w"))
 
 
+def weight_array(table: DataFrame, buckets: int = BUCKETS) -> Column:
+    """The log ratios of buckets 0, 1, 2... as one constant array; a bucket that never occurs has 0. ``buckets`` numbers
+    pass through the driver, as many as ever; they travel as text, which the optimizer folds to an array once."""
+    w = [0.0] * buckets
+    for r in table.collect():
+        w[r.bucket] = r.w
+    return F.split(F.lit(",".join(map(repr, w))), ",").cast("array<double>")
+
+
+def _ratio(hashes: Column, table: Column, buckets: int) -> Column:
+    """Mean weight of the n-grams, summed in their order; 0 without any."""
+    total = F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
+    return total / F.greatest(F.size(hashes), F.lit(1))
+
+
 def score(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio.
 
-    A row repeated with the same id and text comes out once. The weights are broadcast: ``buckets`` rows.
+    A row repeated with the same id and text comes out once. The weights are a constant: ``buckets`` numbers.
     """
-    table = F.broadcast(materialize(weights(docs, trusted_ids, id_col, text_col, buckets), "ngram-weights"))
+    table = weight_array(weights(docs, trusted_ids, id_col, text_col, buckets), buckets)
     text = F.col("text")
-    base = ["doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     counted = _texts(docs, id_col, text_col).select(
         "doc_id", F.xxhash64(text).alias("text_hash"), words(text).alias("w"), _word_chars(text).alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), _dup_lines(text).alias("n_dup_lines"),
     )
-    counted = counted.withColumn("n_words", F.size("w").cast("long")).withColumn("n_repeat_words", let(F.col("w"), _repeat_words))
-    listed = counted.select(*base, F.explode_outer(let(F.col("w"), _gram_hashes)).alias("h")).select(*base, _bucket(buckets))
-    summed = listed.join(table, "bucket", "left").groupBy(*base).agg(F.coalesce(F.avg("w"), F.lit(0.0)).alias("ratio"))
+    scored = counted.select(
+        "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        let(F.col("w"), _repeat_words).alias("n_repeat_words"), let(let(F.col("w"), _gram_hashes), lambda h: _ratio(h, table, buckets)).alias("ratio"),
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return summed.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).select(
+    once = scored.dropDuplicates(["doc_id", "text_hash"])
+    return once.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"
     )
 
