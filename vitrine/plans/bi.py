@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..functions import text as T
 from ..functions.rand import hash_order_key
 from ..oracle.catalog import rnd, with_products, with_products_ctes, with_raw_ctes
 from ..operators.dedup import distinct_values
@@ -19,8 +18,10 @@ from ..operators.quantiles import exact_quantiles
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import landed_cte, landed_products
-from ..sources.tables import read_table
-from .preprocess import processed_products
+from ..session import cached_layer, new_table
+from ..sources.searchindex import SearchIndex
+from ..sources.tables import read_table, table_path
+from .preprocess import RAW_INPUTS, processed_products
 from .preprocess_queries import TOPK_SQL, topk_products
 
 R = N.round_half_up
@@ -174,6 +175,13 @@ def q_multiselect_filter(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("rank", "product_id", "source_store", "price_segment", "popularity_score")
 
 
+def product_index(spark: SparkSession, sf: str) -> SearchIndex:
+    """Posting lists of the processed products' names, brands and ids, written with the layer."""
+    inputs = [table_path(sf, t) for t in RAW_INPUTS]
+    return cached_layer(spark, "product_index", inputs, "processed", lambda: SearchIndex.build(
+        processed_products(spark, sf), new_table(spark, "product-index"), ["name", "brand"], ["product_id"]))
+
+
 SEARCH_TERM = "Bolt"
 
 
@@ -181,9 +189,8 @@ SEARCH_TERM = "Bolt"
 WHERE coalesce(contains(lower(name), '{SEARCH_TERM.lower()}'), FALSE)
    OR coalesce(contains(lower(brand), '{SEARCH_TERM.lower()}'), FALSE)"""))
 def q_text_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Case-insensitive substring search in name or brand."""
-    p = processed_products(spark, sf)
-    return p.filter(T.text_search(SEARCH_TERM, "name", "brand")).select("product_id", "source_store", "name", "brand")
+    """Case-insensitive substring search in name or brand, by posting lists."""
+    return product_index(spark, sf).search(SEARCH_TERM).select("product_id", "source_store", "name", "brand")
 
 
 LOOKUP_COLS = ["name", "description", "category", "brand", "price", "discount_pct", "rating", "review_count",
@@ -199,9 +206,8 @@ def product_lookup(products: DataFrame, product_id) -> DataFrame:
 @query("product_lookup", with_products_ctes(f"""first_id AS (SELECT min(product_id) AS pid FROM products)
 SELECT product_id, {', '.join(LOOKUP_COLS)} FROM products WHERE product_id = (SELECT pid FROM first_id)"""))
 def q_product_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    p = processed_products(spark, sf)
-    pid = p.select(F.min("product_id")).scalar()
-    return product_lookup(p, pid).drop("json")
+    pid = processed_products(spark, sf).agg(F.min("product_id")).first()[0]
+    return product_lookup(product_index(spark, sf).lookup("product_id", pid), F.lit(pid)).drop("json")
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:

@@ -15,8 +15,9 @@ from .. import config as C
 from ..functions.numeric import round_half_up
 from ..oracle.catalog import rnd, with_baskets, with_products_ctes
 from ..registry import query
-from ..session import cached_layer, materialize
+from ..session import cached_layer, materialize, new_table
 from ..sources.adapters import order_baskets
+from ..sources.searchindex import SearchIndex
 from .preprocess import processed_products
 
 R = round_half_up
@@ -255,6 +256,14 @@ def q_top_rules(spark: SparkSession, sf: str) -> DataFrame:
             .select("antecedents", "consequents", "support", "confidence", "lift")
 
 
+def rule_index(spark: SparkSession, sf: str) -> SearchIndex:
+    """Posting lists of both sides of the exported rules."""
+    from .clustering import _inputs
+
+    return cached_layer(spark, "rule_index", _inputs(sf), "rules", lambda: SearchIndex.build(
+        union_rules(spark, sf), new_table(spark, "rule-index"), ["antecedents", "consequents"]))
+
+
 RULE_SEARCH = "price:"
 
 
@@ -264,9 +273,7 @@ WHERE contains(lower(antecedents), '{RULE_SEARCH}') OR contains(lower(consequent
 ORDER BY confidence DESC, antecedents, consequents LIMIT 100"""))
 def q_rule_search(spark: SparkSession, sf: str) -> DataFrame:
     """Rules mentioning a term on either side, by the chosen metric (confidence), first 100."""
-    r = union_rules(spark, sf)
-    hit = F.contains(F.lower("antecedents"), F.lit(RULE_SEARCH)) | F.contains(F.lower("consequents"), F.lit(RULE_SEARCH))
-    return r.filter(hit).orderBy(F.col("confidence").desc(), "antecedents", "consequents").limit(100) \
+    return rule_index(spark, sf).search(RULE_SEARCH).orderBy(F.col("confidence").desc(), "antecedents", "consequents").limit(100) \
             .select("antecedents", "consequents", "confidence", "lift")
 
 

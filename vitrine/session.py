@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -81,14 +82,17 @@ def materialize(df, name: str):
     scalar subquery plus the main query, read the files instead of recomputing the plan; a lost
     executor costs a re-read, not a recompute).
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_table(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def new_table(spark, name: str) -> str:
+    """A folder of its own for a table of this application."""
+    return f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def tables_root(spark) -> str:
     """Folder of this application's materialised tables (one per Spark application)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
