@@ -16,6 +16,7 @@ from ..registry import query
 from ..operators.dedup import dedup_keep_first
 from ..session import materialize, tables_root
 from ..sources.commits import CommitLog
+from ..sources.sketches import DistinctSketches
 from ..sources.tables import read_table
 from .keyindex import KeyIndex
 
@@ -42,10 +43,11 @@ def file_prints(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stream_append_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, schema,
-                         max_files: int = 256) -> None:
+                         max_files: int = 256, sketched: list[str] = (), by: list[str] = ()) -> None:
     """New landed files -> append to the products table. A micro-batch (``max_files`` at most) becomes visible by one
     manifest entry, which also enters its files into the ledger. Files whose rows the ledger knows, under whatever
-    name, are refused and noted; so a retried micro-batch that was committed changes nothing."""
+    name, are refused and noted; so a retried micro-batch that was committed changes nothing. The entry also makes visible
+    the distinct sketches of the columns ``sketched`` in the batch's rows, by the columns ``by``."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{landing}/*")
     columns = src.columns
 
@@ -68,8 +70,12 @@ def stream_append_ingest(spark: SparkSession, landing: str, table: str, checkpoi
         folder = log.new_folder("data")
         batch.where(F.col("_file").isin(taken)).drop("_file").write.parquet(f"{log.root}/{folder}")
         new = prints.distinct() if known is None else prints.distinct().join(known, PRINT, "left_anti")
-        log.commit([{"path": p, "kind": "data"} for p in log.files_under(folder)] + ledger.write(new), refused=refused)
+        written = [{"path": p, "kind": "data"} for p in log.files_under(folder)]
+        sketches = DistinctSketches(log, sketched, by)
+        rows = log.spark.read.schema(schema).parquet(f"{log.root}/{folder}")
+        log.commit(written + ledger.write(new) + (sketches.write(rows) if sketched else []), refused=refused)
         ledger.compact()
+        sketches.compact()
 
     named = src.withColumn("_file", F.col("_metadata.file_path"))
     q = (named.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -100,6 +106,22 @@ def q_stream_append_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return CommitLog(spark, f"{base}/table").read(landed.schema)
 
 
+@query("kpis_by_sketches", with_raw_ctes(landed_cte() + """
+SELECT CASE WHEN grouping(source_store) = 1 THEN 'all stores' ELSE source_store END AS source_store,
+  count(*) AS n_rows, count(DISTINCT category) AS n_category, count(DISTINCT brand) AS n_brand,
+  count(DISTINCT source_store) AS n_source_store FROM landed GROUP BY GROUPING SETS ((source_store), ())"""))
+def q_kpis_by_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Products, categories, brands and stores of each store and of all, merged from the sketches that a streaming
+    ingest in 5 increments stored; no product row is read for it. With so few distinct values sketches are exact."""
+    landed = landed_products(spark, sf)
+    base = _folder(spark, "sketched")
+    land_in_batches(landed, f"{base}/landing", F.pmod(F.xxhash64("product_id", "source_store"), F.lit(5)))
+    columns, by = ["category", "brand", "source_store"], ["source_store"]
+    stream_append_ingest(spark, f"{base}/landing", f"{base}/table", f"{base}/_checkpoint", landed.schema, max_files=8, sketched=columns, by=by)
+    stored = DistinctSketches(CommitLog(spark, f"{base}/table"), columns, by)
+    return stored.counts(by).unionByName(stored.counts().withColumn("source_store", F.lit("all stores")))
+
+
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
