@@ -51,3 +51,19 @@ def test_distinct_counts_multiply_no_rows(spark):
     products = spark.createDataFrame([("c", "b", "s", 1.0, 2.0, 1, True, False)], "category string, brand string, source_store string, price double, rating double, topk_label int, in_stock boolean, is_on_promo boolean")
     for out in (kpis(products), source_quality(landed_products(spark, SF_SMALL))):
         assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_scan_once_and_stand_an_empty_table(spark):
+    from vitrine.plans.bi import collapsed, dataset_stats, final_report
+
+    cols = "category string, price_segment string, source_store string, description string, price double, rating double, topk_label int, in_stock boolean, is_on_promo boolean"
+    rows = [("c", "low", "s", " ", 1.0, None, 1, True, None), ("c", None, "s", "d", 2.0, None, 0, False, True), (None, "low", "t", None, None, None, 0, True, True)]
+    df = spark.createDataFrame(rows, cols)
+    got = {(r.section, r.item): r.value for r in final_report(df).collect()}
+    assert got["summary", "total_products"] == 3 and got["summary", "null_values"] == 8 and got["summary", "description_coverage_pct"] == 50.0
+    assert got["category", "c"] == 2 and got["category", None] == 1 and got["segment_pct", "low"] == 66.7
+    stats = {(r.section, r.item): r.value for r in dataset_stats(df).collect()}
+    assert stats["summary", "avg_price"] == 1.5 and stats["summary", "avg_rating"] is None and stats["summary", "on_promo_pct"] == 100.0
+    assert stats["sources", "s"] == 2 and stats["price_segments", None] == 1
+    assert {r.item: r.value for r in final_report(df.limit(0)).collect()}["total_products"] == 0
+    assert "Expand" not in collapsed(df, ["category"], {"p": F.col("price")})._jdf.queryExecution().executedPlan().toString()

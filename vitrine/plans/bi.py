@@ -18,7 +18,7 @@ from ..operators.quantiles import exact_quantiles
 from ..registry import query
 from ..sources.adapters import RAW_VARIANTS_SQL, raw_variants
 from .landing import landed_cte, landed_products
-from ..session import cached_layer, new_table
+from ..session import cached_layer, materialize, new_table
 from ..sources.searchindex import SearchIndex
 from ..sources.tables import read_table, table_path
 from .preprocess import RAW_INPUTS, processed_products
@@ -313,24 +313,44 @@ def q_sample_n(spark: SparkSession, sf: str) -> DataFrame:
     return sample_n(p, key).select("product_id", "source_store", "price", "rating")
 
 
+def collapsed(products: DataFrame, by: list[str], numbers: dict[str, F.Column]) -> DataFrame:
+    """One scan for several counts: a row per combination of ``by`` with its number of rows ``n`` and, of each of the
+    ``numbers``, the sum ``s_`` and the count ``c_`` of values. Written, as a report reads it several times; totals and
+    each column's counts add up these few rows, so no product row is multiplied."""
+    sums = [e for k, v in numbers.items() for e in (F.sum(v.cast("double")).alias(f"s_{k}"), F.count(v).alias(f"c_{k}"))]
+    return materialize(products.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums), "report-counts")
+
+
+def _mean(name: str, digits: int, times: float = 1.0) -> F.Column:
+    return R(F.try_divide(F.sum(f"s_{name}"), F.sum(f"c_{name}")) * F.lit(times), digits)
+
+
+def _summary(counts: DataFrame, totals: dict[str, F.Column]) -> DataFrame:
+    """Totals over all rows as (section, item, value) rows, also of an empty table."""
+    wide = counts.agg(*[v.cast("double").alias(k) for k, v in totals.items()])
+    stack = ", ".join(f"'{c}', {c}" for c in totals)
+    return wide.selectExpr("'summary' AS section", f"stack({len(totals)}, {stack}) AS (item, value)")
+
+
+def _section(counts: DataFrame, column: str, name: str, n: int | None = None, share: bool = False) -> DataFrame:
+    """Rows (or their share in %) per value of a column, optionally of the ``n`` most frequent (ties by value)."""
+    g = counts.groupBy(F.col(column).alias("item")).agg(F.sum("n").alias("n"))
+    if n is not None:
+        g = g.orderBy(F.col("n").desc(), F.col("item").asc()).limit(n)
+    value = R(F.col("n") / counts.select(F.sum("n")).scalar() * F.lit(100.0), 1) if share else F.col("n").cast("double")
+    return g.select(F.lit(name).alias("section"), "item", value.alias("value"))
+
+
 def final_report(products: DataFrame) -> DataFrame:
     """Long-form (section, item, value) table: totals, coverage, top-10 categories, segments, labels."""
-    tot = products.agg(
-        F.count(F.lit(1)).cast("double").alias("total_products"),
-        F.lit(float(len(products.columns))).alias("columns"),
-        sum(F.count_if(F.col(c).isNull()) for c in products.columns).cast("double").alias("null_values"),
-        R(F.avg((F.trim(F.col("description")) != "").cast("double")) * F.lit(100.0), 1).alias("description_coverage_pct"),
-        F.sum("topk_label").cast("double").alias("topk_1"),
-        R(F.avg(F.col("topk_label").cast("double")) * F.lit(100.0), 1).alias("topk_1_pct"),
-    )
-    stack = ", ".join(f"'{c}', {c}" for c in tot.columns)
-    totals = tot.selectExpr(f"stack({len(tot.columns)}, {stack}) AS (item, value)") \
-                .select(F.lit("summary").alias("section"), "item", "value")
-    cats = value_counts(products, "category", 10).select(
-        F.lit("category").alias("section"), F.col("category").alias("item"), F.col("count").cast("double").alias("value"))
-    segs = value_counts(products, "price_segment").select(
-        F.lit("segment_pct").alias("section"), F.col("price_segment").alias("item"), F.col("share_pct").alias("value"))
-    return totals.unionByName(cats).unionByName(segs)
+    counts = collapsed(products, ["category", "price_segment"], {
+        "nulls": sum(F.col(c).isNull().cast("int") for c in products.columns),
+        "described": (F.trim("description") != "").cast("int"), "topk": F.col("topk_label")})
+    totals = _summary(counts, {
+        "total_products": F.coalesce(F.sum("n"), F.lit(0)), "columns": F.lit(len(products.columns)), "null_values": F.sum("s_nulls"),
+        "description_coverage_pct": _mean("described", 1, 100.0), "topk_1": F.sum("s_topk"), "topk_1_pct": _mean("topk", 1, 100.0)})
+    return totals.unionByName(_section(counts, "category", "category", 10)) \
+                 .unionByName(_section(counts, "price_segment", "segment_pct", share=True))
 
 
 @query("final_report", with_products_ctes(f"""tot AS (SELECT count(*) AS n,
@@ -353,18 +373,15 @@ def q_final_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def dataset_stats(products: DataFrame) -> DataFrame:
     """The statistics document of the reports, long form (section, item, value)."""
-    k = kpis(products)
-    cols = ["total_products", "avg_price", "avg_rating", "in_stock_pct", "on_promo_pct", "topk_count", "topk_pct"]
-    stack = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in cols)
-    head = k.selectExpr(f"stack({len(cols)}, {stack}) AS (item, value)").select(F.lit("summary").alias("section"), "item", "value")
-    src = value_counts(products, "source_store").select(F.lit("sources").alias("section"), F.col("source_store").alias("item"),
-                                                        F.col("count").cast("double").alias("value"))
-    cats = value_counts(products, "category", 8).select(F.lit("categories").alias("section"), F.col("category").alias("item"),
-                                                        F.col("count").cast("double").alias("value"))
-    segs = value_counts(products, "price_segment").select(F.lit("price_segments").alias("section"),
-                                                          F.col("price_segment").alias("item"),
-                                                          F.col("count").cast("double").alias("value"))
-    return head.unionByName(src).unionByName(cats).unionByName(segs)
+    flags = {"in_stock": F.col("in_stock").cast("int"), "promo": F.col("is_on_promo").cast("int"), "topk": F.col("topk_label")}
+    counts = collapsed(products, ["source_store", "category", "price_segment"], {"price": F.col("price"), "rating": F.col("rating"), **flags})
+    totals = _summary(counts, {
+        "total_products": F.coalesce(F.sum("n"), F.lit(0)), "avg_price": _mean("price", 2), "avg_rating": _mean("rating", 2),
+        "in_stock_pct": _mean("in_stock", 1, 100.0), "on_promo_pct": _mean("promo", 1, 100.0),
+        "topk_count": F.sum("s_topk"), "topk_pct": _mean("topk", 1, 100.0)})
+    return totals.unionByName(_section(counts, "source_store", "sources")) \
+                 .unionByName(_section(counts, "category", "categories", 8)) \
+                 .unionByName(_section(counts, "price_segment", "price_segments"))
 
 
 @query("dataset_stats", with_products_ctes(f"""k AS ({KPIS_SELECT})
