@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..oracle.catalog import rnd, with_products, with_scored, z
 from ..registry import query
-from ..sources.adapters import raw_products
 from . import preprocess as P
 from .preprocess_queries import topk_products
 
@@ -18,10 +17,7 @@ KEY = ["product_id", "source_store"]
 
 def pre_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Filtered, de-duplicated, repaired rows with fixed prices (the input of the draws)."""
-    profile = C.DEFAULT_PROFILE
-    df = P.dedup_products(P.filter_valid_price(raw_products(spark, sf)))
-    df = P.normalize_fields(P.repair_store_category(df, profile), profile)
-    return P.fix_prices(df)
+    return P.repaired_layer(spark, sf)
 
 
 def global_params(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,8 @@ from ..operators.dedup import dedup_keep_first
 from ..operators.ranking import rank_min, top_k
 from ..oracle.catalog import (caps_sql, clean_pages_sql, rnd, seg_sql, with_products, with_raw, with_scored)
 from ..registry import query
-from ..sources.adapters import SEQ_COLS, raw_products
+from ..session import materialize
+from ..sources.adapters import SEQ_COLS, raw_offers, raw_products, sellers
 from ..sources.tables import read_table
 from . import preprocess as P
 
@@ -52,8 +53,7 @@ def q_filter_valid_price(spark: SparkSession, sf: str) -> DataFrame:
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, source_store ORDER BY {SEQ}) AS rn
                    FROM raw_products WHERE price > 0) a WHERE rn = 1) b) c WHERE rn2 = 1"""))
 def q_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
-    df = P.dedup_products(P.filter_valid_price(raw_products(spark, sf)))
-    return df.select("product_id", "source_store", "name", "brand", "price", *SEQ_COLS)
+    return P.kept_offers(spark, sf).select("product_id", "source_store", "name", "brand", "price", *SEQ_COLS)
 
 
 @query("dedup_simple", with_raw(f"""SELECT product_id, source_store, price, {SEQ} FROM (
@@ -61,8 +61,12 @@ def q_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
 WHERE rn = 1 AND price > 0"""))
 def q_dedup_simple(spark: SparkSession, sf: str) -> DataFrame:
     """Dedup on product_id first, then the price filter (the other order gives other rows)."""
-    df = dedup_keep_first(raw_products(spark, sf), ["product_id"], SEQ_COLS)
-    return P.filter_valid_price(df).select("product_id", "source_store", "price", *SEQ_COLS)
+    offers = raw_offers(spark, sf, sellers(spark, sf)).select("product_id", "source_store", "price", *SEQ_COLS)
+    df = P.filter_valid_price(dedup_keep_first(offers, ["product_id"], SEQ_COLS))
+    df = materialize(df, "dedup_simple", P.CATALOG_SPLIT)
+    # a part that isn't there goes with all its offers
+    parts = read_table(spark, sf, "part").select("p_partkey")
+    return df.join(parts, F.col("_s3") == F.col("p_partkey"), "left_semi")
 
 
 @query("clean_html", clean_pages_sql())
