@@ -120,3 +120,47 @@ def test_components_of_constant_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0)] * 5, "x double, y double")
     _, loadings, variances, total = M.principal_components(df, ["x", "y"])
     assert total == 0 and variances == [0.0, 0.0] and loadings[0].tolist() == [1.0, 0.0]
+
+
+def test_matrix_products_decide_as_the_columns_do():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 400, (500, 4)).astype(float), rng.normal(size=(500, 4)) * 1e6])
+    centres = np.concatenate([x[rng.integers(0, 1000, 12)], np.repeat(x[:2], 2, axis=0), (x[:3] + x[3:6]) / 2])
+    edges = np.array([0, 3, 8, 12, 16, 19])
+    found = L._nearest_centres(x, centres, edges)
+    far = L._squared(x, centres)
+    for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
+        assert (found[i] == far[:, a:z].argmin(axis=1)).all()
+    near = L._distances(x, np.concatenate([x[:50], x[:5] + 1e-7]))
+    assert np.allclose(near, np.sqrt(L._squared(x, np.concatenate([x[:50], x[:5] + 1e-7]))), rtol=1e-7, atol=0)
+
+
+def test_segments_run_their_own_k_only(spark, monkeypatch):
+    from vitrine.plans import clustering
+
+    asked = []
+    monkeypatch.setattr(clustering, "N_INIT", 1)
+    monkeypatch.setattr(clustering, "ROUNDS", 2)
+    monkeypatch.setattr(clustering, "lloyd", lambda frame, key, cols, ks, *a: asked.append(ks) or L.lloyd(frame, key, cols, ks, *a))
+    clustering._kmeans_clusters(spark, "/root/testdata/sf0.001")
+    assert asked == [[clustering.K]]
+
+
+def test_first_rows_are_those_of_the_least_hashes(spark):
+    import hashlib
+
+    rows = points()
+    df = frame(spark, rows, 5).withColumn("key", F.when(F.col("key") == rows[0][0], None).otherwise(F.col("key")))
+    got = L.first_rows(df, F.col("key"), COLS, [7, 8], 4)
+    for s in (7, 8):
+        hashes = sorted(rows[1:], key=lambda r: (hashlib.md5(f"{r[0]}#{s}".encode()).hexdigest(), r[0]))
+        assert got[s] == [tuple(map(float, r[1:4])) for r in [rows[0], *hashes[:3]]]
+
+
+def test_silhouettes_scan_the_rows_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(L, "materialize", lambda df, name: written.append(name) or __import__("vitrine.session", fromlist=["x"]).materialize(df, name))
+    df = frame(spark, points()).withColumn("l", F.lit(0))
+    assert L.silhouettes(df, F.col("key"), COLS, ["l"], 10, 1)["l"][2] == 10 and written == ["silhouette-sums"]
