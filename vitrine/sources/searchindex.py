@@ -72,7 +72,7 @@ class SearchIndex:
             # a task has 2^33 rows at most, so its block numbers never meet the next task's
             (F.shiftright(n, 33) * (1 << 33) + F.floor(place / block)).alias("block"), (place % block).cast("int").alias("place"),
             F.pmod(task, F.lit(shards)).alias("shard"))
-        numbered.write.mode("overwrite").partitionBy("shard").parquet(f"{root}/rows")
+        numbered.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{root}/rows")
         out = cls(df.sparkSession, root, df.schema, columns, keys, parts)
         field = lambda c: F.col("row").getField(c)
         texts = [F.coalesce(_grams(field(c).cast("string")), F.array().cast("array<string>")) for c in columns]
@@ -80,8 +80,9 @@ class SearchIndex:
         tokens = F.filter(F.array_distinct(F.concat(*texts, F.array(*values).cast("array<string>"))), lambda x: x.isNotNull())
         lists = out.rows().select("shard", "block", "place", F.explode(tokens).alias("token")).groupBy("token", "shard", "block").agg(F.collect_list("place").alias("places"))
         lists = lists.withColumn("part", F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(parts)).cast("int"))
-        lists.repartitionByRange("part", "token", "block").sortWithinPartitions("part", "token", "block") \
-             .write.mode("overwrite").partitionBy("part").parquet(f"{root}/lists")
+        # a task holds whole lists, of tokens by hash: a file a task and folder, sorted, without a second shuffle
+        lists.sortWithinPartitions("part", "token", "block") \
+             .write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{root}/lists")
         return out
 
     def rows(self) -> DataFrame:
