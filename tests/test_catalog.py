@@ -78,3 +78,27 @@ def test_texts_are_joined_last(spark):
     assert _rows(plain.select("product_id", "description_enriched", "is_enriched")) == got
     # equal texts lie together in the result: the rows come sorted by number from a merge join
     assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keep_first_sends_narrow_lines(spark, folder):
+    """No key, price or rating is made before the last keep-first, and no nation is joined."""
+    plan = P.kept_offers(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(grouped) == 3 and "product_id" in plan
+    assert not any(c in line for c in ("product_id", "source_store", "price_original", "rating", "n_name") for line in grouped)
+
+
+def test_repeated_lines_keep_the_least_by_their_columns(spark, tmp_path):
+    """Lines of one key that differ in quantity, discount and flags alone: the row of the plain join, which compares prices first."""
+    line = {"l_orderkey": 8, "l_partkey": 1, "l_suppkey": 2, "l_linenumber": 1, "l_quantity": 4.0, "l_extendedprice": 1000.0, "l_discount": 0.1,
+            "l_returnflag": "A", "l_linestatus": "O", "l_shipdate": datetime.datetime(1995, 1, 1)}
+    changes = [{"l_quantity": 3.0}, {"l_quantity": 4.0001, "l_returnflag": "N"}, {"l_discount": 0.0}, {"l_returnflag": None}, {"l_linestatus": None},
+               {"l_orderkey": None, "l_returnflag": "N"}, {"l_orderkey": None, "l_linenumber": None}, {"l_partkey": 2, "l_quantity": 2.5}, {}]
+    pq.write_table(pa.Table.from_pylist([{**line, **c} for c in changes]), f"{tmp_path}/lineitem.parquet")
+    pq.write_table(pa.Table.from_pylist([{"p_partkey": i, "p_name": f"part {i}", "p_type": "T", "p_brand": "B"} for i in (1, 2)]), f"{tmp_path}/part.parquet")
+    pq.write_table(pa.Table.from_pylist([{"s_suppkey": 2, "s_nationkey": 1}]), f"{tmp_path}/supplier.parquet")
+    pq.write_table(pa.Table.from_pylist([{"n_nationkey": 1, "n_name": "N"}]), f"{tmp_path}/nation.parquet")
+    from vitrine.sources.adapters import described
+
+    plain = P.dedup_products(P.filter_valid_price(raw_products(spark, str(tmp_path))))
+    assert _rows(described(P.kept_offers(spark, str(tmp_path))).select(*plain.columns)) == _rows(plain)
