@@ -102,3 +102,14 @@ def test_repeated_lines_keep_the_least_by_their_columns(spark, tmp_path):
 
     plain = P.dedup_products(P.filter_valid_price(raw_products(spark, str(tmp_path))))
     assert _rows(described(P.kept_offers(spark, str(tmp_path))).select(*plain.columns)) == _rows(plain)
+
+
+def test_store_item_sets_build_no_list_per_product(spark, monkeypatch):
+    from vitrine.plans import bi
+
+    rows = [("p", f"s{i % 2}", [None, "b", "a", "b"][i % 4]) for i in range(40)] + [("q", "s0", None)]
+    monkeypatch.setattr(bi, "processed_products", lambda *a: spark.createDataFrame(rows, "source_platform string, source_store string, category string"))
+    out = bi.q_store_item_sets(spark, "")
+    assert _rows(out) == [("p", "s0", ["a"], 1), ("p", "s1", ["b"], 1), ("q", "s0", [], 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "collect_set" not in plan
