@@ -83,3 +83,32 @@ def test_components_of_a_chain_and_a_star(llm):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r[0]: r[1] for r in components(llm.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_tokens_come_with_exact_numbers_of_owners(llm):
+    """Rare tokens are told from frequent ones however many tokens there are; a hot one is so to all its owners."""
+    from vitrine.llm import postings
+
+    n, buckets = 6000, 16
+    salt = mix(np.arange(1, 3 * n, dtype=np.uint64))
+
+    def post(batch_iter):
+        packer = postings.Packer(buckets, mark=1)
+        for b in batch_iter:
+            for i in b.column("id").to_pylist():
+                yield from packer.add(i % n, 4, np.unique(salt[[0, 1 + i % n // 2, n + i % n // 100, 2 * n + i % n // 20]]))
+            yield from packer.flush()
+
+    rows = llm.range(0, n + 500, 1, 1).mapInArrow(post, postings.SCHEMA)  # 500 owners come twice
+    got = postings.shared_by_owner(rows, buckets, "counted", frequencies=True).collect()
+    names = postings.short(salt, buckets)
+    assert len(got) == n
+    for r in got:
+        own = dict(zip(np.frombuffer(r.tokens, dtype=np.uint64).tolist(), r.often))
+        want = {0: None, 1 + r.owner // 2: 2, n + r.owner // 100: 100, 2 * n + r.owner // 20: 20}
+        assert {k for k in own} == {int(names[i]) for i in want}
+        assert all(own[int(names[i])] == c for i, c in want.items() if c)
+    codes = {dict(zip(np.frombuffer(r.tokens, dtype=np.uint64).tolist(), r.often))[int(names[0])] for r in got}
+    assert len(codes) == 1 and codes.pop() > 128
+    steps = postings.frequency_code(np.array([1, 32, 33, 128, 129, 300, 5000, 1 << 40]))
+    assert steps.tolist() == sorted(steps.tolist()) and steps[:4].tolist() == [1, 32, 33, 128]

@@ -6,9 +6,9 @@ words is one shingle. Two texts link when 100 * |x & y| >= 75 * |x | y|; links a
 1. Texts with equal sets fold into one class (a 64-bit signature of the whole set).
 2. Packed postings tell each class which of its tokens another class has. A class with less than 75 %
    such tokens has no partner and leaves.
-3. Token frequency classes come from a count sketch of fixed size (all tokens of the remaining classes;
-   it only orders tokens and splits them in rare and frequent ones, so an error costs time, not links).
-   Tokens are ordered unshared first, then by sketched frequency: linked sets that need ``o`` common
+3. With each token comes how many classes have it, counted where its postings met (a byte: exact while rare, in
+   steps beyond it, the same for all classes; it orders tokens and splits them in rare and frequent ones).
+   Tokens are ordered unshared first, then by frequency: linked sets that need ``o`` common
    tokens share at least ``m`` of them within their first ``|x| - o + m``. The prefix is extended to
    ``m = g + 1``: either one of the common tokens there is rare, and rare tokens are indexed singly, or
    ``g + 1`` frequent ones fall in ``g`` hash groups, so two share a group, and 2-token combinations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.postings import SCHEMA, Packer, groups, shared_by_owner, unpack
+from vitrine.llm.postings import SCHEMA, Packer, groups, shared_by_owner, unpack_parts
 from vitrine.llm.runtime import bucket_count, free_name, input_bytes, materialize, with_text
 from vitrine.llm.textarrays import batches, mix, windows
 from vitrine.operators.components import components
@@ -42,18 +42,19 @@ from vitrine.operators.components import components
 SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 75
-#: A token in at most this many classes (by the sketch) is rare.
+#: A token in at most this many classes is rare.
 RARE = 32
-#: Counters of the sketch: fixed, 4 bytes each.
-SKETCH = 1 << 20
+#: Bytes of text hashed at a time: its hashes and powers take some fifty times as much.
+CHUNK = 1 << 18
 #: Bytes of joinable sets for each bucket of the index.
 INDEX_BUCKET = 16 << 20
-_PARTS = 16
+#: A bucket's keys are gone through in so many parts.
+_PARTS = 8
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
-    for _, _, w in batches(texts, lower=True):
+    for _, _, w in batches(texts, lower=True, chunk=CHUNK):
         h = w.hashes()
         g = windows(h, width)
         for a, n in zip(w.first[:-1], w.counts):
@@ -84,8 +85,8 @@ def _classes(size: int, percent: int) -> list[int]:
 
 
 def index_keys(tokens: np.ndarray, size: int, frequency: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """(single keys, combination keys) of one set: ``tokens`` are its shared ones, ``frequency`` their
-    sketched counts. A linked pair that shares no single key has frequent tokens only in common."""
+    """(single keys, combination keys) of one set: ``tokens`` are its shared ones, ``frequency`` how many
+    classes have each. A linked pair that shares no single key has frequent tokens only in common."""
     order = np.lexsort((tokens, frequency))
     tokens, often = tokens[order], frequency[order] > rare
     ahead = size - len(tokens)
@@ -112,36 +113,14 @@ def index_keys(tokens: np.ndarray, size: int, frequency: np.ndarray, percent: in
     return np.unique(np.concatenate(single)), np.unique(np.concatenate(combined))
 
 
-def _token_sketch(shared: DataFrame) -> np.ndarray:
-    part = SKETCH // _PARTS
-
-    def count(batch_iter):
-        total = np.zeros(SKETCH, dtype=np.int64)
-        for b in batch_iter:
-            tokens = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint64)
-            total += np.bincount((mix(tokens) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        yield pa.record_batch([pa.array(range(_PARTS), pa.int64()), pa.array([total[i * part : (i + 1) * part].tobytes() for i in range(_PARTS)], pa.binary())], names=["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column("counts"))
-        return pa.table([table.column("part").slice(0, 1), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["part", "counts"])
-
-    rows = shared.select("tokens").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
-    out = np.zeros(SKETCH, dtype=np.uint32)
-    for part_no, counts in rows:  # a fixed number of rows of a fixed size
-        out[part_no * part : (part_no + 1) * part] = np.frombuffer(counts, dtype=np.uint32)
-    return out
-
-
-def _index(shared: DataFrame, sketch, buckets: int, percent: int) -> DataFrame:
+def _index(shared: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Packed (key, class) postings of the classes in ``shared``."""
 
     def emit(batch_iter):
-        packer, counts = Packer(buckets, salt_hot=False, copies=False), sketch.value
+        packer = Packer(buckets, salt_hot=False, copies=False)
         for b in batch_iter:
-            for own, size, comp, t in zip(*(b.column(c).to_pylist() for c in ("owner", "size", "component")), b.column("tokens")):
-                tokens = np.frombuffer(t.as_buffer(), dtype=np.uint64)
-                often = counts[(mix(tokens) % np.uint64(SKETCH)).astype(np.int64)]
+            for own, size, comp, t, f in zip(*(b.column(c).to_pylist() for c in ("owner", "size", "component")), b.column("tokens"), b.column("often")):
+                tokens, often = np.frombuffer(t.as_buffer(), dtype=np.uint64), np.frombuffer(f.as_buffer(), dtype=np.uint8)
                 single, combined = index_keys(tokens, size, often, percent)
                 # with each key: how many tokens a pair that only meets there can have in common
                 frequent = int((often > RARE).sum())
@@ -149,7 +128,7 @@ def _index(shared: DataFrame, sketch, buckets: int, percent: int) -> DataFrame:
                 yield from packer.add(own, _pack(size, frequent, 0), combined, comp)
         yield from packer.flush()
 
-    return shared.select("owner", "size", "component", "tokens").mapInArrow(emit, SCHEMA)
+    return shared.select("owner", "size", "component", "tokens", "often").mapInArrow(emit, SCHEMA)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,11 +158,22 @@ def _pack(size: int, frequent: int, rare: int) -> int:
 
 
 def _unpacked(table: pa.Table):
-    """(class, size, frequent tokens, rare tokens, component, key) of a bucket's postings; the two counts
-    are upper bounds of what a pair that meets at the key can have in common of either sort."""
-    own, packed, comp, key = unpack(table)
-    size = packed & 0xFFFFFFFF
-    return own, size, (packed >> 32 & _SHARE) * size / _SHARE, (packed >> 47 & _SHARE) * size / _SHARE, comp, key
+    """(class, size, frequent tokens, rare tokens, component, key) of a bucket's postings, a part of its keys at a
+    time; the two counts are upper bounds of what a pair that meets at the key can have in common of either sort."""
+    for own, told, comp, key in unpack_parts(table, _PARTS):
+        size = told & 0xFFFFFFFF
+        yield own, size, (told >> 32 & _SHARE) * size / _SHARE, (told >> 47 & _SHARE) * size / _SHARE, comp, key
+
+
+def _distinct(pairs: list[np.ndarray], votes: list[np.ndarray] | None = None):
+    """The distinct rows of (a, b) tables, with the sum of their votes if these are given."""
+    both = np.concatenate([np.zeros((0, 2), dtype=np.int64), *pairs])
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    both = both[order]
+    start = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])) if len(both) else np.zeros(0, dtype=np.int64)
+    if votes is None:
+        return both[start]
+    return both[start], np.add.reduceat(np.concatenate(votes)[order], start) if len(both) else np.zeros(0, dtype=np.int64)
 
 
 def _possible(percent: int, size_x, size_y, frequent_x, frequent_y, rare_x, rare_y):
@@ -196,16 +186,20 @@ def _star(postings: DataFrame, percent: int) -> DataFrame:
     whose tokens are shared most, so the least edited one of a family) that comes up in most of its keys."""
 
     def find(table: pa.Table) -> pa.Table:
-        own, size, often, rare, comp, key = _unpacked(table)
-        order = np.lexsort((own, -(often + rare) / size, key))
-        o, c, k, s, f, r = own[order], comp[order], key[order], size[order], often[order], rare[order]
-        start = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-        n = np.diff(np.concatenate([start, [len(k)]]))
-        head, at = np.repeat(o[start], n), np.repeat(start, n)
-        other = (c != c[at]) & _possible(percent, s, s[at], f, f[at], r, r[at])
-        # (head, member), as heads are what a member has to choose from
-        both, votes = np.unique(np.stack([head[other], o[other]], axis=1), axis=0, return_counts=True)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "votes": pa.array(votes, pa.int64())})
+        pairs, votes = [], []
+        for own, size, often, rare, comp, key in _unpacked(table):
+            order = np.lexsort((own, -(often + rare) / size, key))
+            o, c, k, s, f, r = own[order], comp[order], key[order], size[order], often[order], rare[order]
+            start = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+            n = np.diff(np.concatenate([start, [len(k)]]))
+            head, at = np.repeat(o[start], n), np.repeat(start, n)
+            other = (c != c[at]) & _possible(percent, s, s[at], f, f[at], r, r[at])
+            # (head, member), as heads are what a member has to choose from
+            found = _distinct([np.stack([head[other], o[other]], axis=1)], [np.ones(int(other.sum()), dtype=np.int64)])
+            pairs.append(found[0])
+            votes.append(found[1])
+        both, told = _distinct(pairs, votes)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "votes": pa.array(told, pa.int64())})
 
     seen = postings.groupBy("bucket").applyInArrow(find, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     return seen.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
@@ -216,24 +210,25 @@ def _rest(postings: DataFrame, percent: int) -> DataFrame:
     by their sizes and by how many of their tokens are shared with anyone."""
 
     def find(table: pa.Table) -> pa.Table:
-        own, size, often, rare, comp, key = _unpacked(table)
-        order, start, n = groups(key)
-        o, c, s, f, r = own[order], comp[order], size[order], often[order], rare[order]
-        mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start) if len(c) else np.zeros(0, dtype=bool)
-        out, held = [np.zeros((0, 2), dtype=np.int64)], 0
-        for a, k in zip(start[mixed], n[mixed]):
-            by = a + np.argsort(s[a : a + k], kind="stable")
-            po, pc, ps, pf, pr = o[by], c[by], s[by], f[by], r[by]
-            end = np.searchsorted(ps, ps * 100 // percent, side="right")
-            for i in range(k - 1):
-                j = slice(i + 1, end[i])
-                j = i + 1 + np.flatnonzero((pc[j] != pc[i]) & _possible(percent, ps[j], ps[i], pf[j], pf[i], pr[j], pr[i]))
-                if len(j):
-                    out.append(np.stack([np.minimum(po[i], po[j]), np.maximum(po[i], po[j])], axis=1))
-                    held += len(j)
-            if held > 2_000_000:
-                out, held = [np.unique(np.concatenate(out), axis=0)], 0
-        both = np.unique(np.concatenate(out), axis=0)
+        out, held, most = [], 0, 2_000_000
+        for own, size, often, rare, comp, key in _unpacked(table):
+            order, start, n = groups(key)
+            o, c, s, f, r = own[order], comp[order], size[order], often[order], rare[order]
+            mixed = np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)
+            for a, k in zip(start[mixed], n[mixed]):
+                by = a + np.argsort(s[a : a + k], kind="stable")
+                po, pc, ps, pf, pr = o[by], c[by], s[by], f[by], r[by]
+                end = np.searchsorted(ps, ps * 100 // percent, side="right")
+                for i in range(k - 1):
+                    j = slice(i + 1, end[i])
+                    j = i + 1 + np.flatnonzero((pc[j] != pc[i]) & _possible(percent, ps[j], ps[i], pf[j], pf[i], pr[j], pr[i]))
+                    if len(j):
+                        out.append(np.stack([np.minimum(po[i], po[j]), np.maximum(po[i], po[j])], axis=1))
+                        held += len(j)
+                    if held > most:
+                        out = [_distinct(out)]
+                        held, most = len(out[0]), max(most, 2 * len(out[0]))
+        both = _distinct(out)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return postings.groupBy("bucket").applyInArrow(find, "a long, b long").distinct()
@@ -241,7 +236,6 @@ def _rest(postings: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
     texts = with_text(docs, id_col, text_col)
     buckets = bucket_count(docs)
 
@@ -254,16 +248,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "size", "owner"])
 
     def post(batch_iter):
-        packer = Packer(buckets)
+        packer = Packer(buckets, mark=1)
         for b in batch_iter:
             for s in shingle_sets(b.column("text"), width):
                 yield from packer.add(signature(s), len(s), s)
         yield from packer.flush()
 
     members = materialize(texts.mapInArrow(describe, "doc_id long, size long, owner long").distinct(), "shingle-classes")
-    shared = shared_by_owner(texts.mapInArrow(post, SCHEMA), buckets, "shared-shingles")
+    shared = shared_by_owner(texts.mapInArrow(post, SCHEMA), buckets, "shared-shingles", frequencies=True)
     shared = materialize(shared.where((F.length("tokens") / 8 * 100 >= F.col("size") * percent) & (F.col("size") > 2)), "joinable", codec="none")
-    sketch = spark.sparkContext.broadcast(_token_sketch(shared))
 
     # as few buckets as their bounded size allows: a pair that shares keys in many comes up in each
     index_buckets = max(8, -(-input_bytes(shared) // INDEX_BUCKET))
@@ -271,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = shared.select(F.col("owner").alias("a"), F.col("owner").alias("b")).limit(0)
     for step in ("star", "rest"):
         labelled = _labelled(shared, links)
-        index = _index(labelled, sketch, index_buckets, percent)
+        index = _index(labelled, index_buckets, percent)
         tested = materialize(_star(index, percent) if step == "star" else _rest(index, percent), f"pairs-{step}")
         links = materialize(links.union(_verify(tested, shared, percent)), f"links-{step}")
     return _answer(members, links)
