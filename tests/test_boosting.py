@@ -80,3 +80,38 @@ def test_thresholds_keep_all_of_few_values(spark):
     df = spark.createDataFrame([([float(i % 40), 0.0 if i else 9.0],) for i in range(4000)], "x array<double>")
     many, few = B.thresholds_of(df, "x", 2)
     assert len(many) == 31 and few.tolist() == [4.5]
+
+
+def _drawn_rows(rng, sizes, depth, n=3000):
+    bins = np.stack([rng.integers(0, s, n).astype(np.uint8) for s in sizes])
+    tree = B.Tree(rng.integers(0, len(sizes), 2 << depth), rng.integers(0, 3, 2 << depth), np.zeros(2 << depth), 1.0)
+    tree.split[rng.random(2 << depth) < 0.1] = 255
+    return tree, bins, rng.integers(-1000, 1000, n).astype(np.int32), (np.array([1.0, 3.0]), rng.integers(0, 2, n).astype(np.uint8))
+
+
+def test_rows_are_routed_as_by_walking_down():
+    tree, bins, *_ = _drawn_rows(np.random.default_rng(1), [32, 5, 2, 9], 9)
+    for depth in (0, 1, 5, 6, 7, 9):
+        for i, node in list(enumerate(B.routed(tree, bins, depth)))[::31]:
+            at = 1
+            for _ in range(depth):
+                at = 2 * at + int(bins[tree.feature[at], i] > tree.split[at])
+            assert node == at
+
+
+@pytest.mark.parametrize("level", [0, 1, 4, 8])
+def test_a_level_adds_up_the_lighter_children_only(level):
+    rng = np.random.default_rng(level)
+    sizes = [32, 32, 7, 2, 1, 32]
+    tree, bins, value, weight = _drawn_rows(rng, sizes, 9)
+    side = rng.integers(0, 3, 1 << level - 1).tolist() if level else []
+    halves = [(bins[:, a:b], value[a:b], (weight[0], weight[1][a:b])) for a, b in ((0, 1700), (1700, 3000))]
+    told = B._by_feature(next(B._sums(tree, level, side, sizes, iter(halves))), sizes)
+    node = B.routed(tree, bins, level)
+    for i, want in enumerate(side or [None]):
+        own = node == 1 if want is None else (node == 2 * ((1 << level - 1) + i) + want) & (want < 2)
+        for f in range(len(sizes)):
+            assert (told[0, f, i] == np.bincount(bins[f][own], value[own], B.BINS)).all()
+            assert (told[1, f, i] == np.bincount(bins[f][own], weight[0][weight[1]][own], B.BINS)).all()
+    assert max(np.prod([sizes[f] for f in own]) for own in B._together(sizes)) <= B.CELLS
+    assert sorted(f for own in B._together(sizes) for f in own) == list(range(len(sizes)))
