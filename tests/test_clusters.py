@@ -164,3 +164,38 @@ def test_silhouettes_scan_the_rows_once(spark, monkeypatch):
     monkeypatch.setattr(L, "materialize", lambda df, name: written.append(name) or __import__("vitrine.session", fromlist=["x"]).materialize(df, name))
     df = frame(spark, points()).withColumn("l", F.lit(0))
     assert L.silhouettes(df, F.col("key"), COLS, ["l"], 10, 1)["l"][2] == 10 and written == ["silhouette-sums"]
+
+
+def test_whole_silhouette_measures_all_rows(spark, monkeypatch):
+    rows = points(300) + [(f"again{i}", *r[1:]) for i, r in enumerate(points(300)[:40])]
+    x = np.array([r[1:] for r in rows])
+    clusters = L.lloyd(frame(spark, rows), F.col("key"), COLS, [2, 4], [7], 8)
+    df = frame(spark, rows).select("*", *[L.nearest(COLS, c).alias(f"k{k}") for k, c in clusters.items()])
+    want = {f"k{k}": pytest.approx(brute_silhouette(x, brute_lloyd(rows, k, 7, 8)[2]), abs=1e-9) for k in (2, 4)}
+    assert L.whole_silhouettes(df, COLS, ["k2", "k4"]) == want
+    scans, far = [], L._far
+    monkeypatch.setattr(L, "MEASURED", 100)
+    monkeypatch.setattr(L, "HELD", 40)
+    monkeypatch.setattr(L, "_far", lambda blocks, at, n: scans.append(len(at)) or far(blocks, at, n))
+    assert L.whole_silhouettes(df, COLS, ["k2", "k4"]) == want and sum(scans) == len({r[1:] for r in rows}) and len(scans) > 1
+
+
+def test_whole_silhouette_of_rows_alone_and_of_one_cluster(spark):
+    df = spark.createDataFrame([("p", 0.0, 0.0, 0.0, 0, 0), ("q", 0.0, 1.0, 0.0, 1, 0), ("r", 0.0, 3.0, 0.0, 1, 0)], "key string, a double, b double, c double, l int, m int")
+    assert L.whole_silhouettes(df, COLS, ["l", "m"]) == {"l": pytest.approx((0 + (1 - 2) / 2 + (3 - 2) / 3) / 3), "m": 0.0}
+    assert all(math.isnan(v) for v in L.whole_silhouettes(df.where("false"), COLS, ["l"]).values())
+
+
+def test_k_selection_takes_all_rows(spark, monkeypatch):
+    from vitrine import registry
+    from vitrine.plans import clustering
+
+    registry.load_all()
+    monkeypatch.setattr(clustering, "SILHOUETTE_SAMPLE", 2)
+    monkeypatch.setattr(clustering, "N_INIT", 1)
+    got = {r.k: r.silhouette for r in registry.QUERIES["k_selection"](spark, "/root/testdata/sf0.001").collect()}
+    frame_ = clustering.clustering_frame(spark, "/root/testdata/sf0.001")
+    best = clustering.kmeans_best(spark, "/root/testdata/sf0.001")
+    rows = frame_.select(*clustering.ALL_FEATURES, L.nearest(clustering.ALL_FEATURES, best[3]).alias("l")).collect()
+    assert got[3] == pytest.approx(brute_silhouette(np.array([r[:-1] for r in rows], dtype=float), [r.l for r in rows]), abs=6e-5)
+    assert "LIMIT" not in registry.ORACLES["k_selection"].split("lloyd AS")[1].replace("LIMIT 1)", "")
