@@ -6,8 +6,9 @@ words is one shingle. Two texts link when 100 * |x & y| >= 75 * |x | y|; links a
 1. Texts with equal sets fold into one class (a 64-bit signature of the whole set).
 2. Packed postings tell each class which of its tokens another class has. A class with less than 75 %
    such tokens has no partner and leaves.
-3. With each token comes how many classes have it, counted where its postings met (a byte: exact while rare, in
-   steps beyond it, the same for all classes; it orders tokens and splits them in rare and frequent ones).
+3. The remaining classes' postings meet again, and with each token that two of them share comes how many have it
+   (a byte: exact while rare, in steps beyond it, the same for all classes; it orders tokens and splits them in rare
+   and frequent ones).
    Tokens are ordered unshared first, then by frequency: linked sets that need ``o`` common
    tokens share at least ``m`` of them within their first ``|x| - o + m``. The prefix is extended to
    ``m = g + 1``: either one of the common tokens there is rare, and rare tokens are indexed singly, or
@@ -248,15 +249,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "size", "owner"])
 
     def post(batch_iter):
-        packer = Packer(buckets, mark=1)
+        packer = Packer(buckets)
         for b in batch_iter:
             for s in shingle_sets(b.column("text"), width):
                 yield from packer.add(signature(s), len(s), s)
         yield from packer.flush()
 
+    def post_again(batch_iter):
+        # tokens are in their short form, whose upper bits don't spread
+        packer = Packer(buckets, mark=1)
+        for b in batch_iter:
+            for own, size, t in zip(b.column("owner").to_pylist(), b.column("size").to_pylist(), b.column("tokens")):
+                yield from packer.add(own, size, mix(np.frombuffer(t.as_buffer(), dtype=np.uint64)))
+        yield from packer.flush()
+
     members = materialize(texts.mapInArrow(describe, "doc_id long, size long, owner long").distinct(), "shingle-classes")
-    shared = shared_by_owner(texts.mapInArrow(post, SCHEMA), buckets, "shared-shingles", frequencies=True)
-    shared = materialize(shared.where((F.length("tokens") / 8 * 100 >= F.col("size") * percent) & (F.col("size") > 2)), "joinable", codec="none")
+    shared = shared_by_owner(texts.mapInArrow(post, SCHEMA), buckets, "shared-shingles")
+    shared = shared.where((F.length("tokens") / 8 * 100 >= F.col("size") * percent) & (F.col("size") > 2))
+    # of the remaining classes only: what they share, and with how many of them
+    shared = shared_by_owner(shared.select("owner", "size", "tokens").mapInArrow(post_again, SCHEMA), buckets, "joinable", frequencies=True)
 
     # as few buckets as their bounded size allows: a pair that shares keys in many comes up in each
     index_buckets = max(8, -(-input_bytes(shared) // INDEX_BUCKET))
